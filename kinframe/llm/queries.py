@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate as dc
 from . import embedding_dedup as ed
-from . import sharding, simhash, token_counts, token_store, toxicity, url_filter
+from . import segment_sampling, sharding, simhash, suffix_dedup, token_counts, token_store, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,11 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dc.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op3_segment_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = segment_sampling.sample_segmentations(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return found.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ed.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -48,6 +53,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
