@@ -49,7 +49,8 @@ def contaminated(docs: DataFrame, tests: DataFrame, similarity: float = 0.8, mas
         hits = own.join(F.broadcast(seeds), "key").select("doc_id", "u", (F.col("i") - F.col("j")).alias("at"), "n", "h")
     else:
         found = own.select("doc_id", "i", "key").join(seeds, "key").select("doc_id", "u", (F.col("i") - F.col("j")).alias("at"), "n").distinct()
-        hits = found.join(rows, F.col("doc_id").eqNullSafe(rows["doc_id"])).select(found["doc_id"], "u", "at", "n", "h")
+        named = rows.select(F.col("doc_id").alias("_d"), "h")
+        hits = found.join(named, F.col("doc_id").eqNullSafe(F.col("_d"))).select("doc_id", "u", "at", "n", "h")
     # the document's words under the item: nothing before its first word, what is beyond its end is missing
     window = F.slice("h", F.greatest(F.col("at"), F.lit(0)) + 1, F.greatest(F.col("n") + F.least(F.col("at"), F.lit(0)), F.lit(0)))
     hits = hits.select("doc_id", "u", "at", "n", window.alias("w"))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import components, remove, semi, written
+from .shared import components, parts, remove, semi, written
 
 #: Ways to cut 64 bits into equal blocks for lone(): blocks; each leaves blocks - radius to agree on.
 CUTS = (8, 10, 12, 16)
@@ -87,7 +87,7 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     if radius % 2:
         raise ValueError("radius must be even")
     near, path = written(not_lone(fps, radius, fps.count()), "near")
-    variants = near.select("fp", F.explode(F.lit(_ball(radius // 2))).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("v"))
+    variants = near.repartition(parts(fps), "fp").select("fp", F.explode(F.lit(_ball(radius // 2))).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("v"))
     pairs = variants.select("fp", F.lag("fp").over(Window.partitionBy("v").orderBy("fp")).alias("a")).where("a is not null")
     out, _ = written(pairs.select("a", F.col("fp").alias("b")).distinct().where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius), "links")
     remove(fps.sparkSession, path)
@@ -107,8 +107,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, key: str =
     pairs = links(first.select("fp"), radius)
     known = first.where("doc is not null")
     pairs = pairs.join(known.select(F.col("fp").alias("a"), F.col("doc").alias("x")), "a").join(known.select(F.col("fp").alias("b"), F.col("doc").alias("y")), "b")
-    parts = components(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    vertex = first.join(parts.withColumnRenamed("node", "doc"), "doc", "left").select("fp", F.coalesce("component", "doc").alias("component_id"))
+    groups = components(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    vertex = first.join(groups.withColumnRenamed("node", "doc"), "doc", "left").select("fp", F.coalesce("component", "doc").alias("component_id"))
     return rows.join(vertex, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
