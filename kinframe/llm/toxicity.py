@@ -24,7 +24,7 @@ MARK = bytes(range(1, 9)) + bytes(range(14, 32))
 #: A word is trained on as toxic if so many toxic texts hold it, at such odds against ordinary texts.
 LEAST_TEXTS, ODDS = 4, 20.0
 #: (bytes over a known toxic word's length, bytes saved against the ordinary dictionary) that make a window toxic.
-RULES = ((0, 1), (0, 2), (0, 3), (1, 3), (2, 3))
+RULES = ((0, 2), (0, 3), (1, 3), (2, 3))
 FEATURES = 2 * len(RULES) + 1
 _PUNCTUATION = b".,;:!?\"'()[]{}<>|*&%$#@^~`+=_-/\\"
 
@@ -70,7 +70,9 @@ def lengths(ws: list[bytes], toxic: bytes, ordinary: bytes) -> np.ndarray:
     for w in ws:
         if w not in known:
             x = b" %b %b" % (w, MARK)
-            known[w] = (n := len(a(x))) << 16 | (len(b(x)) - n + 1024)  # two small numbers in one
+            n = len(a(x))
+            saved = len(b(x)) - n if len(w) > 2 else 0  # shorter ones tell nothing
+            known[w] = n << 16 | (saved + 1024)  # two small numbers in one
     both = np.fromiter(map(known.__getitem__, ws), dtype=np.int64, count=len(ws))
     return np.stack([both >> 16, (both & 0xFFFF) - 1024], axis=1)
 
