@@ -109,29 +109,79 @@ class SuffixIndex:
         return out
 
 
-def _strings(left: bytes, right: bytes, length: int) -> tuple[int, np.ndarray]:
-    """(first, hashes) of the length-byte strings in left + right that cover the boundary's KEY bytes, by offset to the left."""
-    data = np.frombuffer(left + right, dtype=np.uint8)
-    return len(left), _rolling(data, length)
+def _rolling_rows(b: np.ndarray, n: int) -> np.ndarray:
+    """_rolling for each row of a matrix."""
+    h, k, pieces, total = b.astype(np.uint64) + np.uint64(1), 1, [], 0
+    bits, m = n, b.shape[1] - n + 1
+    while bits:
+        if bits & 1:
+            pieces.append((k, h))
+        bits >>= 1
+        if bits:
+            h = h[:, :-k] * np.uint64(pow(_B, k, 1 << 64)) + h[:, k:]
+            k *= 2
+    out = np.zeros((len(b), m), dtype=np.uint64)
+    for k, h in pieces:
+        out *= np.uint64(pow(_B, k, 1 << 64))
+        out += h[:, total : total + m]
+        total += k
+    return out
 
 
-def _spans(rows: pd.DataFrame, length: int) -> pd.DataFrame:
-    """For suffixes of one head: the bytes of each that lie in a length-byte string which another one has too."""
+def _covered(rows: pd.DataFrame, length: int) -> pd.DataFrame:
+    """(doc, start, end): for suffixes of whole head groups, the bytes of each in a length-byte string that another one has too.
+
+    Column j of the matrix is the string that starts length - KEY - j bytes left of the anchor. Strings that are
+    equal there have equal heads, so one sort of each column compares every group at once.
+    """
     n, reach = len(rows), length - KEY
-    hashes = np.zeros((n, reach + 1), dtype=np.uint64)
-    there = np.zeros((n, reach + 1), dtype=bool)
-    for i, (left, right) in enumerate(zip(rows["left"], rows["right"])):
-        first, h = _strings(left, right, length)  # h[j] starts first - j bytes left of the anchor
-        hashes[i, first - np.arange(len(h))], there[i, first - np.arange(len(h))] = h, True
+    hashes = np.empty((n, reach + 1), dtype=np.uint64)
+    lo = reach - rows["left"].map(len).to_numpy()
+    hi = reach + rows["right"].map(len).to_numpy()
+    for a in range(0, n, 512):
+        some = range(a, min(n, a + 512))
+        text = np.zeros((len(some), reach + length), dtype=np.uint8)
+        for i, left, right in zip(some, rows["left"].iloc[a : a + 512], rows["right"].iloc[a : a + 512]):
+            text[i - a, lo[i] : hi[i]] = np.frombuffer(left + right, dtype=np.uint8)
+        hashes[a : a + 512] = _rolling_rows(text, length)
+    column = np.arange(reach + 1)
+    there = (column >= lo[:, None]) & (column + length <= hi[:, None])
+    hashes = np.where(there, hashes, np.arange(n, dtype=np.uint64)[:, None] * _MIX + np.uint64(1))  # nothing equals these
     many = np.zeros_like(there)
-    for o in range(reach + 1):
-        at = np.flatnonzero(there[:, o])
-        _, where, count = np.unique(hashes[at, o], return_inverse=True, return_counts=True)
-        many[at, o] |= count[where] > 1
+    for c in range(0, reach + 1, 64):
+        order = np.argsort(hashes[:, c : c + 64], axis=0)
+        h, t = (np.take_along_axis(x[:, c : c + 64], order, axis=0) for x in (hashes, there))
+        m = np.zeros_like(t)
+        same = (h[1:] == h[:-1]) & t[1:] & t[:-1]
+        m[1:] |= same
+        m[:-1] |= same
+        np.put_along_axis(many[:, c : c + 64], order, m, axis=0)
     hit = many.any(axis=1)
-    far = np.where(many, np.arange(reach + 1)[None], -1).max(axis=1)  # leftmost start
-    near = np.where(many, np.arange(reach + 1)[None], reach + 1).min(axis=1)  # rightmost start
-    return pd.DataFrame({"doc": rows["doc"], "start": rows["pos"] - far, "end": rows["pos"] - near + length})[hit]
+    first, last = many.argmax(axis=1), reach - many[:, ::-1].argmax(axis=1)
+    at = rows["pos"].to_numpy() - reach
+    return pd.DataFrame({"doc": rows["doc"].to_numpy(), "start": at + first, "end": at + last + length})[hit]
+
+
+def _compare(length: int, together: int = 2_000):
+    """Over rows in the order of heads: compares whole groups, many small ones together."""
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = []
+        for b in it:
+            if not len(b):
+                continue
+            if held and sum(map(len, held)) >= together:
+                # all groups but the one that the new batch may go on with
+                now = pd.concat(held, ignore_index=True)
+                open_ = (now["head"] == now["head"].iloc[-1]).to_numpy()
+                if not open_.all():
+                    yield _covered(now[~open_].reset_index(drop=True), length)
+                    held = [now[open_]]
+            held.append(b)
+        if held:
+            yield _covered(pd.concat(held, ignore_index=True), length)
+
+    return run
 
 
 def repeated_spans(docs: DataFrame, length: int = 400, batches: int = 4, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
@@ -188,7 +238,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, batches: int = 4, group:
         def strings(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in it:
                 for head, d, p, left, right in zip(b["head"], b["doc"], b["pos"], b["left"], b["right"]):
-                    first, h = _strings(left, right, length)
+                    first, h = len(left), _rolling(np.frombuffer(left + right, dtype=np.uint8), length)
                     check = _rolling(np.frombuffer(left + right, dtype=np.uint8)[::-1], length)[::-1]
                     yield pd.DataFrame({"doc": [d] * len(h), "at": p - first + np.arange(len(h)), "h": h.astype(np.int64), "g": check.astype(np.int64)})
 
@@ -196,7 +246,8 @@ def repeated_spans(docs: DataFrame, length: int = 400, batches: int = 4, group:
         many = big.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "g")
         spans = big.join(many, ["h", "g"], "left_semi").select("doc", F.col("at").alias("start"), (F.col("at") + length).alias("end"))
         rows = rows.join(large, "head", "left_anti")
-    small = rows.groupBy("head").applyInPandas(lambda g: _spans(g, length), "doc binary, start long, end long")
+    rows = rows.repartition(parts(docs), "head").sortWithinPartitions("head")
+    small = rows.mapInPandas(_compare(length), "doc binary, start long, end long")
     spans = small if spans is None else spans.unionByName(small)
     return spans, texts.drop("places")
 
