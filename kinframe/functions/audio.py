@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
 # fixed values
-RATE, FRAME, HOP = 11025, 4096, 1365
+RATE, FRAME, HOP, SCALE = 11025, 4096, 1365, 32768.0
 LOW_HZ, HIGH_HZ, NOTES = 27.5, 3520.0, 12
 TAPS = (0.25, 0.5, 1.0, 0.5, 0.25)
 QUIET = 1e-10
@@ -75,7 +75,7 @@ def fingerprint(samples: np.ndarray) -> list[int]:
     if n < 1:
         return []
     at = np.arange(n) * HOP
-    frames = np.lib.stride_tricks.sliding_window_view(samples.astype(np.float64), FRAME)[at]
+    frames = np.lib.stride_tricks.sliding_window_view(samples / SCALE, FRAME)[at]
     values = bits(normalised(smoothed(chroma(frames))))
     second = at[len(TAPS) - 1 :] // RATE
     return [majority(values[second == s]) for s in range(int(second[-1]) + 1)] if len(second) else []

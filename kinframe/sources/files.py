@@ -54,6 +54,8 @@ def read_results(texts: DataFrame, column: str = "value") -> DataFrame:
     item = "struct<groupId:long,path:string,sizeLong:long,similarity:double,isImage:boolean>"
     wrapped = f"struct<itemInfo:{item},groupId:long,path:string,sizeLong:long,similarity:double,isImage:boolean>"
     text = F.trim(F.col(column))
+    for k in ("items", "version", "itemInfo", "groupId", "path", "sizeLong", "similarity", "isImage"):
+        text = F.regexp_replace(text, rf'"(?i:{k})"\s*:', f'"{k}":')
     whole = F.when(text.startswith("["), F.concat(F.lit('{"items":'), text, F.lit("}"))).otherwise(text)
     rows = texts.withColumn("_doc", F.from_json(whole, f"version int, items array<{wrapped}>", {"mode": "PERMISSIVE"}))
     rows = rows.withColumn("_i", F.filter(F.transform("_doc.items", lambda x: F.coalesce(x["itemInfo"], F.struct(x["groupId"].alias("groupId"), x["path"].alias("path"), x["sizeLong"].alias("sizeLong"), x["similarity"].alias("similarity"), x["isImage"].alias("isImage")))), lambda x: x["path"].isNotNull()))

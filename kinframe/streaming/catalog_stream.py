@@ -55,7 +55,7 @@ def fingerprint_stream(chunks: DataFrame, key: str = "path") -> DataFrame:
         chroma, ballots, out = np.frombuffer(past, dtype=np.float64).reshape(-1, audio.NOTES), list(np.frombuffer(votes, dtype=np.int64)), []
         n = max(0, (len(samples) - audio.FRAME) // audio.HOP + 1)
         if n:
-            frames = np.lib.stride_tricks.sliding_window_view(samples.astype(np.float64), audio.FRAME)[np.arange(n) * audio.HOP]
+            frames = np.lib.stride_tricks.sliding_window_view(samples / audio.SCALE, audio.FRAME)[np.arange(n) * audio.HOP]
             chroma = np.concatenate([chroma, audio.chroma(frames)])
             fresh = audio.bits(audio.normalised(audio.smoothed(chroma)))
             starts = at + np.arange(n)[n - len(fresh) :] * audio.HOP

@@ -3,6 +3,8 @@
 import os
 
 import duckdb
+import numpy as np
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -16,7 +18,11 @@ def connect(sf_dir: str):
 
 
 def rows(frame, columns):
-    plain = lambda v: None if v is None or v != v else (float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v))
+    def plain(v):
+        if v is None or v is pd.NA or (isinstance(v, float) and v != v):
+            return None
+        return float(v) if isinstance(v, (int, float, np.number)) and not isinstance(v, (bool, np.bool_)) else str(v)
+
     return sorted((tuple(plain(x) for x in r) for r in frame[columns].astype(object).itertuples(index=False)), key=repr)
 
 

@@ -142,7 +142,7 @@ def test_audio():
     assert audio.bits(np.zeros((1, 12)))[0] == 0
     assert (audio.normalised(np.full((1, 12), 1e-9)) == 0).all()
     t = np.arange(2 * audio.RATE) / audio.RATE
-    a = audio.chroma(np.sin(2 * np.pi * 440 * t)[None, : audio.FRAME])[0]
+    a = audio.chroma(np.sin(2 * np.pi * 452 * t)[None, : audio.FRAME])[0]
     assert a.argmax() == 0  # A is the first note
     assert audio.fingerprint(np.zeros(100)) == []
 
@@ -198,9 +198,7 @@ def test_blacklist_documents(spark):
 
 def test_results_documents(spark):
     docs = spark.createDataFrame([('{"version":1,"items":[{"itemInfo":{"Path":"p","groupId":4}}]}',), ('[{"path":"q"}]',), ('[{"itemInfo":{"path":"r"}},{"x":1}]',)], "value string")
-    spark.conf.set("spark.sql.caseSensitive", "false")
-    got = sorted(r.path for r in files.read_results(docs).collect() if r.path)
-    assert {"q", "r"} <= set(got)
+    assert sorted((r.path, r.group_id) for r in files.read_results(docs).collect()) == [("p", 4), ("q", None), ("r", None)]
     with pytest.raises(Exception, match="no valid item"):
         files.read_results(spark.createDataFrame([("[{}]",)], "value string")).collect()
 
