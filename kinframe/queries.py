@@ -52,12 +52,12 @@ def phash_from_embedding(spark, d):
     return D.items(spark, d).select("id", "lo", "hi")
 
 
-@query(f"{ITEMS} SELECT a.id AS a_id, b.id AS b_id, bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)) AS distance FROM items a JOIN items b ON a.id < b.id WHERE bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)) <= 16")
+@query(f"{ITEMS} SELECT a.id AS a_id, b.id AS b_id, CAST(bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)) AS INTEGER) AS distance FROM items a JOIN items b ON a.id < b.id WHERE bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)) <= 16")
 def hamming_pairs(spark, d):
     return ids(pairs.theta_pairs(D.items(spark, d), []), "distance").where("distance <= 16")
 
 
-@query(f"{ITEMS} SELECT a.id AS a_id, b.id AS b_id, bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)) AS distance FROM items a JOIN items b ON a.id < b.id WHERE bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)) <= 2")
+@query(f"{ITEMS} SELECT a.id AS a_id, b.id AS b_id, CAST(bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)) AS INTEGER) AS distance FROM items a JOIN items b ON a.id < b.id WHERE bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)) <= 2")
 def pigeonhole_pairs(spark, d):
     return ids(pairs.pigeonhole_pairs(D.items(spark, d), 2, []), "distance")
 
@@ -70,7 +70,7 @@ _TABLES = pairs.lsh_tables()
 
 
 @query(
-    f"{ITEMS} SELECT a.id AS a_id, b.id AS b_id, bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)) AS distance FROM items a JOIN items b ON a.id < b.id WHERE bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)) <= 12 AND ("
+    f"{ITEMS} SELECT a.id AS a_id, b.id AS b_id, CAST(bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)) AS INTEGER) AS distance FROM items a JOIN items b ON a.id < b.id WHERE bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)) <= 12 AND ("
     + " OR ".join(f"bit_count(xor({_key_sql(t, 'a')}, {_key_sql(t, 'b')})) <= 1" for t in _TABLES)
     + ")"
 )
@@ -89,7 +89,7 @@ def gray_sad_pairs(spark, d):
 
 @query(
     f"""{ITEMS}, p AS (SELECT a.id AS a_id, b.id AS b_id, list_filter(range(1, 65), lambda i: a.frame[i] > 32 AND b.frame[i] > 32 AND a.frame[i] < 240 AND b.frame[i] < 240) AS k, a.frame AS x, b.frame AS y FROM items a JOIN items b ON a.src = b.src AND a.id < b.id)
-SELECT a_id, b_id, len(k) AS n_kept, CAST(coalesce(list_sum(list_transform(k, lambda i: abs(x[i] - y[i]))), 0) AS INTEGER) AS total FROM p"""
+SELECT a_id, b_id, CAST(len(k) AS INTEGER) AS n_kept, CAST(coalesce(list_sum(list_transform(k, lambda i: abs(x[i] - y[i]))), 0) AS INTEGER) AS total FROM p"""
 )
 def gray_masked_pairs(spark, d):
     x = D.items(spark, d)
@@ -109,7 +109,7 @@ def flipped_pairs(spark, d):
     return ids(both.withColumn("x", diff).withColumn("flipped", flip).where("x <= 0.2"), F.round("x", 6).alias("difference"), "flipped")
 
 
-@query(f"{ITEMS} SELECT id, len(list_filter(frame, lambda x: x <= 32)) AS n_dark, len(list_filter(frame, lambda x: x <= 32)) * 100.0 / 64 >= 80 AS too_dark, list_reverse(frame[1:8])[1] AS first_flipped FROM items")
+@query(f"{ITEMS} SELECT id, CAST(len(list_filter(frame, lambda x: x <= 32)) AS INTEGER) AS n_dark, len(list_filter(frame, lambda x: x <= 32)) * 100.0 / 64 >= 80 AS too_dark, list_reverse(frame[1:8])[1] AS first_flipped FROM items")
 def too_dark(spark, d):
     return D.items(spark, d).select("id", F.size(F.filter("frame", lambda x: x <= K.DARK)).alias("n_dark"), K.is_dark(F.col("frame")).alias("too_dark"), F.get(K.flipped(F.col("frame"), D.SIDE), F.lit(0)).alias("first_flipped"))
 
@@ -169,7 +169,7 @@ def all_gates(spark, d):
     return ids(pairs.matches(pairs.candidates(x, CONFIG), CONFIG), "difference")
 
 
-@query(f"{ITEMS} SELECT a.id AS a_id, b.id AS b_id, {_DIST} AS distance, a.is_image = b.is_image AS gate_kind, {_DIST} <= 32 AS gate_quick, b.size BETWEEN trunc(a.size * 0.5) AND trunc(a.size * 1.5) AS gate_size, a.file_id <> b.file_id AS gate_hard_link FROM items a JOIN items b ON a.src = b.src AND a.id < b.id")
+@query(f"{ITEMS} SELECT a.id AS a_id, b.id AS b_id, CAST({_DIST} AS INTEGER) AS distance, a.is_image = b.is_image AS gate_kind, {_DIST} <= 32 AS gate_quick, b.size BETWEEN trunc(a.size * 0.5) AND trunc(a.size * 1.5) AS gate_size, a.file_id <> b.file_id AS gate_hard_link FROM items a JOIN items b ON a.src = b.src AND a.id < b.id")
 def explain_pair(spark, d):
     x = D.items(spark, d)
     s = F.struct(*x.columns)
@@ -320,7 +320,7 @@ def include_roots(spark, d):
     return D.catalog(spark, d).select("id", filters.included(f, ("/media/lib1", "/media/lib2/Brand_21/")).alias("included"), filters.included(f, ("/media/lib1",), False).alias("flat"))
 
 
-@query(f"{CATALOG} SELECT id, lower(path[-4:]) IN ('.mp4', '.jpg', '.mkv', '.png') AS media, len(path) - len(replace(path, '/', '')) AS depth, CAST(trunc(CAST(file_size AS FLOAT) / CAST(1048576 AS FLOAT)) AS BIGINT) AS mb, flags & 28 <> 0 AS error, flags | 2 AS marked FROM catalog")
+@query(f"{CATALOG} SELECT id, lower(path[-4:]) IN ('.mp4', '.jpg', '.mkv', '.png') AS media, CAST(len(path) - len(replace(path, '/', '')) AS INTEGER) AS depth, CAST(trunc(CAST(file_size AS FLOAT) / CAST(1048576 AS FLOAT)) AS BIGINT) AS mb, flags & 28 <> 0 AS error, flags | 2 AS marked FROM catalog")
 def path_functions(spark, d):
     c = F.col("flags")
     return D.catalog(spark, d).select("id", K.is_media(F.col("path")).alias("media"), K.folder_depth(F.col("path")).alias("depth"), K.size_mb(F.col("file_size")).alias("mb"), K.has_any(c, K.ALL_ERRORS).alias("error"), K.with_flag(c, 2).alias("marked"))
@@ -352,7 +352,7 @@ def hdr_format(spark, d):
     return p.withColumn("rank", K.hdr_rank(F.col("hdr")))
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 0.0 ELSE floor(p_partkey * 1.5) END AS duration_s, 1 + p_partkey % 2 AS n_streams, CAST(CASE WHEN p_partkey % 4 = 0 THEN p_partkey * 100 ELSE p_partkey * 10 END AS BIGINT) AS bit_rate, 25.0 AS fps FROM part")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 0.0 ELSE floor(p_partkey * 1.5) END AS duration_s, CAST(1 + p_partkey % 2 AS INTEGER) AS n_streams, CAST(CASE WHEN p_partkey % 4 = 0 THEN p_partkey * 100 ELSE p_partkey * 10 END AS BIGINT) AS bit_rate, 25.0 AS fps FROM part")
 def probe_json(spark, d):
     k = F.col("p_partkey")
     stream = F.concat(F.lit('{"index":0,"codec_type":"video","width":640,"height":480,"r_frame_rate":"50/2"'), F.when(k % 4 != 0, F.concat(F.lit(',"bit_rate":"'), (k * 10).cast("string"), F.lit('"'))).otherwise(""), F.lit("}"))
@@ -592,7 +592,7 @@ def results_json(spark, d):
     return files.read_results(docs)
 
 
-@query(f"{RANKED} SELECT group_id, row_number() OVER (PARTITION BY group_id ORDER BY similarity DESC, path) AS place, size = min(size) OVER (PARTITION BY group_id) AS best FROM ranked")
+@query(f"{RANKED} SELECT group_id, CAST(row_number() OVER (PARTITION BY group_id ORDER BY similarity DESC, path) AS INTEGER) AS place, size = min(size) OVER (PARTITION BY group_id) AS best FROM ranked")
 def text_report(spark, d):
     return files.text_report(D.ranked_items(spark, d)).select("group_id", "place", F.col("line").endswith("[best]").alias("best"))
 
