@@ -25,7 +25,7 @@ from .shared import parts, remove, written
 #: Bytes of a suffix that order the arrays.
 KEY = 32
 #: Suffixes with one head that one task compares; larger groups are counted string by string, spread over the cluster.
-GROUP = 20_000
+GROUP = 100_000
 #: Places that are hashed at a time, so that memory doesn't grow with a text.
 BLOCK = 1 << 19
 
@@ -135,27 +135,27 @@ def _covered(rows: pd.DataFrame, length: int) -> pd.DataFrame:
     equal there have equal heads, so one sort of each column compares every group at once.
     """
     n, reach = len(rows), length - KEY
-    hashes = np.empty((n, reach + 1), dtype=np.uint64)
     lo = reach - rows["left"].map(len).to_numpy()
     hi = reach + rows["right"].map(len).to_numpy()
-    for a in range(0, n, 512):
-        some = range(a, min(n, a + 512))
-        text = np.zeros((len(some), reach + length), dtype=np.uint8)
-        for i, left, right in zip(some, rows["left"].iloc[a : a + 512], rows["right"].iloc[a : a + 512]):
-            text[i - a, lo[i] : hi[i]] = np.frombuffer(left + right, dtype=np.uint8)
-        hashes[a : a + 512] = _rolling_rows(text, length)
+    text = np.zeros((n, reach + length), dtype=np.uint8)
+    for i, left, right in zip(range(n), rows["left"], rows["right"]):
+        text[i, lo[i] : hi[i]] = np.frombuffer(left + right, dtype=np.uint8)
     column = np.arange(reach + 1)
     there = (column >= lo[:, None]) & (column + length <= hi[:, None])
-    hashes = np.where(there, hashes, np.arange(n, dtype=np.uint64)[:, None] * _MIX + np.uint64(1))  # nothing equals these
     many = np.zeros_like(there)
-    for c in range(0, reach + 1, 64):
-        order = np.argsort(hashes[:, c : c + 64], axis=0)
-        h, t = (np.take_along_axis(x[:, c : c + 64], order, axis=0) for x in (hashes, there))
+    wide = reach + 1 if n <= 8_192 else 64  # columns whose hashes are held at a time
+    for c in range(0, reach + 1, wide):
+        now, until = there[:, c : c + wide], min(reach + 1, c + wide)
+        hashes = np.concatenate([_rolling_rows(text[a : a + 512, c : until + length - 1], length) for a in range(0, n, 512)])
+        alone = np.arange(n, dtype=np.uint64)[:, None] * _MIX + np.uint64(1)  # nothing equals these
+        hashes = np.where(now, hashes, alone)
+        order = np.argsort(hashes, axis=0)
+        h, t = np.take_along_axis(hashes, order, axis=0), np.take_along_axis(now, order, axis=0)
         m = np.zeros_like(t)
         same = (h[1:] == h[:-1]) & t[1:] & t[:-1]
         m[1:] |= same
         m[:-1] |= same
-        np.put_along_axis(many[:, c : c + 64], order, m, axis=0)
+        np.put_along_axis(many[:, c : c + wide], order, m, axis=0)
     hit = many.any(axis=1)
     first, last = many.argmax(axis=1), reach - many[:, ::-1].argmax(axis=1)
     at = rows["pos"].to_numpy() - reach
@@ -237,10 +237,13 @@ def repeated_spans(docs: DataFrame, length: int = 400, batches: int = 4, group:
         # a group too large for a task: its strings are counted one by one, spread by their hash
         def strings(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in it:
-                for head, d, p, left, right in zip(b["head"], b["doc"], b["pos"], b["left"], b["right"]):
-                    first, h = len(left), _rolling(np.frombuffer(left + right, dtype=np.uint8), length)
-                    check = _rolling(np.frombuffer(left + right, dtype=np.uint8)[::-1], length)[::-1]
-                    yield pd.DataFrame({"doc": [d] * len(h), "at": p - first + np.arange(len(h)), "h": h.astype(np.int64), "g": check.astype(np.int64)})
+                for a in range(0, len(b), 256):
+                    out = []
+                    for d, p, left, right in zip(*(b[c].iloc[a : a + 256] for c in ("doc", "pos", "left", "right"))):
+                        text = np.frombuffer(left + right, dtype=np.uint8)
+                        h, g = _rolling(text, length), _rolling(text[::-1], length)[::-1]
+                        out.append(pd.DataFrame({"doc": [d] * len(h), "at": p - len(left) + np.arange(len(h)), "h": h.view(np.int64), "g": g.copy().view(np.int64)}))
+                    yield pd.concat(out, ignore_index=True)
 
         big = rows.join(large, "head", "left_semi").mapInPandas(strings, "doc binary, at long, h long, g long").distinct()
         many = big.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "g")
