@@ -1,4 +1,8 @@
-"""SimHash near-duplicates: every fingerprint's half-radius ball is shuffled, colliding pairs are verified."""
+"""SimHash near-duplicates: every fingerprint's half-radius ball is shuffled, colliding pairs are verified.
+
+one_of_each() goes by the Jaccard similarity of shingle sets instead: a similarity of 0.8 is some 10 bits, which
+no affordable ball reaches, so its pairs meet in bands of minimum hashes as well.
+"""
 
 from __future__ import annotations
 
@@ -14,25 +18,54 @@ from .shared import components, parts, remove, semi, written
 
 #: Ways to cut 64 bits into equal blocks for lone(): blocks; each leaves blocks - radius to agree on.
 CUTS = (8, 10, 12, 16)
+#: Bands of one_of_each() and the minimum hashes in each: two sets of similarity s share none with (1 - s^4)^20, 3e-5 at 0.8.
+BANDS, BAND = 20, 4
 
 
-def fingerprint(text: str | None, words: int = 4) -> int:
-    """The signed 64-bit SimHash: a bit is 1 if it is set in over half the shingles' XXH64 (seed 42); no words: 0."""
+def shingles(text: str | None, words: int) -> Iterator[np.ndarray]:
+    """XXH64 (seed 42) of every run of ``words`` words, or of all words if they are fewer, as big-endian bytes in bounded blocks."""
     from xxhash import xxh64_digest
 
     w = (text or "").encode("utf-8", "replace").translate(_FOLD).split()  # splits at space and \t-\r only
     if not w:
-        return 0
+        return
     joined = b" ".join(w)
     ends = np.cumsum([len(x) + 1 for x in w]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     k = min(words, len(w))
-    total = np.zeros(64, dtype=np.int64)
     s, e = starts[: len(w) - k + 1].tolist(), ends[k - 1 :].tolist()
-    for b in range(0, len(s), 1 << 16):  # a bounded matrix of bits
-        h = b"".join([xxh64_digest(joined[i:j], 42) for i, j in zip(s[b : b + (1 << 16)], e[b : b + (1 << 16)])])
-        total += np.unpackbits(np.frombuffer(h, dtype=np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.frombuffer(np.packbits(2 * total > len(s)).tobytes(), dtype=">i8")[0])
+    for b in range(0, len(s), 1 << 16):
+        yield np.frombuffer(b"".join([xxh64_digest(joined[i:j], 42) for i, j in zip(s[b : b + (1 << 16)], e[b : b + (1 << 16)])]), dtype=np.uint8)
+
+
+def fingerprint(text: str | None, words: int = 4) -> int:
+    """The signed 64-bit SimHash: a bit is 1 if it is set in over half the shingles' XXH64 (seed 42); no words: 0."""
+    return _vote(list(shingles(text, words)))
+
+
+def _vote(blocks: list[np.ndarray]) -> int:
+    total, n = np.zeros(64, dtype=np.int64), sum(len(h) // 8 for h in blocks)
+    for h in blocks:
+        total += np.unpackbits(h.reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.frombuffer(np.packbits(2 * total > n).tobytes(), dtype=">i8")[0])
+
+
+def shingle_set(blocks: list[np.ndarray]) -> np.ndarray:
+    """The distinct shingle hashes, sorted."""
+    return np.unique(np.concatenate([h.view(">u8").astype(np.uint64) for h in blocks])) if blocks else np.empty(0, np.uint64)
+
+
+def bands(found: np.ndarray) -> list[int]:
+    """A key for each band: a hash of its BAND minimum hashes; none for an empty set."""
+    if not len(found):
+        return []
+    from xxhash import xxh64_intdigest
+
+    mul, add = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * BAND, 1), dtype=np.uint64)
+    low = np.full(BANDS * BAND, np.iinfo(np.uint64).max, dtype=np.uint64)
+    for b in range(0, len(found), 1 << 11):  # a matrix that fits the cache
+        low = np.minimum(low, (found[b : b + (1 << 11)] * (mul | np.uint64(1)) + add).min(axis=1))
+    return [xxh64_intdigest(low[i : i + BAND].tobytes(), i) - (1 << 63) for i in range(0, len(low), BAND)]
 
 
 _FOLD = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
@@ -112,7 +145,69 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, key: str =
     return rows.join(vertex, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, words: int = 5, radius: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with the smallest key of each near-duplicate group only; all columns and rows with null keys stay."""
-    found, _ = written(near_duplicates(docs, words, radius, key, text).where("doc_id <> component_id").select(F.col("doc_id").alias(key)), "copies")
+def _signatures(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
+    """(doc_id, t hash of the text, fp, bands) of every row."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            fps, keys = [], []
+            for x in b["text"]:
+                blocks = list(shingles(x, words))
+                fps.append(_vote(blocks))
+                keys.append(bands(shingle_set(blocks)))
+            yield pd.DataFrame({"doc_id": b["doc_id"], "t": b["t"], "fp": pd.Series(fps, dtype="int64"), "bands": pd.Series(keys, dtype="object")})
+
+    kind = docs.schema[key].dataType.simpleString()
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+    return rows.mapInPandas(each, f"doc_id {kind}, t long, fp long, bands array<long>")
+
+
+def _sets(texts: DataFrame, words: int) -> DataFrame:
+    """(t, s array of the distinct shingle hashes) of rows (t, text)."""
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i in range(0, len(b), 200):  # sets are about as large as their texts
+                c = b.iloc[i : i + 200]
+                yield pd.DataFrame({"t": c["t"].to_numpy(), "s": pd.Series([shingle_set(list(shingles(x, words))).view(np.int64) for x in c["text"]], dtype="object")})
+
+    return texts.mapInPandas(each, "t long, s array<long>")
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, component_id) of every row: rows whose shingle sets have a Jaccard similarity of ``similarity`` or more are linked.
+
+    Distinct texts are the vertices. Those that share a band of minimum hashes are paired with the first of the
+    band and with the two before them in a fixed order, and the SimHash links within ``radius`` are taken too;
+    of all these pairs the exact similarity decides. Texts without words are alike. component_id is the
+    smallest doc_id that links reach (null if no row there has one).
+    """
+    rows, path = written(_signatures(docs, words, key, text), "signatures")
+    first, _ = written(rows.groupBy("t").agg(F.min("fp").alias("fp"), F.first("bands").alias("bands")), "texts")
+    keys = first.select("t", F.posexplode("bands").alias("k", "band")).select("t", F.xxhash64("k", "band").alias("key"))
+    w = Window.partitionBy("key").orderBy("t")
+    met = keys.select("t", F.array(F.first("t").over(w), F.lag("t").over(w), F.lag("t", 2).over(w)).alias("others"))
+    met = met.select(F.explode("others").alias("a"), F.col("t").alias("b")).where("a < b")
+    at = first.groupBy("fp").agg(F.min("t").alias("t"))
+    ball = links(at.select("fp"), radius).join(at.select(F.col("fp").alias("a"), F.col("t").alias("x")), "a").join(at.select(F.col("fp").alias("b"), F.col("t").alias("y")), "b")
+    same = first.join(at.select("fp", F.col("t").alias("x")), "fp").where("t <> x").select("x", F.col("t").alias("y"))
+    more = ball.select("x", "y").unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    pairs, _ = written(met.select("a", "b").unionByName(more).distinct(), "pairs")
+    need = pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct()
+    texts = docs.select(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"), F.col(text).alias("text"))
+    sets, held = written(_sets(semi(texts, written(need, "need")[0], "t").dropDuplicates(["t"]), words), "sets")
+    both = pairs.join(sets.select(F.col("t").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("t").alias("b"), F.col("s").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    union = F.size("x") + F.size("y") - common
+    edges, _ = written(both.where((union == 0) | (common >= F.lit(similarity) * union)).select("a", "b"), "edges")
+    groups = components(edges)
+    whole = rows.select("doc_id", "t").join(groups.select(F.col("node").alias("t"), "component"), "t", "left").select("doc_id", F.coalesce("component", "t").alias("c"))
+    out, _ = written(whole, "copies")
+    remove(docs.sparkSession, path, held)
+    return out.join(out.groupBy("c").agg(F.min("doc_id").alias("component_id")), "c").select("doc_id", "component_id")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs with the smallest key of each group of near copies (Jaccard) only; all columns and rows with null keys stay."""
+    found, _ = written(near_copies(docs, words, similarity, key=key, text=text).where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct(), "copies")
     return semi(docs, found, key, "left_anti")
