@@ -221,9 +221,9 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 # --- clips -------------------------------------------------------------------------------------------------
 
 
-def videos(spark, d):
-    """Sources with fingerprints of 24 values, and clips cut out of some of them with flipped bits."""
-    x = D.base_items(spark, d).where("id < 400").select("id", "lo", "hi", F.floor(F.col("id") / 12).alias("g"), (F.col("id") % 12).alias("k"))
+def videos(spark, d, below: int | None = None):
+    """Sources with fingerprints of 24 values, and clips cut out of some of them with flipped bits; ``below`` bounds the ids used."""
+    x = D.base_items(spark, d).where(F.lit(True) if below is None else F.col("id") < below).select("id", "lo", "hi", F.floor(F.col("id") / 12).alias("g"), (F.col("id") % 12).alias("k"))
     s = x.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("k", "lo", "hi"))).alias("v")).where(F.size("v") == 12)
     s = s.select("g", F.flatten(F.transform("v", lambda v: F.array(v["lo"], v["hi"]))).alias("fp"))
     source = s.select(F.col("g").cast("long").alias("id"), (200.0 + F.col("g") * 3).alias("duration_s"), "fp")
@@ -231,6 +231,9 @@ def videos(spark, d):
     return source.unionByName(clip)
 
 
+#: The ids that the SQL of the next three queries reads; clip_items_whole has the whole table.
+SQL_BELOW = 400
+
 VIDEOS = f"""{ITEMS}, g AS (SELECT id // 12 AS g, list([lo, hi] ORDER BY id) AS v FROM base WHERE id < 400 GROUP BY id // 12 HAVING count(*) = 12), s AS (SELECT g, flatten(v) AS fp FROM g),
 videos AS (SELECT CAST(g AS BIGINT) AS id, 200.0 + g * 3 AS duration_s, fp FROM s UNION ALL SELECT CAST(g + 1000 AS BIGINT), 60.0 + g, list_transform(fp[g % 8 + 3 : g % 8 + 10], lambda x: xor(x, 5)) FROM s WHERE g % 3 = 0),
 ordered AS (SELECT *, row_number() OVER (ORDER BY duration_s DESC, id) - 1 AS idx FROM videos),
@@ -242,17 +245,23 @@ m AS (SELECT source_id, source_idx, clip_id, 1.0 - bits / n AS similarity, o FRO
 
 @query(f"{VIDEOS} SELECT source_id, clip_id, round(similarity, 6) AS similarity, CAST(o AS INTEGER) AS offset_s FROM m")
 def sliding_match(spark, d):
-    return CL.clip_matches(CL.by_duration(videos(spark, d))).select("source_id", "clip_id", F.round("similarity", 6).alias("similarity"), "offset_s")
+    return CL.clip_matches(CL.by_duration(videos(spark, d, SQL_BELOW))).select("source_id", "clip_id", F.round("similarity", 6).alias("similarity"), "offset_s")
 
 
 @query(f"{VIDEOS} SELECT source_id AS group_id, clip_id, CAST(o AS INTEGER) AS offset_s FROM (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY source_idx) AS rn FROM m) WHERE rn = 1")
 def clip_assignments(spark, d):
-    return CL.assign_clips(CL.clip_matches(CL.by_duration(videos(spark, d)))).select("group_id", "clip_id", "offset_s")
+    return CL.assign_clips(CL.clip_matches(CL.by_duration(videos(spark, d, SQL_BELOW)))).select("group_id", "clip_id", "offset_s")
 
 
 @query(f"{VIDEOS}, a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY source_idx) AS rn FROM m) WHERE rn = 1) SELECT DISTINCT source_id AS group_id, source_id AS id, false AS is_clip, 0 AS offset_s FROM a UNION ALL SELECT source_id, clip_id, true, CAST(o AS INTEGER) FROM a")
 def clip_items(spark, d):
-    return CL.clip_items(CL.assign_clips(CL.clip_matches(CL.by_duration(videos(spark, d))))).drop("similarity")
+    return CL.clip_items(CL.assign_clips(CL.clip_matches(CL.by_duration(videos(spark, d, SQL_BELOW))))).drop("similarity")
+
+
+@query()
+def clip_items_whole(spark, d):
+    """Sources and clips of all vectors; tests/test_clips.py holds it against brute force, as the SQL is too slow."""
+    return CL.clip_items(CL.assign_clips(CL.clip_matches(CL.by_duration(videos(spark, d)))))
 
 
 @query("SELECT user_id % 50 AS k, len(list(value)) > 0 AND list_sum(list_transform(list(CAST(floor(value) AS BIGINT) // 1000000), lambda x: abs(x))) = 0 AS silent FROM events GROUP BY 1")
