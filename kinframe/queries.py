@@ -596,7 +596,7 @@ def csv_export(spark, d):
 @query()
 def results_json(spark, d):
     """Groups as JSON documents, read back."""
-    x = D.ranked_items(spark, d).where("group_id % 10 = 0").select("group_id", F.struct(F.col("group_id").alias("groupId"), "path", F.col("size").alias("sizeLong"), F.col("similarity").cast("double").alias("similarity"), F.col("is_image").alias("isImage")).alias("itemInfo"))
+    x = D.ranked_items(spark, d).select("group_id", F.struct(F.col("group_id").alias("groupId"), "path", F.col("size").alias("sizeLong"), F.col("similarity").cast("double").alias("similarity"), F.col("is_image").alias("isImage")).alias("itemInfo"))
     docs = x.groupBy("group_id").agg(F.collect_list(F.struct("itemInfo")).alias("items")).select(F.to_json(F.struct(F.lit(1).alias("version"), "items")).alias("value"))
     return files.read_results(docs)
 
