@@ -8,6 +8,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinframe.functions import kernels as K
+
+from . import filters
+
 #: A clip is shorter than this share of its source.
 MAX_RATIO = 0.95
 
@@ -31,6 +35,16 @@ def sliding_match(shorter: Column, longer: Column, min_similarity: float) -> Col
     return F.when((n > 0) & (m >= n) & best.isNotNull(), found)
 
 
+def eligible(videos: DataFrame, grouped: DataFrame | None = None) -> DataFrame:
+    """Videos that take part: a fingerprint of two blocks or more that isn't silent, no silence flag, no image, not in ``grouped`` (id)."""
+    rows = videos.where((F.size("fp") >= 2) & ~filters.silent(F.col("fp")))
+    if "is_image" in videos.columns:
+        rows = rows.where(~F.coalesce("is_image", F.lit(False)))
+    if "flags" in videos.columns:
+        rows = rows.where(~F.coalesce(K.has_any(F.col("flags"), K.FLAGS["silent_audio"]), F.lit(False)))
+    return rows if grouped is None else rows.join(grouped.select("id").distinct(), "id", "left_anti")
+
+
 def clip_candidates(videos: DataFrame, min_ratio: float) -> DataFrame:
     """(s, c) structs: a source and a shorter video whose duration is from min_ratio to under MAX_RATIO of it.
 
@@ -78,6 +92,25 @@ def gate_times(duration: Column) -> Column:
     return F.when(duration >= 9, many).when(duration >= 3, F.array(duration * 0.33, duration * 0.66)).otherwise(F.array(duration * 0.5))
 
 
+def frame_similarities(assigned: DataFrame, videos: DataFrame, frames: DataFrame, use_phash: bool = False) -> DataFrame:
+    """(source_id, clip_id, similarity) at each place of gate_times(), for visual_gate().
+
+    ``videos`` has id and duration_s; ``frames`` id, at_s (seconds, met to the millisecond) and frame, or phash
+    (64 bits) with use_phash. Places in the last tenth of a second of either file are left out.
+    """
+    ms = lambda c: F.round(c * 1000).cast("long")
+    value = "phash" if use_phash else "frame"
+    length = videos.select("id", "duration_s")
+    at = assigned.select("source_id", "clip_id", "offset_s").join(length.select(F.col("id").alias("source_id"), F.col("duration_s").alias("long_s")), "source_id")
+    at = at.join(length.select(F.col("id").alias("clip_id"), F.col("duration_s").alias("short_s")), "clip_id").withColumn("t", F.explode(gate_times(F.col("short_s"))))
+    at = at.where((F.col("offset_s") + F.col("t") < F.col("long_s") - 0.1) & (F.col("t") < F.col("short_s") - 0.1))
+    at = at.select("source_id", "clip_id", ms(F.col("offset_s") + F.col("t")).alias("x_ms"), ms(F.col("t")).alias("y_ms"))
+    x = frames.select(F.col("id").alias("source_id"), ms(F.col("at_s")).alias("x_ms"), F.col(value).alias("x")).dropDuplicates(["source_id", "x_ms"])
+    y = frames.select(F.col("id").alias("clip_id"), ms(F.col("at_s")).alias("y_ms"), F.col(value).alias("y")).dropDuplicates(["clip_id", "y_ms"])
+    alike = 1.0 - F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) / 64.0 if use_phash else 1.0 - K.pixel_difference(F.col("x"), F.col("y"))
+    return at.join(x, ["source_id", "x_ms"], "left").join(y, ["clip_id", "y_ms"], "left").select("source_id", "clip_id", alike.alias("similarity"))
+
+
 def visual_gate(assigned: DataFrame, similarities: DataFrame, threshold: float) -> DataFrame:
     """Assignments whose mean frame similarity reaches the threshold, or of which nothing could be compared.
 

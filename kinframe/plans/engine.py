@@ -14,7 +14,7 @@ class MediaEngine:
     """catalog -> validate -> candidates -> match -> group -> annotate -> report; every step is a temp view too.
 
     The catalog has id, path, folder, size, duration_s, width, height, lo, hi, frame, file_id, is_image and what
-    validity needs (flags, on_disk); ids are given in path order by the caller, and pairs are resolved in that order.
+    validity needs (flags, on_disk), and fp if clips are looked for; ids are given in path order by the caller, and pairs are resolved in that order.
     """
 
     def __init__(self, spark: SparkSession, config: ScanConfig | None = None, side: int = 8):
@@ -40,19 +40,35 @@ class MediaEngine:
         c = self.config
         return self._view("groups", grouping.duplicate_groups(valid, self.match(valid), c.limit, c.use_phash, c.max_bits))
 
-    def run(self, catalog: DataFrame) -> DataFrame:
-        """Grouped items with their attributes, similarity and best flags."""
+    def run(self, catalog: DataFrame, frames: DataFrame | None = None) -> DataFrame:
+        """Grouped items with their attributes, similarity and best flags.
+
+        With partial_clips, videos that are in no group and have a fingerprint (fp) go through clips(), and what is
+        found is added: is_clip tells clips, offset_s where they start.
+        """
         valid = self.validate(catalog)
-        found = self.group(valid).join(valid.drop("lo", "hi", "frame"), "id").withColumn("similarity", (1 - F.col("difference")) * 100)
+        groups = self.group(valid)
+        found = groups.withColumns({"similarity": (1 - F.col("difference")) * 100, "is_clip": F.lit(False), "offset_s": F.lit(0)})
+        if self.config.partial_clips and "fp" in valid.columns:
+            more = self.clips(valid, groups, frames)
+            more = more.withColumns({"difference": 1 - F.col("similarity") / 100, "flipped": F.lit(False)})
+            found = found.unionByName(more.select(found.columns))
+        found = found.join(valid.drop("lo", "hi", "frame", "fp"), "id")
         for c in ("fps", "bitrate_kbps", "audio_kbps", "audio_rate", "hdr_rank"):
             found = found if c in found.columns else found.withColumn(c, F.lit(0))
         found = found if "frame_size" in found.columns else found.withColumn("frame_size", F.col("width") + F.col("height"))
         return self._view("items", ranking.best_flags(found))
 
-    def clips(self, videos: DataFrame) -> DataFrame:
+    def clips(self, videos: DataFrame, grouped: DataFrame | None = None, frames: DataFrame | None = None) -> DataFrame:
+        """Clips and their sources among the eligible videos; with clip_visual_gate, ``frames`` (see CL.frame_similarities) decide too."""
         c = self.config
-        found = CL.clip_matches(CL.by_duration(videos), c.clip_min_ratio, c.clip_similarity)
-        return self._view("clips", CL.clip_items(CL.assign_clips(found)))
+        rows = CL.eligible(videos, grouped)
+        assigned = CL.assign_clips(CL.clip_matches(CL.by_duration(rows), c.clip_min_ratio, c.clip_similarity))
+        if c.clip_visual_gate:
+            if frames is None:
+                raise ValueError("clip_visual_gate needs frames")
+            assigned = CL.visual_gate(assigned, CL.frame_similarities(assigned, rows, frames, c.use_phash), c.clip_visual_similarity)
+        return self._view("clips", CL.clip_items(assigned))
 
     def report(self, items: DataFrame) -> DataFrame:
         return results.group_stats(items)
