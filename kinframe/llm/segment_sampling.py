@@ -1,7 +1,7 @@
 """SentencePiece segmentations by Gumbel top-k without replacement: a perturbed A* search over the lattice.
 
-A text (its spaces as U+2581, one put in front) is cut before each run of U+2581, which no piece reaches over;
-each distinct stretch has a lattice of the vocabulary's pieces (byte pieces for characters without one). The
+A text (its spaces as U+2581, one put in front) is cut between any two characters that stand side by side in no
+piece; each distinct stretch has a lattice of the vocabulary's pieces (byte pieces for characters without one). The
 vocabulary is of kind BPE and has ranks, not probabilities, so a piece of rank r weighs (r + 2)^-temperature and
 a segmentation the product of its pieces; backward sums make that a chain of conditional choices.
 
@@ -17,8 +17,6 @@ of (seed, row key, sample, place), so results don't depend on batches or partiti
 from __future__ import annotations
 
 import heapq
-import re
-import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from math import exp, log
@@ -29,16 +27,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-_STRETCH = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-#: Edges of lattices that a worker keeps, and characters of texts that are sampled together.
 _BASE, _ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
-REMEMBERED, TOGETHER = 4_000_000, 400_000
+#: Lattice nodes that a worker keeps between batches, and characters of texts that are sampled together.
+REMEMBERED, TOGETHER = 1_500_000, 400_000
+
+
+class _Table:
+    """64-bit keys to numbers, by open addressing on arrays; key 0 stands for an empty slot."""
+
+    def __init__(self, bits: int):
+        self.bits, self.keys, self.values = bits, np.zeros(1 << bits, dtype=np.uint64), np.full(1 << bits, -1, dtype=np.int64)
+
+    def _at(self, h: np.ndarray) -> np.ndarray:
+        return ((h * np.uint64(_BASE)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def get(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which keys are known, and their numbers."""
+        at = self._at(h)
+        there = self.keys[at]
+        hit = there == h
+        todo = np.flatnonzero(~hit & (there != 0))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & (len(self.keys) - 1)
+            there = self.keys[at[todo]]
+            good = there == h[todo]
+            hit[todo[good]] = True
+            todo = todo[~good & (there != 0)]
+        return hit, self.values[at]
+
+    def put(self, h: np.ndarray, values: np.ndarray) -> None:
+        """Adds distinct keys that aren't there yet."""
+        at = self._at(h)
+        todo = np.arange(len(h))
+        while len(todo):
+            free = todo[self.keys[at[todo]] == 0]
+            self.keys[at[free]] = h[free]  # of several for a slot one stays
+            mine = free[self.keys[at[free]] == h[free]]
+            self.values[at[mine]] = values[mine]
+            todo = todo[self.keys[at[todo]] != h[todo]]
+            at[todo] = (at[todo] + 1) & (len(self.keys) - 1)
 
 
 class Lattices:
-    """Lattices of distinct stretches in flat arrays: nodes have runs of edges with cumulative conditional probabilities.
+    """Lattices of distinct stretches in flat arrays.
 
-    A stretch of n characters has n + 1 nodes, the last without edges. New stretches are built together.
+    A node is a place before a character of a stretch. Its edges lie side by side from ``first`` on, shorter pieces
+    before longer ones: the node that an edge comes from and goes to (-1: the stretch's end), its piece, its
+    conditional log-probability given that the path has come to its node, the log of its siblings' mass, and the
+    running sum of probabilities up to it. Stretches are known by a 64-bit hash; that a decoded text equals the input is checked in the end.
     """
 
     def __init__(self, model: str, temperature: float):
@@ -46,7 +82,7 @@ class Lattices:
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
         n = self.sp.vocab_size()
-        self.pieces: list[bytes] = []
+        pieces: list[bytes] = []
         self.ids: dict[str, int] = {}
         self.byte_ids = [0] * 256
         first = None
@@ -54,162 +90,207 @@ class Lattices:
             piece = self.sp.id_to_piece(i)
             if self.sp.is_byte(i):
                 self.byte_ids[int(piece[3:5], 16)] = i
-                self.pieces.append(bytes([int(piece[3:5], 16)]))
+                pieces.append(bytes([int(piece[3:5], 16)]))
             elif self.sp.is_control(i) or self.sp.is_unknown(i) or self.sp.is_unused(i):
-                self.pieces.append(b"")
+                pieces.append(b"")
             else:
                 first = i if first is None else first
                 self.ids[piece] = i
-                self.pieces.append(piece.replace(SPACE, " ").encode())
+                pieces.append(piece.replace(SPACE, " ").encode())
         self.score = {p: -temperature * log(2 + i - first) for p, i in self.ids.items()}
         self.byte_score = -temperature * log(2 + n)
-        # entries: pieces, then groups of byte pieces that stand for one character
+        self.n_pieces, self.longest = n, max(map(len, self.ids), default=1)
+        self.piece_bytes = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        self.piece_sizes = np.array([len(p) for p in pieces], dtype=np.int64)
+        self.piece_at = np.cumsum(self.piece_sizes) - self.piece_sizes
+        # scores by entry: pieces, then groups of byte pieces that stand for one character
+        self.scores = np.full(n, -np.inf)
+        for piece, i in self.ids.items():
+            self.scores[i] = self.score[piece]
         self.groups: dict[int, int] = {}
         self.group_ids: list[list[int]] = []
-        self.n_pieces = n
-        self.longest = max(map(len, self.ids), default=1)
-        # by length the hashes of all beginnings of pieces, and the piece's id and score where the beginning is one
-        starts: list[dict[int, tuple[int, float]]] = [{} for _ in range(self.longest)]
+        known: dict[int, int] = {}  # hashes of all beginnings of pieces: -1, or the piece's id
         for piece, i in self.ids.items():
             h = 0
             for k, c in enumerate(piece):
                 h = (h * _BASE + ord(c) + 1) & _ALL
                 if k + 1 == len(piece):
-                    starts[k][h] = i, self.score[piece]
+                    known[h] = i
                 else:
-                    starts[k].setdefault(h, (-1, 0.0))
-        self.begin = []
-        for d in starts:
-            h = np.array(sorted(d), dtype=np.uint64)
-            self.begin.append((h, np.array([d[int(x)][0] for x in h], dtype=np.int32), np.array([d[int(x)][1] for x in h])))
+                    known.setdefault(h, -1)
+        self.beginnings = _Table(max(4, (4 * len(known)).bit_length()))
+        self.beginnings.put(np.array(list(known), dtype=np.uint64), np.array(list(known.values()), dtype=np.int64))
+        # characters of pieces in classes, and which classes stand side by side in a piece
+        letters = sorted({c for p in self.ids for c in p})
+        self.kinds = len(letters) + 1
+        self.kind = np.zeros(max(map(ord, letters), default=0) + 2, dtype=np.int64)
+        self.kind[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.beside = np.zeros(self.kinds**2, dtype=bool)
+        for p in self.ids:
+            k = self.kind[[ord(c) for c in p]]
+            self.beside[k[:-1] * self.kinds + k[1:]] = True
+        self.powers = self.inverses = np.ones(1, dtype=np.uint64)
         self.clear()
 
     def clear(self) -> None:
-        self.roots: dict[str, int] = {}
-        self.n_nodes = 0
-        self.size = 0
-        self.arrays = [np.zeros(1 << 16, dtype=t) for t in (np.float64, np.int32, np.int32, np.float64, np.float32)]
-        self.at = np.zeros(1, dtype=np.int64)
-
-    def _build(self, new: list[str]) -> None:
-        lengths = np.fromiter(map(len, new), dtype=np.int64, count=len(new))
-        n = int(lengths.sum())
-        chars = np.frombuffer("".join(new).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        stretch = np.repeat(np.arange(len(new)), lengths)
-        base = np.concatenate(([0], np.cumsum(lengths + 1)[:-1]))  # first nodes
-        node = np.arange(n) + stretch  # of each character
-        end = (base + lengths)[stretch]
-        left = end - node  # characters to the stretch's end
+        self.roots = _Table(20)
+        self.n_stretches = self.n_nodes = self.n_edges = 0
+        room = 1 << 20
+        self.first = np.zeros(room, dtype=np.int64)
+        self.cum, self.logp, self.rest = (np.zeros(4 * room) for _ in range(3))
+        self.frm, self.to, self.entry = (np.zeros(4 * room, dtype=np.int32) for _ in range(3))
+
+    def cut(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(characters, starts of stretches, stretches of each text): texts with their space in front, cut where no piece reaches over."""
+        chars = np.frombuffer("".join([SPACE + t.replace(" ", SPACE) for t in texts if t]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        begin = np.cumsum([0, *(len(t) + 1 if t else 0 for t in texts)])
+        kind = self.kind[np.minimum(chars, len(self.kind) - 1)]
+        new = np.ones(len(chars) + 1, dtype=bool)
+        new[1:-1] = ~self.beside[kind[:-1] * self.kinds + kind[1:]]
+        new[begin] = True
+        starts = np.flatnonzero(new[:-1])
+        return chars, starts, np.diff(np.searchsorted(starts, begin))
+
+    def nodes_of(self, chars: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The first node of each stretch; new ones are built."""
+        n = len(chars)
+        if n > len(self.powers):
+            self.powers = np.cumprod(np.full(n, _BASE, dtype=np.uint64))
+            self.inverses = np.cumprod(np.full(n, pow(_BASE, -1, 1 << 64), dtype=np.uint64))
+        sizes = np.diff(np.append(starts, n))
+        sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum((chars + np.uint64(1)) * self.powers[:n])))
+        h = _mix((sums[starts + sizes] - sums[starts]) * self.inverses[starts] + sizes.astype(np.uint64)) | np.uint64(1)
+        hit, roots = self.roots.get(h)
+        if not hit.all():
+            miss = np.flatnonzero(~hit)
+            keys, one = np.unique(h[miss], return_index=True)
+            one = miss[one]
+            if 2 * (self.n_stretches + len(keys)) > len(self.roots.keys):
+                old = np.flatnonzero(self.roots.keys)
+                larger = _Table((4 * (self.n_stretches + len(keys))).bit_length())
+                larger.put(self.roots.keys[old], self.roots.values[old])
+                self.roots = larger
+            many = sizes[one]
+            at = np.repeat(starts[one] - np.cumsum(many) + many, many) + np.arange(int(many.sum()))
+            self.roots.put(keys, self._build(chars[at], many))
+            self.n_stretches += len(keys)
+            roots[miss] = self.roots.get(h[miss])[1]
+        return roots
+
+    def _build(self, chars: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The first nodes of new stretches."""
+        n = len(chars)
+        ends = np.cumsum(lengths)
+        left = np.repeat(ends, lengths) - np.arange(n)  # characters to the stretch's end
         place, h = np.arange(n), np.zeros(n, dtype=np.uint64)
-        froms, tos, entries, scores = [], [], [], []
-        alone = np.ones(n, dtype=bool)
-        for k, (known, ids, score) in enumerate(self.begin):
+        froms, sizes, entries = [], [], []
+        for k in range(self.longest):
             on = left[place] > k
             place, h = place[on], h[on]
             if not len(place):
                 break
-            h = h * np.uint64(_BASE) + chars[place + k].astype(np.uint64) + np.uint64(1)
-            x = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            on = known[x] == h
-            place, h, x = place[on], h[on], x[on]
-            piece = ids[x] >= 0
-            at, x = place[piece], x[piece]
-            if k == 0:
-                alone[at] = False
-            froms.append(node[at])
-            tos.append(node[at] + k + 1)
-            entries.append(ids[x])
-            scores.append(score[x])
+            h = h * np.uint64(_BASE) + chars[place + k] + np.uint64(1)
+            hit, ids = self.beginnings.get(h)
+            place, h, ids = place[hit], h[hit], ids[hit]
+            piece = ids >= 0
+            froms.append(place[piece])
+            sizes.append(np.full(len(froms[-1]), k + 1))
+            entries.append(ids[piece])
+        alone = np.ones(n, dtype=bool)
+        alone[froms[0]] = False
         if alone.any():  # characters without a piece
-            which = chars[alone]
-            for c in np.unique(which).tolist():
-                if c not in self.groups:
-                    self.groups[c] = self.n_pieces + len(self.group_ids)
-                    self.group_ids.append([self.byte_ids[b] for b in chr(c).encode("utf-8", "replace")])
-            group = np.array([self.groups[c] for c in which.tolist()], dtype=np.int32)
-            froms.append(node[alone])
-            tos.append(node[alone] + 1)
-            entries.append(group)
-            scores.append(self.byte_score * np.array([len(self.group_ids[g - self.n_pieces]) for g in group.tolist()]))
-        frm, to, entry, w = (np.concatenate(v) for v in (froms, tos, entries, scores))
-        n_nodes = n + len(new)
-        dist = np.zeros(n_nodes, dtype=np.int64)
-        dist[node] = left
-        order = np.lexsort((to, frm, dist[frm]))  # nodes near an end first, for the backward sums
-        f, t, x = frm[order], to[order], w[order]
-        beta = np.zeros(n_nodes)
-        near = dist[f]
-        steps = np.flatnonzero(np.diff(near, prepend=0))
-        for lo, hi in zip(steps.tolist(), [*steps[1:].tolist(), len(f)]):
-            v, g = x[lo:hi] + beta[t[lo:hi]], f[lo:hi]
-            heads = np.flatnonzero(np.diff(g, prepend=-1))
-            top = np.maximum.reduceat(v, heads)
-            counts = np.diff(np.append(heads, len(g)))
-            total = np.add.reduceat(np.exp(v - np.repeat(top, counts)), heads)
-            beta[g[heads]] = top + np.log(total)
-        order = np.lexsort((to, frm))
-        f, t, x, entry = frm[order], to[order], w[order], entry[order]
-        logp = x + beta[t] - beta[f]
-        p = np.exp(logp)
-        heads = np.flatnonzero(np.diff(f, prepend=-1))
-        counts = np.diff(np.append(heads, len(f)))
-        running = np.cumsum(p)
-        cum = running - np.repeat(running[heads] - p[heads], counts)
-        last = heads + counts - 1
-        cum = np.minimum(cum, 1.0)
-        cum[last] = 1.0
-        most = np.repeat(np.maximum.reduceat(p, heads), counts)
-        big = p == most
-        others = np.repeat(np.add.reduceat(np.where(big, 0.0, p), heads), counts)
-        ties = np.repeat(np.add.reduceat(big.astype(np.float64), heads), counts)
+            which = chars[alone].tolist()
+            for c in sorted(set(which) - self.groups.keys()):
+                self.groups[c] = self.n_pieces + len(self.group_ids)
+                self.group_ids.append([self.byte_ids[b] for b in chr(c).encode("utf-8", "replace")])
+                self.scores = np.append(self.scores, self.byte_score * len(self.group_ids[-1]))
+            froms.append(np.flatnonzero(alone))
+            sizes.append(np.ones(len(which), dtype=np.int64))
+            entries.append(np.array([self.groups[c] for c in which], dtype=np.int64))
+        frm, size, entry = (np.concatenate(v) for v in (froms, sizes, entries))
+        # nodes near an end first, for the backward sums
+        rank = np.empty(n, dtype=np.int64)
+        rank[by := np.argsort(left, kind="stable")] = np.arange(n)
+        order = np.argsort(rank[frm] * (self.longest + 1) + size, kind="stable")
+        frm, size, entry = frm[order], size[order], entry[order]
+        many = np.bincount(rank[frm], minlength=n)  # edges of each node
+        bounds = np.concatenate(([0], np.cumsum(many)))
+        x, to = self.scores[entry], frm + size
+        last = size == left[frm]
+        beta = np.zeros(n + 1)
+        goes = np.where(last, n, to)  # n: nothing is left
+        p, logp = np.empty(len(x)), np.empty(len(x))
+        near = np.concatenate(([0], np.cumsum(np.bincount(left)[1:]))).tolist()  # the first node of each distance
+        edge = bounds[near].tolist()
+        for i, j, lo, hi in zip(near[:-1], near[1:], edge[:-1], edge[1:]):
+            if j > i:
+                v, heads, times = x[lo:hi] + beta[goes[lo:hi]], bounds[i:j] - lo, many[i:j]
+                top = np.maximum.reduceat(v, heads)
+                e = np.exp(v - np.repeat(top, times))
+                total = np.add.reduceat(e, heads)
+                beta[by[i:j]] = own = top + np.log(total)
+                p[lo:hi] = e / np.repeat(total, times)
+                logp[lo:hi] = v - np.repeat(own, times)
+        heads = bounds[:-1]
+        cum = np.cumsum(p)
+        cum -= np.repeat(cum[heads] - p[heads], many)
+        cum[bounds[1:] - 1] = 2.0  # the last piece takes the rest
+        big = p > 0.5  # one a node at the most: its siblings are summed, for 1 - p would lose their digits
         with np.errstate(divide="ignore"):
-            rest = np.where(big, np.log(others + (ties - 1) * p), np.log1p(-np.minimum(p, 0.75)))
-        need = self.size + len(f)
-        while need > len(self.arrays[0]):
-            self.arrays = [np.concatenate([a, np.zeros_like(a)]) for a in self.arrays]
-        stop = np.zeros(n_nodes, dtype=bool)
-        stop[base + lengths] = True
-        for a, v in zip(self.arrays, (cum + f + self.n_nodes, np.where(stop[t], -1, t + self.n_nodes), entry, logp, rest)):
-            a[self.size : need] = v
-        degree = np.bincount(f, minlength=n_nodes)
-        self.at = np.concatenate((self.at, self.size + np.cumsum(degree)))
-        self.roots.update(zip(new, (base + self.n_nodes).tolist()))
-        self.n_nodes += n_nodes
-        self.size = need
-
-    def nodes_of(self, stretches: list[str]) -> np.ndarray:
-        roots = self.roots
-        if new := [s for s in dict.fromkeys(stretches) if s not in roots]:
-            self._build(new)
-        return np.fromiter(map(roots.__getitem__, stretches), dtype=np.int64, count=len(stretches))
-
-    # columns
-    cum = property(lambda self: self.arrays[0][: self.size])
-    to = property(lambda self: self.arrays[1])
-    entry = property(lambda self: self.arrays[2])
-    logp = property(lambda self: self.arrays[3])
-    rest = property(lambda self: self.arrays[4])
-
-    def encoded(self, edges: np.ndarray) -> np.ndarray:
-        """Piece ids of a path."""
-        e = self.entry[edges]
-        if not len(e) or int(e.max()) < self.n_pieces:
-            return e
-        many = np.ones(len(e), dtype=np.int64)
-        at = np.flatnonzero(e >= self.n_pieces)
-        groups = [self.group_ids[x - self.n_pieces] for x in e[at].tolist()]
-        many[at] = [len(g) for g in groups]
-        out, begin = np.repeat(e, many), np.cumsum(many) - many
-        out[np.repeat(begin[at], many[at]) + np.concatenate([np.arange(len(g)) for g in groups])] = np.concatenate(groups)
+            others = np.log(np.add.reduceat(np.where(big, 0.0, p), heads))
+        rest = np.where(big, np.repeat(others, many), np.log1p(-np.where(big, 0.0, p)))
+        nodes, edges = self.n_nodes + n, self.n_edges + len(x)
+        room = lambda a, need: a if need <= len(a) else np.concatenate((a, np.zeros(max(need, len(a) * 3 // 2) - len(a), dtype=a.dtype)))
+        self.first = room(self.first, nodes)
+        self.first[self.n_nodes + by] = self.n_edges + heads
+        for name, v in (("cum", cum), ("logp", logp), ("rest", rest), ("frm", frm + self.n_nodes), ("to", np.where(last, -1, to + self.n_nodes)), ("entry", entry)):
+            setattr(self, name, kept := room(getattr(self, name), edges))
+            kept[self.n_edges : edges] = v
+        out = ends - lengths + self.n_nodes
+        self.n_nodes, self.n_edges = nodes, edges
         return out
 
-    def decoded(self, ids: np.ndarray) -> bytes:
-        """The text of piece ids, without the space put in front."""
-        out = b"".join(map(self.pieces.__getitem__, ids.tolist()))
-        return out[1:] if out[:1] == b" " else out
-
-
-@lru_cache(maxsize=2)
+    def row(self, edge: int, without: set[int]) -> np.ndarray:
+        """An edge and its siblings, without some."""
+        node = self.frm[edge]
+        e = int(self.first[node])
+        out = []
+        while e < self.n_edges and self.frm[e] == node:
+            if e not in without:
+                out.append(e)
+            e += 1
+        return np.array(out, dtype=np.int64)
+
+    def encoded(self, paths: list[np.ndarray]) -> list[np.ndarray]:
+        """Piece ids of each path."""
+        if not paths:
+            return []
+        e = self.entry[np.concatenate(paths)]
+        ends = np.cumsum([len(p) for p in paths])
+        at = np.flatnonzero(e >= self.n_pieces)
+        if len(at):
+            groups = [self.group_ids[x - self.n_pieces] for x in e[at].tolist()]
+            many = np.ones(len(e), dtype=np.int64)
+            many[at] = [len(g) for g in groups]
+            until = np.concatenate(([0], np.cumsum(many)))
+            e = np.repeat(e, many)
+            e[np.repeat(until[at], many[at]) + np.concatenate([np.arange(len(g)) for g in groups])] = np.concatenate(groups)
+            ends = until[ends]
+        return np.split(e, ends[:-1])
+
+    def decoded(self, ids: list[np.ndarray]) -> list[bytes]:
+        """The texts of runs of piece ids, without the space put in front."""
+        if not ids:
+            return []
+        every = np.concatenate(ids)
+        sizes = self.piece_sizes[every]
+        ends = np.cumsum(sizes)
+        flat = self.piece_bytes[np.repeat(self.piece_at[every] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
+        at = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum([len(x) for x in ids])))].tolist()
+        return [flat[i + (flat[i : i + 1] == b" " and j > i) : j] for i, j in zip(at[:-1], at[1:])]
+
+
+@lru_cache(maxsize=1)
 def lattices(model: str, temperature: float) -> Lattices:
     return Lattices(model, temperature)
 
@@ -220,27 +301,36 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _uniform(keys: np.ndarray, a, b) -> np.ndarray:
-    """In (0, 1), a hash of each key and two counters."""
-    x = _mix(keys + np.asarray(a, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    x = _mix(x + np.asarray(b, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+#: What a draw is for; it is part of its counter.
+_ROOT, _PATH, _TURN, _AGAIN, _REGION = range(5)
+
+
+def _streams(keys: np.ndarray, sample: int, use: int) -> np.ndarray:
+    """A stream of randomness for each row key, sample and use."""
+    return _mix(keys + np.uint64((sample * 8 + use + 1) * _BASE & _ALL))
+
+
+def _uniform(streams: np.ndarray, counter: np.ndarray | int) -> np.ndarray:
+    """In (0, 1), a hash of each stream and counter."""
+    x = _mix(streams + np.asarray(counter, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
     return ((x >> np.uint64(12)).astype(np.float64) + 0.5) / 4503599627370496.0
 
 
-def _paths(lat: Lattices, nodes: np.ndarray, keys: np.ndarray, places: np.ndarray, sample: int) -> tuple[np.ndarray, np.ndarray]:
+def _paths(lat: Lattices, nodes: np.ndarray, streams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(edges, counts): a random path from each node to its stretch's end, all stretches a step at a time."""
-    cum, to = lat.cum, lat.to
-    active, state, step, steps = np.arange(len(nodes)), nodes, 0, []
+    active, state, steps, step = np.arange(len(nodes)), nodes, [], 1
     counts = np.zeros(len(nodes), dtype=np.int64)
     while len(active):
-        u = _uniform(keys[active], places[active], (sample << 20) + step + 1)
-        e = np.searchsorted(cum, state + u, side="right")
-        e = np.minimum(e, lat.at[state + 1] - 1)
+        u, e = _uniform(streams, step), lat.first[state]
+        more = np.flatnonzero(lat.cum[e] <= u)
+        while len(more):
+            e[more] += 1
+            more = more[lat.cum[e[more]] <= u[more]]
         steps.append((active, e))
         counts[active] += 1
-        state = to[e]
-        on = state >= 0
-        active, state, step = active[on], state[on], step + 1
+        state = lat.to[e]
+        on = np.flatnonzero(state >= 0)
+        active, state, streams, step = active[on], state[on], streams[on], step + 1
     begin = np.concatenate(([0], np.cumsum(counts)[:-1]))
     out = np.zeros(int(counts.sum()), dtype=np.int64)
     for k, (a, e) in enumerate(steps):
@@ -248,119 +338,99 @@ def _paths(lat: Lattices, nodes: np.ndarray, keys: np.ndarray, places: np.ndarra
     return out, counts
 
 
-def _truncated(mass: np.ndarray, bound: float, u: np.ndarray) -> np.ndarray:
-    """Gumbels at log masses, truncated at the bound."""
-    return -np.logaddexp(-bound, np.log(-np.log(u)) - mass)
+def _truncated(bound: float, z: float) -> float:
+    """A Gumbel at a log mass, truncated at the bound; z is log(-log(u)) - mass."""
+    return -float(np.logaddexp(-bound, z))
 
 
 class _Row:
-    """The search of one text."""
+    """The search of one text: its heap of (bound, tie, region) and the segmentations drawn."""
 
-    __slots__ = ("key", "heap", "leaves", "roots", "jobs")
+    __slots__ = ("key", "heap", "leaves", "roots")
 
     def __init__(self, key: int, roots: np.ndarray):
         self.key, self.roots, self.heap, self.leaves = np.uint64(key), roots, [], []
 
 
+def _turn(lat: Lattices, r: _Row, region, sample: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(path up to and with a new choice, nodes to go on from, stretches before them) of a region."""
+    leaf, d, without = region
+    old = r.leaves[leaf][0]
+    left = lat.row(int(old[d]), without)
+    logp = lat.logp[left]
+    p = np.exp(logp - logp.max()).cumsum()
+    u = float(_uniform(_streams(np.array([r.key]), sample, _TURN), d)[0])
+    e = int(left[min(int(np.searchsorted(p, u * p[-1], side="right")), len(p) - 1)])
+    stretch = int(np.count_nonzero(lat.to[old[:d]] < 0))  # stretches that end before the choice
+    nodes, to = r.roots[stretch + 1 :], int(lat.to[e])
+    if to < 0:
+        stretch += 1
+    else:
+        nodes = np.append(to, nodes)
+    return np.append(old[:d], e), nodes, stretch
+
+
 def sample_texts(lat: Lattices, texts: list[str], keys: list[int], k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """For each text up to k of (ids, log_prob, perturbed, log_inclusion), best perturbed value first."""
-    if lat.size > REMEMBERED:
+    if lat.n_nodes > REMEMBERED:
         lat.clear()
-    cut = [_STRETCH.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-    roots = lat.nodes_of([s for c in cut for s in c])
-    rows, at = [], 0
-    for c, key in zip(cut, keys):
-        r = _Row(key, roots[at : at + len(c)])
-        at += len(c)
-        g = -log(-log(float(_uniform(np.array([r.key]), 1, 0)[0])))
-        r.heap = [(-g, 0, None)]  # (bound, tie, region)
-        rows.append(r)
-    todo = list(range(len(rows)))
+    chars, starts, counts = lat.cut(texts)
+    roots = lat.nodes_of(chars, starts)
+    first = -np.log(-np.log(_uniform(_streams(np.array(keys, dtype=np.uint64), 0, _ROOT), 0)))
+    ends = np.concatenate(([0], np.cumsum(counts))).tolist()
+    rows = [_Row(key, roots[i:j]) for key, i, j in zip(keys, ends[:-1], ends[1:])]
+    for r, g in zip(rows, first.tolist()):
+        r.heap = [(-g, 0, None)]
     for sample in range(k):
-        jobs = []
-        for i in todo:
-            r = rows[i]
-            if r.heap:
-                jobs.append((i, *heapq.heappop(r.heap)))
-        todo = [j[0] for j in jobs]
-        starts, ks, places, heads = [], [], [], []
-        for i, _, _, region in jobs:
-            r = rows[i]
-            if region is None:
-                head, nodes, stretch = np.empty(0, dtype=np.int64), r.roots, 0
-            else:
-                leaf, d, without = region
-                old, ends = r.leaves[leaf][0], r.leaves[leaf][5]
-                first, last = int(lat.at[node := _node(lat, old, d)]), int(lat.at[node + 1])
-                left = [x for x in range(first, last) if x not in without]
-                p = np.exp(lat.logp[left])
-                u = float(_uniform(np.array([r.key]), d + 1, (sample << 20) + (1 << 19))[0])
-                e = left[min(int(np.searchsorted(np.cumsum(p), u * p.sum(), side="right")), len(left) - 1)]
-                head = np.append(old[:d], e)
-                stretch = int(np.searchsorted(ends, d))  # stretches that end before the choice
-                nodes = r.roots[stretch + 1 :]
-                if lat.to[e] >= 0:
-                    nodes = np.append(lat.to[e], nodes)
-                else:
-                    stretch += 1
-            heads.append(head)
-            starts.append(nodes)
-            places.append(np.arange(len(nodes), dtype=np.uint64) + np.uint64(stretch))
-            ks.append(np.full(len(nodes), r.key, dtype=np.uint64))
+        jobs = [(r, *heapq.heappop(r.heap)) for r in rows if r.heap and len(r.leaves) == sample]
         if not jobs:
             break
-        tails, counts = _paths(lat, np.concatenate(starts), np.concatenate(ks), np.concatenate(places), sample)
-        bounds = np.cumsum(counts)
-        n_before = 0
-        done = 0
-        for (i, neg, _, region), head, nodes in zip(jobs, heads, starts):
-            r = rows[i]
-            until = int(bounds[n_before + len(nodes) - 1]) if len(nodes) else done
-            path = np.concatenate((head, tails[done:until]))
-            n_before += len(nodes)
-            done = until
-            _open(lat, r, path, -neg, region, sample, k)
+        begun = [(np.empty(0, dtype=np.int64), r.roots, 0) if region is None else _turn(lat, r, region, sample) for r, _, _, region in jobs]
+        row_keys = np.array([r.key for r, *_ in jobs], dtype=np.uint64)
+        many = [len(nodes) for _, nodes, _ in begun]
+        places = np.concatenate([np.arange(s, s + n, dtype=np.uint64) for n, (_, _, s) in zip(many, begun)])
+        tails, counts = _paths(lat, np.concatenate([nodes for _, nodes, _ in begun]), _mix(np.repeat(_streams(row_keys, sample, _PATH), many) + places * np.uint64(_BASE)))
+        ends = np.concatenate(([0], np.cumsum(counts)))[np.concatenate(([0], np.cumsum(many)))].tolist()
+        paths = [np.concatenate((head, tails[i:j])) for (head, _, _), i, j in zip(begun, ends[:-1], ends[1:])]
+        # what all texts' places need, at once: log-probabilities, siblings' masses, and log(-log(u))
+        flat, sizes = np.concatenate(paths), [len(p) for p in paths]
+        logp, rest = lat.logp[flat], lat.rest[flat]
+        places = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        noise = np.log(-np.log(_uniform(np.repeat(_streams(row_keys, sample, _REGION), sizes), places)))
+        at = 0
+        for (r, neg, _, region), path, n in zip(jobs, paths, sizes):
+            _open(lat, r, path, logp[at : at + n], rest[at : at + n], noise[at : at + n], -neg, region, sample, k)
+            at += n
+    ids = iter(lat.encoded([path for r in rows for path, _, _ in r.leaves]))
     out = []
     for r in rows:
-        kappa = -r.heap[0][0] if r.heap else -np.inf
-        got = []
-        for path, lp, g, *_ in r.leaves:
+        kappa, got = -r.heap[0][0] if r.heap else -np.inf, []
+        for _, lp, g in r.leaves:
             x = lp - kappa  # inclusion: 1 - exp(-exp(x))
-            got.append((lat.encoded(path), lp, g, 0.0 if x > 4 else (x if x < -30 else log(-np.expm1(-exp(x))))))
+            got.append((next(ids), lp, g, 0.0 if x > 4 else (x if x < -30 else log(-np.expm1(-exp(x))))))
         out.append(got)
     return out
 
 
-def _node(lat: Lattices, path: np.ndarray, d: int) -> int:
-    return int(np.searchsorted(lat.at, path[d], side="right")) - 1
-
-
-def _open(lat: Lattices, r: _Row, path: np.ndarray, bound: float, region, sample: int, k: int) -> None:
-    """Records a popped segmentation and pushes the regions that are left, the best k of them: no more can be popped."""
-    logp = lat.logp[path]
+def _open(lat: Lattices, r: _Row, path, logp, rest, noise, bound: float, region, sample: int, k: int) -> None:
+    """Records a popped segmentation and pushes the regions that are left, the best k + 1 of them: no more can be popped."""
     before = np.concatenate(([0.0], np.cumsum(logp)))
-    ends = np.flatnonzero(lat.to[path] < 0)
-    r.leaves.append((path, float(before[-1]), bound, None, None, ends))
-    leaf = len(r.leaves) - 1
-    d0 = 0
+    r.leaves.append((path, float(before[-1]), bound))
+    leaf, d0 = len(r.leaves) - 1, 0
     if region is not None:
         d0 = region[1]
         without = region[2] | {int(path[d0])}
-        node = _node(lat, path, d0)
-        left = [x for x in range(int(lat.at[node]), int(lat.at[node + 1])) if x not in without]
-        if left:
+        if len(left := lat.row(int(path[d0]), without)):
             mass = float(before[d0] + np.logaddexp.reduce(lat.logp[left]))
-            u = float(_uniform(np.array([r.key]), d0 + 1, (sample << 20) + (1 << 19) + 1)[0])
-            heapq.heappush(r.heap, (-float(_truncated(np.array(mass), bound, np.array(u))), sample * (1 << 40) + d0, (leaf, d0, without)))
+            u = float(_uniform(_streams(np.array([r.key]), sample, _AGAIN), d0)[0])
+            heapq.heappush(r.heap, (-_truncated(bound, log(-log(u)) - mass), sample * (1 << 40) + d0, (leaf, d0, without)))
         d0 += 1
-    mass = before[d0:-1] + lat.rest[path[d0:]]
-    u = _uniform(np.full(len(mass), r.key, dtype=np.uint64), np.arange(d0, d0 + len(mass)) + 1, (sample << 20) + (1 << 19) + 2)
-    g = _truncated(mass, bound, u)
-    best = np.argpartition(-g, k)[: k + 1] if len(g) > k + 1 else np.arange(len(g))
+    z = noise[d0:] - before[d0:-1] - rest[d0:]  # the least is the highest bound
+    best = np.argpartition(z, k)[: k + 1] if len(z) > k + 1 else np.arange(len(z))
     for x in best.tolist():
-        if mass[x] > -np.inf:
+        if rest[d0 + x] > -np.inf:
             d = d0 + x
-            heapq.heappush(r.heap, (-float(g[x]), sample * (1 << 40) + d, (leaf, d, {int(path[d])})))
+            heapq.heappush(r.heap, (-_truncated(bound, float(z[x])), sample * (1 << 40) + d, (leaf, d, {int(path[d])})))
 
 
 _OUT = "sample int, n_pieces int, ids binary, log_prob double, perturbed double, log_inclusion double, decoded boolean"
@@ -390,11 +460,13 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = 2, temperature: f
                     end += 1
                 some, ids = texts[start:end], b["doc_id"].iloc[start:end]
                 keys = (_mix(b["hash"].iloc[start:end].to_numpy().astype(np.int64).astype(np.uint64) + np.uint64(seed))).tolist()
-                out = []
-                for d, t, leaves in zip(ids, some, sample_texts(lat, some, keys, k)):
+                found = sample_texts(lat, some, keys, k)
+                back, at, out = lat.decoded([x[0] for leaves in found for x in leaves]), 0, []
+                for d, t, leaves in zip(ids, some, found):
                     plain = t.replace(SPACE, " ").encode("utf-8", "replace")
                     for i, (x, lp, g, inc) in enumerate(leaves):
-                        out.append((d, i, len(x), x.astype("<u2").tobytes(), lp, g, inc, lat.decoded(x) == plain))
+                        out.append((d, i, len(x), x.astype("<u2").tobytes(), lp, g, inc, back[at] == plain))
+                        at += 1
                 yield pd.DataFrame(out, columns=["doc_id", "sample", "n_pieces", "ids", "log_prob", "perturbed", "log_inclusion", "decoded"])
                 start = end
 
