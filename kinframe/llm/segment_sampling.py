@@ -26,48 +26,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .hashing import BASE, Table, mix
+from .shared import in_batches
+
 SPACE = "▁"
-_BASE, _ALL = 0x9E3779B97F4A7C15, (1 << 64) - 1
+_ALL = (1 << 64) - 1
 #: Lattice nodes that a worker keeps between batches, and characters of texts that are sampled together.
 REMEMBERED, TOGETHER = 1_500_000, 400_000
 
 
-class _Table:
-    """64-bit keys to numbers, by open addressing on arrays; key 0 stands for an empty slot."""
-
-    def __init__(self, bits: int):
-        self.bits, self.keys, self.values = bits, np.zeros(1 << bits, dtype=np.uint64), np.full(1 << bits, -1, dtype=np.int64)
-
-    def _at(self, h: np.ndarray) -> np.ndarray:
-        return ((h * np.uint64(_BASE)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def get(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which keys are known, and their numbers."""
-        at = self._at(h)
-        there = self.keys[at]
-        hit = there == h
-        todo = np.flatnonzero(~hit & (there != 0))
-        while len(todo):
-            at[todo] = (at[todo] + 1) & (len(self.keys) - 1)
-            there = self.keys[at[todo]]
-            good = there == h[todo]
-            hit[todo[good]] = True
-            todo = todo[~good & (there != 0)]
-        return hit, self.values[at]
-
-    def put(self, h: np.ndarray, values: np.ndarray) -> None:
-        """Adds distinct keys that aren't there yet."""
-        at = self._at(h)
-        todo = np.arange(len(h))
-        while len(todo):
-            free = todo[self.keys[at[todo]] == 0]
-            self.keys[at[free]] = h[free]  # of several for a slot one stays
-            mine = free[self.keys[at[free]] == h[free]]
-            self.values[at[mine]] = values[mine]
-            todo = todo[self.keys[at[todo]] != h[todo]]
-            at[todo] = (at[todo] + 1) & (len(self.keys) - 1)
-
-
 class Lattices:
     """Lattices of distinct stretches in flat arrays.
 
@@ -113,12 +80,12 @@ class Lattices:
         for piece, i in self.ids.items():
             h = 0
             for k, c in enumerate(piece):
-                h = (h * _BASE + ord(c) + 1) & _ALL
+                h = (h * BASE + ord(c) + 1) & _ALL
                 if k + 1 == len(piece):
                     known[h] = i
                 else:
                     known.setdefault(h, -1)
-        self.beginnings = _Table(max(4, (4 * len(known)).bit_length()))
+        self.beginnings = Table(max(4, (4 * len(known)).bit_length()))
         self.beginnings.put(np.array(list(known), dtype=np.uint64), np.array(list(known.values()), dtype=np.int64))
         # characters of pieces in classes, and which classes stand side by side in a piece
         letters = sorted({c for p in self.ids for c in p})
@@ -133,7 +100,7 @@ class Lattices:
         self.clear()
 
     def clear(self) -> None:
-        self.roots = _Table(20)
+        self.roots = Table(20)
         self.n_stretches = self.n_nodes = self.n_edges = 0
         room = 1 << 20
         self.first = np.zeros(room, dtype=np.int64)
@@ -155,11 +122,11 @@ class Lattices:
         """The first node of each stretch; new ones are built."""
         n = len(chars)
         if n > len(self.powers):
-            self.powers = np.cumprod(np.full(n, _BASE, dtype=np.uint64))
-            self.inverses = np.cumprod(np.full(n, pow(_BASE, -1, 1 << 64), dtype=np.uint64))
+            self.powers = np.cumprod(np.full(n, BASE, dtype=np.uint64))
+            self.inverses = np.cumprod(np.full(n, pow(BASE, -1, 1 << 64), dtype=np.uint64))
         sizes = np.diff(np.append(starts, n))
         sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum((chars + np.uint64(1)) * self.powers[:n])))
-        h = _mix((sums[starts + sizes] - sums[starts]) * self.inverses[starts] + sizes.astype(np.uint64)) | np.uint64(1)
+        h = mix((sums[starts + sizes] - sums[starts]) * self.inverses[starts] + sizes.astype(np.uint64)) | np.uint64(1)
         hit, roots = self.roots.get(h)
         if not hit.all():
             miss = np.flatnonzero(~hit)
@@ -167,7 +134,7 @@ class Lattices:
             one = miss[one]
             if 2 * (self.n_stretches + len(keys)) > len(self.roots.keys):
                 old = np.flatnonzero(self.roots.keys)
-                larger = _Table((4 * (self.n_stretches + len(keys))).bit_length())
+                larger = Table((4 * (self.n_stretches + len(keys))).bit_length())
                 larger.put(self.roots.keys[old], self.roots.values[old])
                 self.roots = larger
             many = sizes[one]
@@ -189,7 +156,7 @@ class Lattices:
             place, h = place[on], h[on]
             if not len(place):
                 break
-            h = h * np.uint64(_BASE) + chars[place + k] + np.uint64(1)
+            h = h * np.uint64(BASE) + chars[place + k] + np.uint64(1)
             hit, ids = self.beginnings.get(h)
             place, h, ids = place[hit], h[hit], ids[hit]
             piece = ids >= 0
@@ -295,24 +262,18 @@ def lattices(model: str, temperature: float) -> Lattices:
     return Lattices(model, temperature)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 #: What a draw is for; it is part of its counter.
 _ROOT, _PATH, _TURN, _AGAIN, _REGION = range(5)
 
 
 def _streams(keys: np.ndarray, sample: int, use: int) -> np.ndarray:
     """A stream of randomness for each row key, sample and use."""
-    return _mix(keys + np.uint64((sample * 8 + use + 1) * _BASE & _ALL))
+    return mix(keys + np.uint64((sample * 8 + use + 1) * BASE & _ALL))
 
 
 def _uniform(streams: np.ndarray, counter: np.ndarray | int) -> np.ndarray:
     """In (0, 1), a hash of each stream and counter."""
-    x = _mix(streams + np.asarray(counter, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+    x = mix(streams + np.asarray(counter, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
     return ((x >> np.uint64(12)).astype(np.float64) + 0.5) / 4503599627370496.0
 
 
@@ -389,7 +350,7 @@ def sample_texts(lat: Lattices, texts: list[str], keys: list[int], k: int) -> li
         row_keys = np.array([r.key for r, *_ in jobs], dtype=np.uint64)
         many = [len(nodes) for _, nodes, _ in begun]
         places = np.concatenate([np.arange(s, s + n, dtype=np.uint64) for n, (_, _, s) in zip(many, begun)])
-        tails, counts = _paths(lat, np.concatenate([nodes for _, nodes, _ in begun]), _mix(np.repeat(_streams(row_keys, sample, _PATH), many) + places * np.uint64(_BASE)))
+        tails, counts = _paths(lat, np.concatenate([nodes for _, nodes, _ in begun]), mix(np.repeat(_streams(row_keys, sample, _PATH), many) + places * np.uint64(BASE)))
         ends = np.concatenate(([0], np.cumsum(counts)))[np.concatenate(([0], np.cumsum(many)))].tolist()
         paths = [np.concatenate((head, tails[i:j])) for (head, _, _), i, j in zip(begun, ends[:-1], ends[1:])]
         # what all texts' places need, at once: log-probabilities, siblings' masses, and log(-log(u))
@@ -459,7 +420,7 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = 2, temperature: f
                     size += len(texts[end])
                     end += 1
                 some, ids = texts[start:end], b["doc_id"].iloc[start:end]
-                keys = (_mix(b["hash"].iloc[start:end].to_numpy().astype(np.int64).astype(np.uint64) + np.uint64(seed))).tolist()
+                keys = (mix(b["hash"].iloc[start:end].to_numpy().astype(np.int64).astype(np.uint64) + np.uint64(seed))).tolist()
                 found = sample_texts(lat, some, keys, k)
                 back, at, out = lat.decoded([x[0] for leaves in found for x in leaves]), 0, []
                 for d, t, leaves in zip(ids, some, found):
@@ -469,6 +430,7 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = 2, temperature: f
                         at += 1
                 yield pd.DataFrame(out, columns=["doc_id", "sample", "n_pieces", "ids", "log_prob", "perturbed", "log_inclusion", "decoded"])
                 start = end
+        lat.clear()  # the worker goes on with other work
 
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(key)).alias("hash"))
+    rows = in_batches(docs).select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(key)).alias("hash"))
     return rows.mapInPandas(each, f"doc_id {kind}, {_OUT}")

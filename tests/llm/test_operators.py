@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from kinframe.llm import decontaminate as dc
 from kinframe.llm import embedding_dedup as ed
 from kinframe.llm import queries as Q
-from kinframe.llm import segment_sampling, shared, sharding, simhash, suffix_dedup, token_counts, token_store, toxicity, url_filter
+from kinframe.llm import hashing, segment_sampling, shared, sharding, simhash, suffix_dedup, token_counts, token_store, toxicity, url_filter
 from tests.oracle import connect, same
 
 from .brute import repeated, union_find
@@ -195,7 +195,7 @@ def test_sampling_without_replacement(lattice):
     text, n = "on it\n", 6000
     p = every(lattice, text)
     first, pairs, estimate = Counter(), Counter(), []
-    keys = segment_sampling._mix(np.arange(n, dtype=np.uint64)).tolist()
+    keys = hashing.mix(np.arange(n, dtype=np.uint64)).tolist()
     for r in segment_sampling.sample_texts(lattice, [text] * n, keys, 3):
         a, b, c = (tuple(x[0].tolist()) for x in r)
         assert len({a, b, c}) == 3 and r[0][2] > r[1][2] > r[2][2]
