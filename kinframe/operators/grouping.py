@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -12,11 +13,19 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinframe.config import ScanConfig
+from kinframe.functions import kernels as K
+from kinframe.operators.blocks import _bytes, _differences
+
+_ALL = (1 << 64) - 1
+
 
 def _folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of our own where none is set."""
+    """The cluster's shared folder; only where all runs in one process, one of our own."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="kinframe-media-")
         atexit.register(shutil.rmtree, own, True)
         where = f"file://{own}"
@@ -51,12 +60,32 @@ def connected_components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"connected_components: the graph hasn't settled in {rounds} rounds")
     low = left.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("component"))
     return nodes.join(low, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def _difference(a: np.ndarray, b: np.ndarray) -> float:
-    return float(np.abs(a.astype(np.int64) - b.astype(np.int64)).sum()) / len(a) / 256.0
+def similarity_test(config: ScanConfig):
+    """similar(x, y) of two members by the configured metric, without any gate: what representatives are held to.
+
+    A member has image, hashes (one a position; videos) and frame (bytes, all positions one after the other).
+    Images go by frames in every mode; masks hold here too.
+    """
+    single = np.float32(config.limit)
+
+    def similar(x: dict, y: dict) -> bool:
+        if config.use_phash and not x["image"]:
+            a, b = x["hashes"], y["hashes"]
+            return len(a) == len(b) > 0 and None not in a and None not in b and all(((int(p) ^ int(q)) & _ALL).bit_count() <= config.max_bits for p, q in zip(a, b))
+        a, b = x["frame"], y["frame"]
+        if not a or not b or len(a) != len(b):
+            return False
+        a, b = (np.frombuffer(f, dtype=np.uint8)[None] for f in (a, b))
+        many = 1 if x["image"] else x["positions"]
+        return bool(_differences(a, b, many, config.ignore_black, config.ignore_white)[0, 0].astype(np.float32) <= single)
+
+    return similar
 
 
 def resolve(members: dict[int, dict], pairs: list[tuple[int, int, float, bool]], similar) -> dict[int, dict]:
@@ -67,11 +96,13 @@ def resolve(members: dict[int, dict], pairs: list[tuple[int, int, float, bool]],
     first item absorbs the other. Each item keeps the difference of the pair that first admitted it.
     """
     group: dict[int, int] = {}
+    inside: dict[int, list[int]] = {}
     rep: dict[int, int] = {}
     out: dict[int, dict] = {}
 
     def admit(i, g, diff, flip):
         group[i] = g
+        inside.setdefault(g, []).append(i)
         out[i] = {"difference": diff, "flipped": flip}
 
     for a, b, diff, flip in sorted(pairs, key=lambda p: p[:2]):
@@ -83,9 +114,9 @@ def resolve(members: dict[int, dict], pairs: list[tuple[int, int, float, bool]],
             admit(b, g, diff, flip)
         elif ga is not None and gb is not None:
             if ga != gb and similar(members[rep[ga]], members[rep[gb]]):
-                for i, g in group.items():
-                    if g == gb:
-                        group[i] = ga
+                moved = inside.pop(gb)
+                inside[ga] += moved
+                group.update(dict.fromkeys(moved, ga))
         elif ga is not None:
             if similar(members[rep[ga]], members[b]):
                 admit(b, ga, diff, flip)
@@ -109,11 +140,15 @@ def split_chains(ids: list[int], linked) -> list[list[int]]:
             continue
         link = {i: {j for j in now if j != i and linked(i, j)} for i in now}
         stay, gone = list(now), []
+        degree = {i: len(link[i]) for i in now}  # links among those that stay
         while len(stay) > 1:
-            degree = [len(link[i] & set(stay)) for i in stay]
-            if min(degree) >= len(stay) // 2:
+            least = min(stay, key=degree.__getitem__)  # the first of the least linked
+            if degree[least] >= len(stay) // 2:
                 break
-            gone.append(stay.pop(degree.index(min(degree))))
+            stay.remove(least)
+            gone.append(least)
+            for j in link[least]:
+                degree[j] -= 1
         if len(stay) > 1:
             done.append(stay)
         left = set(gone)
@@ -132,26 +167,30 @@ def split_chains(ids: list[int], linked) -> list[list[int]]:
     return done
 
 
-def duplicate_groups(items: DataFrame, pairs: DataFrame, limit: float, use_phash: bool = False, max_bits: int = 2, split: bool = True) -> DataFrame:
+def _as_bytes(frames: pd.Series) -> pd.Series:
+    return pd.Series([_bytes(f) for f in frames], dtype=object)
+
+
+def duplicate_groups(items: DataFrame, pairs: DataFrame, config: ScanConfig, split: bool = True) -> DataFrame:
     """(id, group_id, difference, flipped) of grouped items; group_id is the group's smallest id.
 
-    ``pairs`` has a_id, b_id, difference, flipped; ``items`` id, lo, hi, frame. Each connected component is
-    resolved on its own, as a merge needs a link, in the order of (a_id, b_id), so the result doesn't depend on
-    partitions. A component's items and pairs go to one task: components are duplicates of one item, and the
-    validation by representatives is sequential within them.
+    ``pairs`` has a_id, b_id, difference, flipped; ``items`` id, lo, hi, frame (or hashes and frames, one a
+    position) and is_image. Each connected component is resolved on its own, as a merge needs a link, in the order
+    of (a_id, b_id), so the result doesn't depend on partitions. A component's items and pairs go to one task:
+    components are duplicates of one item, and the validation by representatives is sequential within them.
     """
     pairs = kept(pairs.select("a_id", "b_id", "difference", "flipped"))
     comp = kept(connected_components(pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))))
-    members = items.join(comp, "id").select("component", "id", "lo", "hi", "frame")
+    hashes = F.col("hashes") if "hashes" in items.columns else F.when(F.col("lo").isNotNull() & F.col("hi").isNotNull(), F.array(K.whole_hash(F.col("lo"), F.col("hi"))))
+    image = F.coalesce("is_image", F.lit(False)) if "is_image" in items.columns else F.lit(False)
+    several = "frames" in items.columns
+    frame = F.pandas_udf(_as_bytes, "binary")("frames" if several else "frame") if not config.use_phash or "is_image" in items.columns else F.lit(None).cast("binary")
+    members = items.join(comp, "id").select("component", "id", image.alias("image"), hashes.alias("hashes"), frame.alias("frame"))
     edges = pairs.join(comp.withColumnRenamed("id", "a_id"), "a_id").select(F.col("component").alias("part"), "a_id", "b_id", "difference", "flipped")
-
-    def similar(x: dict, y: dict) -> bool:
-        if use_phash:
-            return bin(x["lo"] ^ y["lo"]).count("1") + bin(x["hi"] ^ y["hi"]).count("1") <= max_bits
-        return np.float32(_difference(x["frame"], y["frame"])) <= np.float32(limit)
+    similar, positions = similarity_test(config), config.positions if several else 1
 
     def one(m: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        info = {i: {"lo": lo, "hi": hi, "frame": np.asarray(f)} for i, lo, hi, f in zip(m["id"].tolist(), m["lo"].tolist(), m["hi"].tolist(), m["frame"])}
+        info = {i: {"image": im, "hashes": () if h is None else h, "frame": f, "positions": positions} for i, im, h, f in zip(m["id"].tolist(), m["image"].tolist(), m["hashes"], m["frame"])}
         found = resolve(info, list(zip(e["a_id"].tolist(), e["b_id"].tolist(), e["difference"].tolist(), e["flipped"].tolist())), similar)
         groups: dict[int, list[int]] = {}
         for i in sorted(found):

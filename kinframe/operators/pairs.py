@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import random
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kinframe.config import ScanConfig
 from kinframe.functions import kernels as K
+from kinframe.operators import blocks
 
 #: Most bits for which segments are long enough to be selective.
 PIGEONHOLE_BITS = 7
@@ -54,17 +56,22 @@ def pigeonhole_pairs(items: DataFrame, max_bits: int, keep: list[str]) -> DataFr
     return pairs.where(F.array_position(earlier, True) == F.col("seg") + 1).select("a", "b", "distance")
 
 
+def _grid(rows: DataFrame, buckets: int) -> DataFrame:
+    """(a, b) of all pairs, a.id < b.id: a row goes to the cells of one row and one column of a triangle of cells."""
+    rows = rows.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
+    wide = F.sequence(F.lit(0), F.lit(buckets - 1))
+    a = rows.withColumn("q", F.explode(wide)).withColumnRenamed("g", "r")
+    b = rows.withColumn("r", F.explode(wide)).withColumnRenamed("g", "q")
+    return _joined(a, b, ["r", "q"])
+
+
 def theta_pairs(items: DataFrame, keep: list[str], buckets: int = 16) -> DataFrame:
     """(a, b, distance) of all pairs, for distances no blocking helps with: rows meet in buckets x buckets cells.
 
     Each row goes to one row and one column of a grid of cells, so a task has a cell's rows only; there is no
     broadcast of a side. The work is that of all pairs.
     """
-    rows = items.select(*dict.fromkeys(["id", "lo", "hi", *keep])).withColumn("g", F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int"))
-    wide = F.sequence(F.lit(0), F.lit(buckets - 1))
-    a = rows.withColumn("c", F.explode(wide)).withColumnRenamed("g", "r").withColumnRenamed("c", "q")
-    b = rows.withColumn("c", F.explode(wide)).withColumnRenamed("g", "q").withColumnRenamed("c", "r")
-    pairs = _joined(a, b, ["r", "q"])
+    pairs = _grid(items.select(*dict.fromkeys(["id", "lo", "hi", *keep])), buckets)
     return pairs.withColumn("distance", K.hamming(F.col("a.lo"), F.col("a.hi"), F.col("b.lo"), F.col("b.hi")))
 
 
@@ -85,20 +92,21 @@ def lsh_pairs(items: DataFrame, max_bits: int, keep: list[str], tables: list[lis
     return pairs.withColumns({"_a": F.col("a.id"), "_b": F.col("b.id")}).dropDuplicates(["_a", "_b"]).drop("_a", "_b")
 
 
-def duration_pairs(items: DataFrame, config: ScanConfig, keep: list[str], bucket_s: float = 1.0) -> DataFrame:
-    """(a, b) of equal media kind whose durations are within both tolerances: rows meet in buckets of bucket_s.
+def duration_pairs(items: DataFrame, config: ScanConfig, keep: list[str]) -> DataFrame:
+    """(a, b) of equal media kind whose durations are within both tolerances (images: all pairs).
 
-    Images have no duration and meet in bucket 0. Only the probing side is repeated, a bucket each of its band.
+    Rows meet in buckets that are a tolerance wide, each with its own and the next two, so a row is repeated three
+    times whatever its duration. Images have none and meet in a grid of cells, like all pairs.
     """
     rows = items.select(*dict.fromkeys(["id", "duration_s", "is_image", *keep]))
-    tol = K.duration_tolerance(F.col("duration_s"), config.duration_percent, config.duration_min_s, config.duration_max_s)
-    at = lambda c: F.floor(c / bucket_s).cast("long")
-    stored = rows.withColumn("bucket", F.when(F.col("is_image"), F.lit(0).cast("long")).otherwise(at(F.col("duration_s"))))
-    lo, hi = F.greatest(at(F.col("duration_s") - tol), F.lit(0).cast("long")), at(F.col("duration_s") + tol)
-    band = F.when(F.col("is_image"), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(lo, hi))
-    stored, probes = (d.withColumn("kind", F.col("is_image")) for d in (stored, rows.withColumn("bucket", F.explode(band))))
-    pairs = _joined(probes, stored, ["kind", "bucket"])
-    return pairs.where(F.col("a.is_image") | duration_gate(F.col("a.duration_s"), F.col("b.duration_s"), config))
+    video = rows.where("NOT is_image").withColumn("bucket", blocks.duration_bucket(F.col("duration_s"), config).cast("long"))
+    later = F.array(*(F.struct(F.lit(k).alias("k"), (F.col("bucket") + k).alias("to")) for k in range(3)))
+    probes = _sided(video.withColumn("s", F.explode(later)).select("*", "s.k", F.col("s.to").alias("bucket_")).drop("s", "bucket").withColumnRenamed("bucket_", "bucket"), "x", ["bucket", "k"])
+    met = probes.join(_sided(video, "y", ["bucket"]), "bucket").where("x.id <> y.id AND (k > 0 OR x.id < y.id)")
+    names = rows.columns
+    side = lambda first: F.when(F.col("x.id") < F.col("y.id"), F.struct(*(f"{first}.{c}" for c in names))).otherwise(F.struct(*(f"{'y' if first == 'x' else 'x'}.{c}" for c in names)))
+    pairs = met.select(side("x").alias("a"), side("y").alias("b")).where(duration_gate(F.col("a.duration_s"), F.col("b.duration_s"), config))
+    return pairs.unionByName(_grid(rows.where("is_image"), 16))
 
 
 def mean_band_pairs(items: DataFrame, limit: float, keep: list[str]) -> DataFrame:
@@ -168,6 +176,11 @@ def gates(config: ScanConfig) -> dict[str, Column]:
     }
 
 
+def position_columns(items: DataFrame) -> list[str]:
+    """The columns of items that hold a value for each position."""
+    return [c for c in ("hashes", "frames") if c in items.columns]
+
+
 def metric(config: ScanConfig, side: int) -> tuple[Column, Column]:
     """(difference, flipped) of a pair by the configured metric; the mirrored left frame counts if it alone is better."""
     a, b = F.col("a.frame"), F.col("b.frame")
@@ -185,37 +198,92 @@ def metric(config: ScanConfig, side: int) -> tuple[Column, Column]:
     return F.when(better, mirrored).otherwise(plain), better
 
 
+def passed(pairs: DataFrame, config: ScanConfig) -> DataFrame:
+    """Pairs (a, b, ...) that pass every gate."""
+    for c in gates(config).values():
+        pairs = pairs.where(c)
+    return pairs
+
+
 def matches(pairs: DataFrame, config: ScanConfig, side: int = 8) -> DataFrame:
     """(a, b, difference, flipped): pairs that pass every gate and whose difference is within the limit."""
-    passed = pairs
-    for c in gates(config).values():
-        passed = passed.where(c)
+    kept = passed(pairs, config)
     if config.use_phash:
         d = K.hamming(F.col("a.lo"), F.col("a.hi"), F.col("b.lo"), F.col("b.hi"))
-        return passed.select("a", "b", (d / F.lit(64.0)).alias("difference"), F.lit(False).alias("flipped")).where(d <= config.max_bits)
+        return kept.select("a", "b", (d / F.lit(64.0)).alias("difference"), F.lit(False).alias("flipped")).where(d <= config.max_bits)
     diff, flip = metric(config, side)
-    out = passed.select("a", "b", diff.alias("difference"), flip.alias("flipped"))
+    out = kept.select("a", "b", diff.alias("difference"), flip.alias("flipped"))
     return out.where(~F.isnan("difference") & (F.col("difference").cast("float") <= F.lit(config.limit).cast("float")))
 
 
-PAIR_COLUMNS = ["lo", "hi", "frame", "duration_s", "size", "width", "height", "folder", "file_id", "is_image", "path"]
+PAIR_COLUMNS = ["lo", "hi", "duration_s", "size", "width", "height", "folder", "file_id", "is_image", "path"]
 
 
 def candidates(items: DataFrame, config: ScanConfig) -> DataFrame:
-    """The configured (or best) blocking's pairs; every one of them holds all pairs that can match."""
+    """Pairs (a, b) of the configured (or best) blocking; every one of them holds all pairs that can match.
+
+    Only ids and what blocking needs are shuffled; the other columns are fetched for the pairs that are left.
+    """
     how = config.blocking
     if how == "auto":
-        masked = config.ignore_black or config.ignore_white
-        how = "pigeonhole" if config.use_phash else "duration" if masked else "mean"
+        how = "pigeonhole" if config.use_phash else "frames"
+    if how == "frames":
+        return blocks.with_columns(blocks.frame_matches(items, config), items, PAIR_COLUMNS)
     if how == "pigeonhole":
-        return pigeonhole_pairs(items, config.max_bits, PAIR_COLUMNS)
-    if how == "lsh":
-        return lsh_pairs(items, config.max_bits, PAIR_COLUMNS, lsh_tables(config.seed))
-    if how == "duration":
-        return duration_pairs(items, config, PAIR_COLUMNS)
-    if how == "mean":
-        return mean_band_pairs(items, config.limit, PAIR_COLUMNS)
-    return theta_pairs(items, PAIR_COLUMNS)
+        found = pigeonhole_pairs(items, config.max_bits, [])
+    elif how == "lsh":
+        found = lsh_pairs(items, config.max_bits, [], lsh_tables(config.seed))
+    elif how == "duration":
+        found = duration_pairs(items, config, [])
+    elif how == "mean":
+        found = mean_band_pairs(items, config.limit, [])
+    else:
+        found = theta_pairs(items, [])
+    found = found.select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"))
+    return blocks.with_columns(found, items, [*PAIR_COLUMNS, "frame", *position_columns(items)])
+
+
+def all_matches(items: DataFrame, config: ScanConfig, side: int = 8) -> DataFrame:
+    """(a, b, difference, flipped) of all pairs of items that the configured scan matches.
+
+    Images are compared by their frames in every mode. Videos are compared by frames too, or by hashes with
+    use_phash: with ``hashes`` every position must be within the bits and the mean counts, else lo and hi decide.
+    A video without a hash is similar to nothing there, and a pair with unequal numbers of positions neither.
+    """
+    by_frame, by_hash = items, None
+    if config.use_phash:
+        by_frame, by_hash = items.where("is_image"), items.where("NOT is_image")
+    if config.blocking not in ("auto", "frames", "pigeonhole", "lsh"):
+        found = matches(candidates(by_frame, config), replace(config, use_phash=False), side)
+    else:
+        found = passed(blocks.with_columns(blocks.frame_matches(by_frame, config), by_frame, PAIR_COLUMNS), config).select("a", "b", "difference", "flipped")
+    if by_hash is None:
+        return found
+    return found.unionByName(hash_matches(by_hash, config))
+
+
+def hash_matches(videos: DataFrame, config: ScanConfig) -> DataFrame:
+    """(a, b, difference, flipped) of videos by their perceptual hashes; with config.flipped also by ``flipped_hashes`` of a, where there are."""
+    several = "hashes" in videos.columns
+    rows = videos.withColumns({"lo": F.get("hashes", F.lit(0)).bitwiseAND(F.lit(0xFFFFFFFF)), "hi": F.shiftrightunsigned(F.get("hashes", F.lit(0)), 32)}) if several else videos
+    whole = K.whole_hash(F.col("lo"), F.col("hi"))
+    rows = rows.withColumn("own", F.col("hashes") if several else F.array(whole))
+    search = {"pigeonhole": pigeonhole_pairs, "lsh": lambda r, n, k: lsh_pairs(r, n, k, lsh_tables(config.seed))}.get(config.blocking, pigeonhole_pairs)
+    found = search(rows.where("lo IS NOT NULL AND hi IS NOT NULL"), config.max_bits, []).select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"))
+    sides = ["own"]
+    if config.flipped and "flipped_hashes" in videos.columns:
+        mirrored = rows.withColumns({"lo": F.get("flipped_hashes", F.lit(0)).bitwiseAND(F.lit(0xFFFFFFFF)), "hi": F.shiftrightunsigned(F.get("flipped_hashes", F.lit(0)), 32)})
+        # a mirrored row meets all others under an id beside its own: 2 id (+ 1 if mirrored)
+        both = rows.withColumn("id", 2 * F.col("id")).unionByName(mirrored.withColumn("id", 2 * F.col("id") + 1)).where("lo IS NOT NULL AND hi IS NOT NULL")
+        more = search(both, config.max_bits, []).where("a.id % 2 <> b.id % 2").select(F.shiftright("a.id", 1).alias("x"), F.shiftright("b.id", 1).alias("y")).where("x <> y")
+        found = found.unionByName(more.select(F.least("x", "y").alias("a_id"), F.greatest("x", "y").alias("b_id"))).distinct()
+        sides.append("flipped_hashes")
+    pairs = passed(blocks.with_columns(found, rows, [*PAIR_COLUMNS, *sides]), config)
+    plain = match_positions(F.col("a.own"), F.col("b.own"), config.max_bits)
+    mirrored = match_positions(F.col("a.flipped_hashes"), F.col("b.own"), config.max_bits) if len(sides) > 1 else F.lit(None).cast("double")
+    flip = F.coalesce(mirrored > plain, mirrored.isNotNull() & plain.isNull())
+    out = pairs.select(F.struct("a.id", *(f"a.{c}" for c in PAIR_COLUMNS)).alias("a"), F.struct("b.id", *(f"b.{c}" for c in PAIR_COLUMNS)).alias("b"), F.when(flip, mirrored).otherwise(plain).alias("similarity"), flip.alias("flipped"))
+    return out.where("similarity IS NOT NULL").select("a", "b", (1 - F.col("similarity")).alias("difference"), "flipped")
 
 
 def match_positions(a: Column, b: Column, max_bits: int) -> Column:

@@ -27,18 +27,19 @@ class MediaEngine:
     def validate(self, catalog: DataFrame) -> DataFrame:
         rows = catalog if "flags" in catalog.columns else catalog.withColumns({"flags": F.lit(0), "on_disk": F.lit(True)})
         rows = rows if "file_size" in rows.columns else rows.withColumn("file_size", F.col("size"))
-        return self._view("valid", filters.with_reason(rows, self.config).where("reason is null").drop("reason"))
+        rows = filters.with_reason(rows, self.config).where("reason is null").drop("reason")
+        return self._view("valid", grouping.kept(rows))  # features are made once
 
     def candidates(self, valid: DataFrame) -> DataFrame:
         return self._view("candidates", pairs.candidates(valid, self.config))
 
     def match(self, valid: DataFrame) -> DataFrame:
-        found = pairs.matches(self.candidates(valid), self.config, self.side)
+        found = pairs.all_matches(valid, self.config, self.side)
         return self._view("matches", found.select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), "difference", "flipped"))
 
     def group(self, valid: DataFrame) -> DataFrame:
         c = self.config
-        return self._view("groups", grouping.duplicate_groups(valid, self.match(valid), c.limit, c.use_phash, c.max_bits))
+        return self._view("groups", grouping.duplicate_groups(valid, self.match(valid), c))
 
     def run(self, catalog: DataFrame, frames: DataFrame | None = None) -> DataFrame:
         """Grouped items with their attributes, similarity and best flags.
@@ -53,7 +54,7 @@ class MediaEngine:
             more = self.clips(valid, groups, frames)
             more = more.withColumns({"difference": 1 - F.col("similarity") / 100, "flipped": F.lit(False)})
             found = found.unionByName(more.select(found.columns))
-        found = found.join(valid.drop("lo", "hi", "frame", "fp"), "id")
+        found = found.join(valid.drop("lo", "hi", "frame", "fp", "frames", "hashes", "flipped_hashes"), "id")
         for c in ("fps", "bitrate_kbps", "audio_kbps", "audio_rate", "hdr_rank"):
             found = found if c in found.columns else found.withColumn(c, F.lit(0))
         found = found if "frame_size" in found.columns else found.withColumn("frame_size", F.col("width") + F.col("height"))

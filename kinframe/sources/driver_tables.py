@@ -7,11 +7,11 @@ has a clone: up to two flipped hash bits, pixels off by up to 2, a second longer
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinframe.functions import kernels as K
-
 CLONE = 1_000_000
 SIDE = 8
 
@@ -40,12 +40,20 @@ def _attributes(df: DataFrame) -> DataFrame:
     ).withColumn("path", F.concat("folder", F.lit("/"), F.col("id").cast("string"), F.when(F.col("is_image"), ".jpg").otherwise(".mp4")))
 
 
+def _features(vectors: pd.Series) -> pd.DataFrame:
+    """Hash halves and mini-frame of 64-value vectors; a kernel of its own, so that no plan computes them twice over."""
+    v = np.stack(vectors.to_list()).astype(np.float64) if len(vectors) else np.zeros((0, 64))
+    ordered = np.sort(v, axis=1)
+    bits = v > ((ordered[:, 31] + ordered[:, 32]) / 2)[:, None]
+    weight = np.int64(1) << np.arange(32, dtype=np.int64)
+    frame = np.floor((np.clip(v, -1.0, 1.0) + 1) * 127.5).astype(np.int32)
+    return pd.DataFrame({"lo": (bits[:, :32] * weight).sum(axis=1), "hi": (bits[:, 32:] * weight).sum(axis=1), "frame": list(frame)})
+
+
 def base_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, src, label, lo, hi (hash halves) and frame (64 ints) of each embedding."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("src"), "label", F.col("embedding").alias("v"))
-    e = e.withColumn("med", K.median_of_64(F.col("v")))
-    pixel = lambda x: F.floor((F.greatest(F.least(x.cast("double"), F.lit(1.0)), F.lit(-1.0)) + 1) * 127.5).cast("int")
-    return e.select("id", "src", "label", K.half_hash(F.col("v"), F.col("med"), 0).alias("lo"), K.half_hash(F.col("v"), F.col("med"), 1).alias("hi"), F.transform("v", pixel).alias("frame"))
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("src"), "label", F.pandas_udf(_features, "struct<lo:long,hi:long,frame:array<int>>")("embedding").alias("f"))
+    return e.select("id", "src", "label", "f.lo", "f.hi", "f.frame")
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +72,20 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _attributes(base.unionByName(clones))
 
 
+def position_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Videos of four positions: each four base items in a row are one, every third has a clone with a bit of each hash flipped and pixels off by up to 2."""
+    base = base_items(spark, sf_dir).withColumn("g", F.floor(F.col("id") / 4))
+    four = base.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("id", "lo", "hi", "frame"))).alias("v")).where(F.size("v") == 4)
+    whole = lambda lo, hi: F.shiftleft(hi, 32).bitwiseOR(lo)
+    entry = four.select("g", F.transform("v", lambda x: whole(x["lo"], x["hi"])).alias("hashes"), F.transform("v", lambda x: x["frame"]).alias("frames"))
+    one = F.lit(1).cast("long")
+    moved = lambda v, j: F.transform(v, lambda x, i: F.greatest(F.lit(0), F.least(F.lit(255), x + ((i + j + 2) % 5 - 2).cast("int"))))
+    clone = entry.where("g % 3 = 0").select((F.col("g") + CLONE).alias("g"), F.transform("hashes", lambda x, j: x.bitwiseXOR(F.call_function("shiftleft", one, ((j + 1) * 5).cast("int")))).alias("hashes"), F.transform("frames", moved).alias("frames"))
+    same = {"duration_s": F.lit(100.0), "size": F.lit(1_000_000), "width": F.lit(640), "height": F.lit(480), "folder": F.lit("/media"), "is_image": F.lit(False), "lo": F.lit(0).cast("long"), "hi": F.lit(0).cast("long")}
+    out = entry.unionByName(clone).select(F.col("g").cast("long").alias("id"), "hashes", "frames").withColumns(same)
+    return out.withColumns({"file_id": F.col("id"), "path": F.concat(F.lit("/media/"), F.col("id").cast("string"), F.lit(".mp4"))})
+
+
 ITEMS_SQL = f"""
 e AS (SELECT vec_id AS id, vec_id AS src, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
 med AS (SELECT *, (list_sort(v)[32] + list_sort(v)[33]) / 2 AS med FROM e),
