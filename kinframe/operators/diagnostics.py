@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kinframe.config import ScanConfig
@@ -41,3 +41,32 @@ def explain_clip(pairs: DataFrame, min_ratio: float = 0.1, min_similarity: float
     names = ("ratio", "duration", "length", "similarity")
     failed = F.concat_ws(", ", *(F.when(~F.coalesce(F.col(f"{n}_ok"), F.lit(False)), n) for n in names))
     return rows.withColumn("verdict", F.when(failed == "", "clip").otherwise(F.concat(F.lit("no clip: "), failed)))
+
+
+def gate_counters(pairs: DataFrame, config: ScanConfig) -> DataFrame:
+    """One row: pairs in all, and for each gate how many are left after it and those before it."""
+    names, left, ok = [], [], F.lit(True)
+    for name, gate in gates(config).items():
+        ok = ok & F.coalesce(gate, F.lit(False))
+        names.append(name)
+        left.append(ok)
+    return pairs.agg(F.count(F.lit(1)).alias("pairs"), *(F.count_if(c).alias(f"after_{n}") for n, c in zip(names, left)))
+
+
+def fingerprint_lengths(videos: DataFrame) -> DataFrame:
+    """(n, shortest, longest) of the fingerprints there are."""
+    return videos.where("fp IS NOT NULL").agg(F.count(F.lit(1)).alias("n"), F.min(F.size("fp")).alias("shortest"), F.max(F.size("fp")).alias("longest"))
+
+
+def histogram(rows: DataFrame, value: str, bounds: list[float]) -> DataFrame:
+    """(bucket, n, total): values up to each bound (its number from 0), above the last one in the bucket after it; nulls count nowhere."""
+    bucket = F.lit(len(bounds))
+    for k, b in reversed(list(enumerate(bounds))):
+        bucket = F.when(F.col(value) <= b, F.lit(k)).otherwise(bucket)
+    return rows.where(F.col(value).isNotNull()).groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
+
+
+def observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, Observation]:
+    """df, and what is counted on the way when it is run: named aggregates without a job of their own."""
+    seen = Observation(name)
+    return df.observe(seen, *(c.alias(n) for n, c in metrics.items())), seen

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,6 +138,27 @@ def select_but_one(items: DataFrame, newest: bool) -> DataFrame:
     return items.withColumn("_rn", F.row_number().over(Window.partitionBy("group_id").orderBy(order, "path"))).where("_rn > 1").drop("_rn")
 
 
+def select_custom(items: DataFrame, identity: int = 0, date_order: int = 0, checked: DataFrame | None = None) -> DataFrame:
+    """Of each group (rows that the caller's filter has left) all but one of the rows that an identity mode takes together.
+
+    Modes: 0 the whole group, 1 rows equal to the group's first (by path) in everything, 2 in everything but size,
+    3 rows that differ from it. The first is always one of them. date_order 0 leaves the first by path out, 1 the
+    oldest, 2 the newest. Groups of which a path is in ``checked`` are skipped.
+    """
+    w = Window.partitionBy("group_id")
+    rows = items
+    if checked is not None:
+        rows = rows.join(items.join(checked.select("path").distinct(), "path", "left_semi").select("group_id").distinct(), "group_id", "left_anti")
+    first = F.min_by(F.struct(*IDENTITY), "path").over(w)
+    rows = rows.withColumns({"_first": first, "_head": F.col("path") == F.min("path").over(w)})
+    same = lambda names: reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_first.{c}")) for c in names))
+    full, but_size = same(IDENTITY), same([c for c in IDENTITY if c != "size"])
+    take = {0: F.lit(True), 1: full, 2: but_size, 3: ~full | ~but_size}[identity]
+    order = {0: [], 1: [F.col("date_created")], 2: [F.col("date_created").desc()]}[date_order]
+    rows = rows.where(take | F.col("_head")).withColumn("_rn", F.row_number().over(w.orderBy(*order, "path")))
+    return rows.where("_rn > 1").select(*items.columns)
+
+
 def hover_difference(items: DataFrame) -> DataFrame:
     """(group_id, path, size_delta, bitrate_delta, duration_delta): distance to the group's best in percent or seconds; = if under half a percent."""
     w = Window.partitionBy("group_id")

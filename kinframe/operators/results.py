@@ -168,16 +168,58 @@ def collapse_hard_links(items: DataFrame, file_id: str = "file_id") -> DataFrame
     return drop_singletons(items.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn"))
 
 
-def destination_names(paths: DataFrame, folder: str) -> DataFrame:
-    """(path, target): free names in a folder; later ones of a name get _1, _2, ... before the extension."""
+def destination_names(paths: DataFrame, folder: str, existing: DataFrame | None = None) -> DataFrame:
+    """(path, target): names in a folder that are all different and none of which ``existing`` (column name) has.
+
+    The first path of a name keeps it, unless the folder has it already; all others get _1, _2, ... before the
+    extension, the numbers left out that would give a name which another path has or which exists.
+    """
     name = F.element_at(F.split("path", "/"), -1)
-    stem, ext = F.regexp_replace(name, r"\.[^.]*$", ""), F.regexp_extract(name, r"(\.[^.]*)$", 1)
-    rows = paths.select("path", name.alias("name"), stem.alias("stem"), ext.alias("ext"))
-    rows = rows.withColumn("k", F.row_number().over(Window.partitionBy("name").orderBy("path")) - 1)
-    free = F.when(F.col("k") == 0, F.col("name")).otherwise(F.concat("stem", F.lit("_"), F.col("k").cast("string"), "ext"))
+    parts = lambda d: d.withColumns({"stem": F.regexp_replace("name", r"\.[^.]*$", ""), "ext": F.regexp_extract("name", r"(\.[^.]*)$", 1)})
+    rows = parts(paths.select("path", name.alias("name")))
+    there = rows.select("name", F.lit(False).alias("exists"))
+    if existing is not None:
+        there = there.unionByName(existing.select("name", F.lit(True).alias("exists")))
+    there = parts(there.groupBy("name").agg(F.max("exists").alias("exists")))
+    # the numbers that are taken beside each name: of v.mp4 those of v_3.mp4
+    taken = there.select(F.regexp_extract("stem", r"^(.*)_([1-9][0-9]*)$", 1).alias("stem"), "ext", F.regexp_extract("stem", r"^(.*)_([1-9][0-9]*)$", 2).try_cast("long").alias("k")).where("k IS NOT NULL")
+    taken = taken.groupBy("stem", "ext").agg(F.array_sort(F.collect_list("k")).alias("taken"))
+    rows = rows.join(there.select("name", "exists"), "name").withColumn("place", F.row_number().over(Window.partitionBy("name").orderBy("path")) - 1 + F.col("exists").cast("int"))
+    rows = rows.join(taken, ["stem", "ext"], "left").withColumn("taken", F.coalesce("taken", F.array().cast("array<long>")))
+    # the place-th number that isn't taken: as many more as there are taken ones with fewer free numbers below
+    below = F.filter(F.transform("taken", lambda x, i: x - i), lambda free: free <= F.col("place"))
+    number = (F.col("place") + F.size(below)).cast("string")
+    free = F.when(F.col("place") == 0, F.col("name")).otherwise(F.concat("stem", F.lit("_"), number, "ext"))
     return rows.select("path", F.concat(F.lit(K.prefix_with_slash(folder)), free).alias("target"))
 
 
+def select_missing(items: DataFrame, on_disk: DataFrame) -> DataFrame:
+    """Rows whose path isn't among those on disk."""
+    return items.join(on_disk.select("path").distinct(), "path", "left_anti")
+
+
+def invert_checked(items: DataFrame, checked: DataFrame) -> DataFrame:
+    """items with ``checked``: true for those that weren't among the checked paths."""
+    marked = items.join(checked.select("path").distinct().withColumn("_c", F.lit(True)), "path", "left")
+    return marked.withColumn("checked", F.col("_c").isNull()).drop("_c")
+
+
+def clear_checked(items: DataFrame) -> DataFrame:
+    """items, none of them checked."""
+    return items.withColumn("checked", F.lit(False))
+
+
+def project_items(items: DataFrame) -> DataFrame:
+    """What clients see of an item: named for them, without frames, hashes and fingerprints."""
+    names = {"path": "path", "folder": "folder", "size": "size_bytes", "duration_s": "duration_seconds", "frame_size": "frame_size", "fps": "fps", "bitrate_kbps": "bitrate_kbs", "format": "format", "audio_format": "audio_format", "audio_channel": "audio_channel", "audio_rate": "audio_sample_rate", "audio_kbps": "audio_bitrate_kbs", "similarity": "similarity", "date_created": "date_created", "is_image": "is_image", "hdr": "hdr_format", "flags": "flags", "offset_s": "partial_clip_offset_seconds", "group_id": "group_id"}
+    return items.select(*(F.col(c).alias(n) for c, n in names.items() if c in items.columns))
+
+
+def catalog_search(catalog: DataFrame, text: str) -> DataFrame:
+    """Rows whose path holds the text in any casing; all rows for an empty text."""
+    return catalog.where(F.contains(F.lower("path"), F.lit(text.strip().lower()))) if text.strip() else catalog
+
+
 def action_plan(selected: DataFrame, action: str, targets: DataFrame | None = None) -> DataFrame:
     """(action, path, size, target): what would be done; nothing is touched."""
     out = selected.select(F.lit(action).alias("action"), "path", "size")

@@ -12,6 +12,7 @@ from kinframe.config import ScanConfig
 from kinframe.functions import audio
 from kinframe.functions import kernels as K
 from kinframe.functions.phash import phash
+from kinframe.operators import blocks
 from kinframe.operators import catalog as C
 from kinframe.operators import clips as CL
 from kinframe.operators import diagnostics, filters, grouping, pairs, ranking, results
@@ -49,7 +50,10 @@ def ids(found: DataFrame, *more) -> DataFrame:
 
 @query(f"{ITEMS} SELECT id, lo, hi FROM items")
 def phash_from_embedding(spark, d):
-    return D.items(spark, d).select("id", "lo", "hi")
+    """Median-split hashes as column expressions; the clones' come from the catalog."""
+    v = D.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")).withColumn("med", K.median_of_64(F.col("v")))
+    own = v.select("id", K.half_hash(F.col("v"), F.col("med"), 0).alias("lo"), K.half_hash(F.col("v"), F.col("med"), 1).alias("hi"))
+    return own.unionByName(D.items(spark, d).where("id <> src").select("id", "lo", "hi"))
 
 
 @query(f"{ITEMS} SELECT a.id AS a_id, b.id AS b_id, CAST(bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)) AS INTEGER) AS distance FROM items a JOIN items b ON a.id < b.id WHERE bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)) <= 16")
@@ -83,30 +87,32 @@ _SAD = "list_sum(list_transform(range(1, 65), lambda i: abs(a.frame[i] - b.frame
 
 @query(f"{ITEMS}, p AS (SELECT a.id AS a_id, b.id AS b_id, {_SAD} AS difference FROM items a JOIN items b ON a.id < b.id) SELECT a_id, b_id, round(difference, 6) AS difference FROM p WHERE difference <= 0.04")
 def gray_sad_pairs(spark, d):
-    found = pairs.mean_band_pairs(D.items(spark, d), 0.04, []).withColumn("difference", K.pixel_difference(F.col("a.frame"), F.col("b.frame")))
-    return ids(found, F.round("difference", 6).alias("difference")).where("difference <= 0.04")
+    found = blocks.frame_matches(D.items(spark, d), ScanConfig(), by_duration=False, by_kind=False, limit=0.04)
+    return found.select("a_id", "b_id", F.round("difference", 6).alias("difference"))
+
+
+_KEPT = "list_filter(range(1, 65), lambda i: a.frame[i] > 32 AND b.frame[i] > 32 AND a.frame[i] < 240 AND b.frame[i] < 240)"
 
 
 @query(
-    f"""{ITEMS}, p AS (SELECT a.id AS a_id, b.id AS b_id, list_filter(range(1, 65), lambda i: a.frame[i] > 32 AND b.frame[i] > 32 AND a.frame[i] < 240 AND b.frame[i] < 240) AS k, a.frame AS x, b.frame AS y FROM items a JOIN items b ON a.src = b.src AND a.id < b.id)
-SELECT a_id, b_id, CAST(len(k) AS INTEGER) AS n_kept, CAST(coalesce(list_sum(list_transform(k, lambda i: abs(x[i] - y[i]))), 0) AS INTEGER) AS total FROM p"""
+    f"""{ITEMS}, p AS (SELECT a.id AS a_id, b.id AS b_id, {_KEPT} AS k, a.frame AS x, b.frame AS y FROM items a JOIN items b ON a.id < b.id AND a.is_image = b.is_image AND (a.is_image OR abs(a.duration_s - b.duration_s) <= least(a.duration_s * 0.2, b.duration_s * 0.2))),
+q AS (SELECT a_id, b_id, CAST(list_sum(list_transform(k, lambda i: abs(x[i] - y[i]))) AS FLOAT) / CAST(len(k) AS FLOAT) / CAST(256 AS FLOAT) AS difference FROM p WHERE len(k) > 0)
+SELECT a_id, b_id, round(CAST(difference AS DOUBLE), 5) AS difference FROM q WHERE difference <= CAST(0.04 AS FLOAT)"""
 )
 def gray_masked_pairs(spark, d):
-    x = D.items(spark, d)
-    both = x.alias("a").join(x.alias("b"), F.col("a.src") == F.col("b.src")).where("a.id < b.id")
-    keep = F.filter(F.zip_with("a.frame", "b.frame", lambda p, q: F.struct(p.alias("p"), q.alias("q"))), lambda v: (v["p"] > K.DARK) & (v["q"] > K.DARK) & (v["p"] < K.WHITE) & (v["q"] < K.WHITE))
-    return both.select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), F.size(keep).alias("n_kept"), F.aggregate(keep, F.lit(0), lambda s, v: s + F.abs(v["p"] - v["q"])).alias("total"))
+    """Pairs within the tolerance of durations that match where neither frame is black or white."""
+    c = ScanConfig(whole_catalog=True, percent=96.0, ignore_black=True, ignore_white=True)
+    found = pairs.all_matches(D.items(spark, d), c)
+    return ids(found, F.round("difference", 5).alias("difference"))
 
 
 _MIRROR = "list_sum(list_transform(range(0, 64), lambda i: abs(a.frame[(i // 8) * 8 + 8 - i % 8] - b.frame[i + 1]))) / 64.0 / 256.0"
 
 
-@query(f"{ITEMS}, p AS (SELECT a.id AS a_id, b.id AS b_id, {_SAD} AS plain, {_MIRROR} AS mirrored FROM items a JOIN items b ON a.id < b.id AND a.label = b.label) SELECT a_id, b_id, round(least(plain, mirrored), 6) AS difference, mirrored < plain AS flipped FROM p WHERE least(plain, mirrored) <= 0.2")
+@query(f"{ITEMS}, p AS (SELECT a.id AS a_id, b.id AS b_id, {_SAD} AS plain, {_MIRROR} AS mirrored FROM items a JOIN items b ON a.id < b.id) SELECT a_id, b_id, round(least(plain, mirrored), 6) AS difference, mirrored < plain AS flipped FROM p WHERE least(plain, mirrored) <= 0.2")
 def flipped_pairs(spark, d):
-    x = D.items(spark, d)
-    both = x.select(F.struct("id", "frame").alias("a"), "label").join(x.select(F.struct("id", "frame").alias("b"), "label"), "label").where("a.id < b.id")
-    diff, flip = pairs.metric(ScanConfig(flipped=True), D.SIDE)
-    return ids(both.withColumn("x", diff).withColumn("flipped", flip).where("x <= 0.2"), F.round("x", 6).alias("difference"), "flipped")
+    found = blocks.frame_matches(D.items(spark, d), ScanConfig(flipped=True), by_duration=False, by_kind=False, limit=0.2)
+    return found.select("a_id", "b_id", F.round("difference", 6).alias("difference"), "flipped")
 
 
 @query(f"{ITEMS} SELECT id, CAST(len(list_filter(frame, lambda x: x <= 32)) AS INTEGER) AS n_dark, len(list_filter(frame, lambda x: x <= 32)) * 100.0 / 64 >= 80 AS too_dark, list_reverse(frame[1:8])[1] AS first_flipped FROM items")
@@ -166,7 +172,7 @@ AND b.size BETWEEN trunc(a.size * 0.5) AND trunc(a.size * 1.5) AND least(a.width
 @query(f"{ITEMS} SELECT a.id AS a_id, b.id AS b_id, {_SAD} AS difference FROM items a JOIN items b ON a.id < b.id WHERE {_GATES} AND {_SAD} <= 0.04")
 def all_gates(spark, d):
     x = D.items(spark, d)
-    return ids(pairs.matches(pairs.candidates(x, CONFIG), CONFIG), "difference")
+    return ids(pairs.all_matches(x, CONFIG), "difference")
 
 
 @query(f"{ITEMS} SELECT a.id AS a_id, b.id AS b_id, CAST({_DIST} AS INTEGER) AS distance, a.is_image = b.is_image AS gate_kind, {_DIST} <= 32 AS gate_quick, b.size BETWEEN trunc(a.size * 0.5) AND trunc(a.size * 1.5) AS gate_size, a.file_id <> b.file_id AS gate_hard_link FROM items a JOIN items b ON a.src = b.src AND a.id < b.id")
@@ -177,12 +183,30 @@ def explain_pair(spark, d):
     return diagnostics.explain_pairs(both, CONFIG).select("a_id", "b_id", "distance", "gate_kind", "gate_quick", "gate_size", "gate_hard_link")
 
 
-@query(f"{ITEMS}, s AS (SELECT label, list(x ORDER BY id) AS h FROM (SELECT label, id, xor(lo, hi) AS x FROM items) GROUP BY label), p AS (SELECT a.label AS a_label, b.label AS b_label, a.h[1:4] AS x, b.h[1:4] AS y FROM s a JOIN s b ON a.label < b.label) SELECT a_label, b_label, len(list_filter(range(1, 5), lambda i: bit_count(xor(x[i], y[i])) > 16)) = 0 AS matches FROM p")
+POSITIONS = f"""{ITEMS}, pos AS (SELECT id // 4 AS g, list(lo ORDER BY id) AS lo, list(hi ORDER BY id) AS hi, list(frame ORDER BY id) AS f FROM base GROUP BY id // 4 HAVING count(*) = 4),
+entries AS (SELECT CAST(g AS BIGINT) AS id, lo, hi, f FROM pos UNION ALL SELECT CAST(g + {D.CLONE} AS BIGINT), list_transform(lo, lambda x, j: xor(x, CAST(1 AS BIGINT) << CAST(j * 5 AS INTEGER))), hi,
+  list_transform(f, lambda v, j: list_transform(v, lambda x, i: greatest(0, least(255, x + (i + j) % 5 - 2)))) FROM pos WHERE g % 3 = 0)"""
+
+
+@query(
+    f"""{POSITIONS}, p AS (SELECT a.id AS a_id, b.id AS b_id, list_transform(range(1, 5), lambda i: bit_count(xor(a.lo[i], b.lo[i])) + bit_count(xor(a.hi[i], b.hi[i]))) AS d FROM entries a JOIN entries b ON a.id < b.id)
+SELECT a_id, b_id, round(1 - list_sum(d) / 4.0 / 64.0, 6) AS similarity FROM p WHERE len(list_filter(d, lambda x: x > 6)) = 0"""
+)
 def multi_position_match(spark, d):
-    s = D.items(spark, d).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("id", F.col("lo").bitwiseXOR(F.col("hi")).alias("x")))), lambda v: v["x"]).alias("h"))
-    s = s.select("label", F.slice("h", 1, 4).alias("h"))
-    both = s.alias("a").join(s.alias("b"), F.col("a.label") < F.col("b.label"))
-    return both.select(F.col("a.label").alias("a_label"), F.col("b.label").alias("b_label"), pairs.match_positions(F.col("a.h"), F.col("b.h"), 16).isNotNull().alias("matches"))
+    """Entries of four positions each: every position's hash must be within the bits, the mean counts."""
+    c = ScanConfig(whole_catalog=True, positions=4, percent=90.0, use_phash=True)
+    found = pairs.all_matches(D.position_items(spark, d), c)
+    return ids(found, F.round(1 - F.col("difference"), 6).alias("similarity"))
+
+
+_FOUR = "list_sum(list_transform(range(1, 5), lambda j: list_sum(list_transform(range(1, 65), lambda i: abs(a.f[j][i] - b.f[j][i]))) / 64.0 / 256.0)) / 4"
+
+
+@query(f"{POSITIONS}, p AS (SELECT a.id AS a_id, b.id AS b_id, {_FOUR} AS difference FROM entries a JOIN entries b ON a.id < b.id) SELECT a_id, b_id, round(difference, 6) AS difference FROM p WHERE difference <= 0.04")
+def multi_position_gray(spark, d):
+    """The same by the mean difference of the four positions' frames."""
+    found = pairs.all_matches(D.position_items(spark, d), ScanConfig(whole_catalog=True, positions=4, percent=96.0))
+    return ids(found, F.round("difference", 6).alias("difference"))
 
 
 # --- graph -------------------------------------------------------------------------------------------------
@@ -210,7 +234,7 @@ def daisy_split(spark, d):
     x = D.items(spark, d)
     found = ids(pairs.theta_pairs(x, []), "distance").where(F.col("distance") <= c.max_bits)
     found = found.select("a_id", "b_id", (F.col("distance") / 64.0).alias("difference"), F.lit(False).alias("flipped"))
-    return grouping.duplicate_groups(x, found, c.limit, True, c.max_bits)
+    return grouping.duplicate_groups(x.drop("is_image"), found, c)
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
@@ -221,9 +245,9 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 # --- clips -------------------------------------------------------------------------------------------------
 
 
-def videos(spark, d, below: int | None = None):
-    """Sources with fingerprints of 24 values, and clips cut out of some of them with flipped bits; ``below`` bounds the ids used."""
-    x = D.base_items(spark, d).where(F.lit(True) if below is None else F.col("id") < below).select("id", "lo", "hi", F.floor(F.col("id") / 12).alias("g"), (F.col("id") % 12).alias("k"))
+def videos(spark, d):
+    """Sources with fingerprints of 24 values, and clips cut out of some of them with flipped bits."""
+    x = D.base_items(spark, d).select("id", "lo", "hi", F.floor(F.col("id") / 12).alias("g"), (F.col("id") % 12).alias("k"))
     s = x.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("k", "lo", "hi"))).alias("v")).where(F.size("v") == 12)
     s = s.select("g", F.flatten(F.transform("v", lambda v: F.array(v["lo"], v["hi"]))).alias("fp"))
     source = s.select(F.col("g").cast("long").alias("id"), (200.0 + F.col("g") * 3).alias("duration_s"), "fp")
@@ -231,10 +255,7 @@ def videos(spark, d, below: int | None = None):
     return source.unionByName(clip)
 
 
-#: The ids that the SQL of the next three queries reads; clip_items_whole has the whole table.
-SQL_BELOW = 400
-
-VIDEOS = f"""{ITEMS}, g AS (SELECT id // 12 AS g, list([lo, hi] ORDER BY id) AS v FROM base WHERE id < 400 GROUP BY id // 12 HAVING count(*) = 12), s AS (SELECT g, flatten(v) AS fp FROM g),
+VIDEOS = f"""{ITEMS}, g AS (SELECT id // 12 AS g, list([lo, hi] ORDER BY id) AS v FROM base GROUP BY id // 12 HAVING count(*) = 12), s AS (SELECT g, flatten(v) AS fp FROM g),
 videos AS (SELECT CAST(g AS BIGINT) AS id, 200.0 + g * 3 AS duration_s, fp FROM s UNION ALL SELECT CAST(g + 1000 AS BIGINT), 60.0 + g, list_transform(fp[g % 8 + 3 : g % 8 + 10], lambda x: xor(x, 5)) FROM s WHERE g % 3 = 0),
 ordered AS (SELECT *, row_number() OVER (ORDER BY duration_s DESC, id) - 1 AS idx FROM videos),
 p AS (SELECT a.id AS source_id, a.idx AS source_idx, b.id AS clip_id, a.fp AS x, b.fp AS y, unnest(range(0, len(a.fp) - len(b.fp) + 1)) AS o FROM ordered a JOIN ordered b ON a.id <> b.id AND b.duration_s / a.duration_s >= 0.1 AND b.duration_s / a.duration_s < 0.95 AND len(b.fp) < len(a.fp)),
@@ -245,17 +266,17 @@ m AS (SELECT source_id, source_idx, clip_id, 1.0 - bits / n AS similarity, o FRO
 
 @query(f"{VIDEOS} SELECT source_id, clip_id, round(similarity, 6) AS similarity, CAST(o AS INTEGER) AS offset_s FROM m")
 def sliding_match(spark, d):
-    return CL.clip_matches(CL.by_duration(videos(spark, d, SQL_BELOW))).select("source_id", "clip_id", F.round("similarity", 6).alias("similarity"), "offset_s")
+    return CL.clip_matches(CL.by_duration(videos(spark, d))).select("source_id", "clip_id", F.round("similarity", 6).alias("similarity"), "offset_s")
 
 
 @query(f"{VIDEOS} SELECT source_id AS group_id, clip_id, CAST(o AS INTEGER) AS offset_s FROM (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY source_idx) AS rn FROM m) WHERE rn = 1")
 def clip_assignments(spark, d):
-    return CL.assign_clips(CL.clip_matches(CL.by_duration(videos(spark, d, SQL_BELOW)))).select("group_id", "clip_id", "offset_s")
+    return CL.assign_clips(CL.clip_matches(CL.by_duration(videos(spark, d)))).select("group_id", "clip_id", "offset_s")
 
 
 @query(f"{VIDEOS}, a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY clip_id ORDER BY source_idx) AS rn FROM m) WHERE rn = 1) SELECT DISTINCT source_id AS group_id, source_id AS id, false AS is_clip, 0 AS offset_s FROM a UNION ALL SELECT source_id, clip_id, true, CAST(o AS INTEGER) FROM a")
 def clip_items(spark, d):
-    return CL.clip_items(CL.assign_clips(CL.clip_matches(CL.by_duration(videos(spark, d, SQL_BELOW))))).drop("similarity")
+    return CL.clip_items(CL.assign_clips(CL.clip_matches(CL.by_duration(videos(spark, d))))).drop("similarity")
 
 
 @query()
@@ -518,11 +539,22 @@ def hardlink_collapse(spark, d):
     return results.collapse_hard_links(D.ranked_items(spark, d), "hdr_rank").select("group_id", "path")
 
 
-@query("SELECT path, '/dest/' || CASE WHEN k = 0 THEN n || '.mp4' ELSE n || '_' || k || '.mp4' END AS target FROM (SELECT path, n, row_number() OVER (PARTITION BY n ORDER BY path) - 1 AS k FROM (SELECT '/s/' || s_suppkey || '/v' || (s_suppkey % 9) || '.mp4' AS path, 'v' || (s_suppkey % 9) AS n FROM supplier))")
+_NAMED = "SELECT '/s/' || s_suppkey || '/v' || (s_suppkey % 9) || CASE WHEN s_suppkey % 7 = 0 THEN '_' || (s_suppkey % 4) ELSE '' END || '.mp4' AS path FROM supplier"
+
+
+@query(
+    f"""WITH ex(name) AS (VALUES ('v3.mp4'), ('v4_2.mp4'), ('v5_1.mp4')), n AS (SELECT path, regexp_extract(path, '[^/]*$') AS name FROM ({_NAMED})),
+p AS (SELECT *, name[:-5] AS stem, row_number() OVER (PARTITION BY name ORDER BY path) - 1 + CAST(name IN (SELECT name FROM ex) AS INTEGER) AS place FROM n),
+taken AS (SELECT name FROM p UNION SELECT name FROM ex),
+free AS (SELECT stem, i, row_number() OVER (PARTITION BY stem ORDER BY i) AS r FROM (SELECT DISTINCT stem FROM p), range(1, 2000) t(i) WHERE stem || '_' || i || '.mp4' NOT IN (SELECT name FROM taken))
+SELECT path, '/dest/' || CASE WHEN place = 0 THEN name ELSE p.stem || '_' || free.i || '.mp4' END AS target FROM p LEFT JOIN free ON free.stem = p.stem AND free.r = p.place"""
+)
 def destination_names(spark, d):
+    """Names that are all different, beside three that exist and others that look like numbered ones."""
     k = F.col("s_suppkey")
-    p = D.table(spark, d, "supplier").select(F.concat(F.lit("/s/"), k.cast("string"), F.lit("/v"), (k % 9).cast("string"), F.lit(".mp4")).alias("path"))
-    return results.destination_names(p, "/dest")
+    number = F.when(k % 7 == 0, F.concat(F.lit("_"), (k % 4).cast("string"))).otherwise("")
+    p = D.table(spark, d, "supplier").select(F.concat(F.lit("/s/"), k.cast("string"), F.lit("/v"), (k % 9).cast("string"), number, F.lit(".mp4")).alias("path"))
+    return results.destination_names(p, "/dest", spark.createDataFrame([("v3.mp4",), ("v4_2.mp4",), ("v5_1.mp4",)], "name string"))
 
 
 @query(f"{RANKED} SELECT 'delete' AS action, path, size, CAST(NULL AS VARCHAR) AS target FROM ranked WHERE similarity = 100")
@@ -588,22 +620,127 @@ def recent_audit(spark, d):
     return results.recent(D.table(spark, d, "events").select("ts", "event_id", "user_id"), 20).select("event_id", "ts")
 
 
-@query(f"{RANKED} SELECT group_id, path, group_id || ',' || printf('%.1f', CAST(similarity AS DOUBLE)) || ',' || path || ',' || size || ',' || printf('%.3f', CAST(duration_s AS DOUBLE)) || ',' || frame_size || ',' || printf('%.2f', CAST(fps AS DOUBLE)) || ',' || bitrate_kbps || ',' || CASE WHEN is_image THEN 'True' ELSE 'False' END AS line FROM ranked")
+#: Ranked items with what exports tell besides.
+TOLD = f"""{RANKED}, told AS (SELECT *, CASE WHEN duration_s % 3 = 0 THEN 'h264' END AS format, CASE WHEN bitrate_kbps % 2 = 0 THEN 'aac, stereo' END AS audio_format, CASE WHEN fps = 24 THEN 2 ELSE 0 END AS flags, CASE WHEN fps = 27 THEN duration_s * 30 ELSE 0 END AS offset_s FROM ranked)"""
+
+
+def _told(spark, d):
+    x = D.ranked_items(spark, d)
+    audio = F.when(F.col("bitrate_kbps") % 2 == 0, "aac, stereo")
+    return x.withColumns({"format": F.when(F.col("duration_s") % 3 == 0, "h264"), "audio_format": audio, "flags": F.when(F.col("fps") == 24, 2).otherwise(0), "offset_s": F.when(F.col("fps") == 27, F.col("duration_s") * 30).otherwise(0)})
+
+
+_QUOTED = "CASE WHEN audio_format IS NULL THEN '' ELSE '\"' || audio_format || '\"' END"
+_BOOL = "CASE WHEN {} THEN 'True' ELSE 'False' END"
+_CLOCK = "printf('%02d:%02d:%02d', CAST({0} AS BIGINT) // 3600, CAST({0} AS BIGINT) % 3600 // 60, CAST({0} AS BIGINT) % 60)"
+
+
+@query(
+    f"""{TOLD} SELECT group_id, path, concat_ws(',', group_id, printf('%.1f', CAST(similarity AS DOUBLE)), path, size, printf('%.3f', CAST(duration_s AS DOUBLE)), frame_size, coalesce(format, ''), printf('%.2f', CAST(fps AS DOUBLE)), bitrate_kbps, {_QUOTED},
+strftime(date_created, '%Y-%m-%dT%H:%M:%S.%f'), {_BOOL.format('is_image')}, flags, offset_s) AS line FROM told"""
+)
 def csv_export(spark, d):
-    return files.csv_lines(D.ranked_items(spark, d)).select("group_id", "path", "line")
+    return files.csv_lines(_told(spark, d)).select("group_id", "path", "line")
 
 
-@query()
+@query(
+    f"""{TOLD} SELECT group_id, path, concat_ws(',', group_id, path, size, {_CLOCK.format('duration_s')}, frame_size, fps, bitrate_kbps, {_QUOTED}, audio_rate, similarity, strftime(date_created, '%Y-%m-%d %H:%M:%S'), {_BOOL.format('is_image')}, {_BOOL.format('similarity = 97')}) AS line FROM told"""
+)
+def sheet_export(spark, d):
+    x = _told(spark, d)
+    return files.sheet_lines(x, x.where("similarity = 97"))
+
+
+@query(f"{RANKED} SELECT group_id, path, size, CAST(similarity AS DOUBLE) AS similarity, is_image FROM ranked")
 def results_json(spark, d):
     """Groups as JSON documents, read back."""
-    x = D.ranked_items(spark, d).select("group_id", F.struct(F.col("group_id").alias("groupId"), "path", F.col("size").alias("sizeLong"), F.col("similarity").cast("double").alias("similarity"), F.col("is_image").alias("isImage")).alias("itemInfo"))
-    docs = x.groupBy("group_id").agg(F.collect_list(F.struct("itemInfo")).alias("items")).select(F.to_json(F.struct(F.lit(1).alias("version"), "items")).alias("value"))
-    return files.read_results(docs)
+    x = D.ranked_items(spark, d)
+    docs = files.results_json(x.select("group_id", F.col("group_id").alias("groupId"), "path", F.col("size").alias("sizeLong"), F.col("similarity").cast("double").alias("similarity"), F.col("is_image").alias("isImage")))
+    return files.read_results(docs, "json")
 
 
-@query(f"{RANKED} SELECT group_id, CAST(row_number() OVER (PARTITION BY group_id ORDER BY similarity DESC, path) AS INTEGER) AS place, size = min(size) OVER (PARTITION BY group_id) AS best FROM ranked")
+@query(
+    f"""{TOLD}, b AS (SELECT *, {_FIRST} AS im FROM told), c AS (SELECT *, (NOT im AND bitrate_kbps = max(bitrate_kbps) OVER w) OR frame_size = max(frame_size) OVER w AS best FROM b WINDOW w AS (PARTITION BY group_id)),
+g AS (SELECT group_id, count(*) AS n, row_number() OVER (ORDER BY group_id) AS no FROM told GROUP BY group_id)
+SELECT group_id, 0 AS place, printf('Group %d (%d files):', no, n) AS line FROM g UNION ALL
+SELECT group_id, CAST(row_number() OVER (PARTITION BY group_id ORDER BY similarity DESC, path) AS INTEGER), printf('  %6.1f%%  ', CAST(similarity AS DOUBLE)) || path || CASE WHEN best THEN ' [best]' ELSE '' END || CASE WHEN offset_s > 0 THEN ' [partial clip @ ' || {_CLOCK.format('offset_s')} || ']' ELSE '' END
+  || chr(10) || '         ' || frame_size || ', ' || coalesce(format, '?') || CASE WHEN is_image THEN '' ELSE printf(', %.2f fps, ', CAST(fps AS DOUBLE)) || bitrate_kbps || ' kbps, ' || {_CLOCK.format('duration_s')} END FROM c"""
+)
 def text_report(spark, d):
-    return files.text_report(D.ranked_items(spark, d)).select("group_id", "place", F.col("line").endswith("[best]").alias("best"))
+    return files.text_report(_told(spark, d))
+
+
+# --- selections and counters -------------------------------------------------------------------------------
+
+_FULL = "size, duration_s, frame_size, fps, bitrate_kbps, audio_kbps, audio_rate, hdr_rank, is_image"
+
+
+def _custom(name: str, identity: int, date_order: int, take: str, order: str) -> None:
+    def run(spark, d):
+        x = D.ranked_items(spark, d).where("duration_s >= 50")
+        return ranking.select_custom(x, identity, date_order, x.where("similarity = 90 AND duration_s > 450")).select("group_id", "path")
+
+    run.__name__ = f"select_custom_{name}"
+    query(
+        f"""{RANKED}, k AS (SELECT * FROM ranked WHERE duration_s >= 50), v AS (SELECT *, ROW({_FULL}) AS me, ROW({_FULL.replace('size, ', '', 1)}) AS mine FROM k WHERE group_id NOT IN (SELECT group_id FROM k WHERE similarity = 90 AND duration_s > 450)),
+h AS (SELECT *, first_value(me) OVER w AS full_, first_value(mine) OVER w AS most, first_value(path) OVER w AS head FROM v WINDOW w AS (PARTITION BY group_id ORDER BY path)),
+r AS (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY {order}path) AS rn FROM h WHERE path = head OR {take}) SELECT group_id, path FROM r WHERE rn > 1"""
+    )(run)
+
+
+_custom("group", 0, 2, "true", "date_created DESC, ")
+_custom("equal", 1, 0, "me = full_", "")
+_custom("equal_but_size", 2, 1, "mine = most", "date_created, ")
+_custom("unequal", 3, 0, "(me <> full_ OR mine <> most)", "")
+
+
+@query(f"{CATALOG} SELECT id FROM catalog WHERE NOT on_disk")
+def select_missing(spark, d):
+    c = D.catalog(spark, d)
+    return results.select_missing(c, c.where("on_disk")).select("id")
+
+
+@query(f"{RANKED} SELECT group_id, path, similarity <> 97 AS checked FROM ranked")
+def invert_checked(spark, d):
+    x = D.ranked_items(spark, d)
+    return results.invert_checked(x, x.where("similarity = 97")).select("group_id", "path", "checked")
+
+
+@query(f"{RANKED} SELECT group_id, path, false AS checked FROM ranked")
+def clear_checked(spark, d):
+    return results.clear_checked(D.ranked_items(spark, d)).select("group_id", "path", "checked")
+
+
+@query(f"{TOLD} SELECT path, size AS size_bytes, duration_s AS duration_seconds, frame_size, fps, bitrate_kbps AS bitrate_kbs, format, audio_format, audio_rate AS audio_sample_rate, audio_kbps AS audio_bitrate_kbs, similarity, date_created, is_image, flags, offset_s AS partial_clip_offset_seconds, group_id FROM told")
+def project_items(spark, d):
+    return results.project_items(_told(spark, d))
+
+
+@query(f"{CATALOG} SELECT id FROM catalog WHERE contains(lower(path), 'brand_2')")
+def catalog_search(spark, d):
+    return results.catalog_search(D.catalog(spark, d), " BRAND_2 ").select("id")
+
+
+@query(
+    f"""{ITEMS}, p AS (SELECT a.is_image = b.is_image AS g1, {_DIST} <= 32 AS g2, a.is_image OR abs(a.duration_s - b.duration_s) <= least(a.duration_s * 0.2, b.duration_s * 0.2) AS g3, b.size BETWEEN trunc(a.size * 0.5) AND trunc(a.size * 1.5) AS g4,
+least(a.width, b.width) >= greatest(a.width, b.width) // 2 AND least(a.height, b.height) >= greatest(a.height, b.height) // 2 AS g5, a.file_id <> b.file_id AS g7 FROM items a JOIN items b ON a.id < b.id AND NOT a.is_image AND NOT b.is_image WHERE {_TOL.replace('0.05', '0.1')})
+SELECT count(*) AS pairs, count(*) FILTER (g1) AS after_kind, count(*) FILTER (g1 AND g2) AS after_quick, count(*) FILTER (g1 AND g2 AND g3) AS after_duration, count(*) FILTER (g1 AND g2 AND g3 AND g4) AS after_size, count(*) FILTER (g1 AND g2 AND g3 AND g4 AND g5) AS after_resolution,
+count(*) FILTER (g1 AND g2 AND g3 AND g4 AND g5) AS after_folder, count(*) FILTER (g1 AND g2 AND g3 AND g4 AND g5 AND g7) AS after_hard_link FROM p"""
+)
+def gate_counters(spark, d):
+    x = D.items(spark, d).where("NOT is_image")
+    near = pairs.duration_pairs(x, ScanConfig(duration_percent=10.0), pairs.PAIR_COLUMNS)
+    return diagnostics.gate_counters(near, CONFIG)
+
+
+@query(f"{VIDEOS} SELECT count(*) AS n, CAST(min(len(fp)) AS INTEGER) AS shortest, CAST(max(len(fp)) AS INTEGER) AS longest FROM videos")
+def fingerprint_lengths(spark, d):
+    return diagnostics.fingerprint_lengths(videos(spark, d))
+
+
+@query("SELECT CAST(CASE WHEN v <= 10 THEN 0 WHEN v <= 100 THEN 1 WHEN v <= 500 THEN 2 ELSE 3 END AS INTEGER) AS bucket, count(*) AS n, CAST(sum(v) AS BIGINT) AS total FROM (SELECT CAST(floor(value) AS BIGINT) AS v FROM events WHERE value IS NOT NULL) GROUP BY 1")
+def metric_histogram(spark, d):
+    return diagnostics.histogram(D.table(spark, d, "events").withColumn("v", F.floor("value").cast("long")), "v", [10, 100, 500])
 
 
 # --- catalog -----------------------------------------------------------------------------------------------

@@ -63,36 +63,78 @@ def read_results(texts: DataFrame, column: str = "value") -> DataFrame:
     return rows.select(F.explode(good).alias("i")).select(F.col("i.groupId").alias("group_id"), "i.path", F.col("i.sizeLong").alias("size"), "i.similarity", F.col("i.isImage").alias("is_image"))
 
 
-CSV_COLUMNS = ("GroupId", "Similarity", "Path", "Size", "Duration", "FrameSize", "Fps", "BitRateKbs", "IsImage")
+#: Columns of the two CSV exports, in their order.
+CSV_COLUMNS = ("GroupId", "Similarity", "Path", "Size", "Duration", "FrameSize", "Format", "Fps", "BitRateKbs", "AudioFormat", "DateCreated", "IsImage", "Flags", "PartialClipOffset")
+SHEET_COLUMNS = ("GroupId", "Path", "SizeBytes", "Duration", "Resolution", "Fps", "BitrateKbs", "AudioFormat", "AudioSampleRate", "Similarity", "DateCreated", "IsImage", "Checked")
+
+
+def _or(items: DataFrame, name: str, otherwise: str = "") -> Column:
+    """A column as text; what is missing or null is ``otherwise``."""
+    return F.coalesce(F.col(name).cast("string"), F.lit(otherwise)) if name in items.columns else F.lit(otherwise)
+
+
+def _bool(c: Column) -> Column:
+    return F.when(c, "True").otherwise("False")
 
 
 def csv_lines(items: DataFrame) -> DataFrame:
     """(group_id, similarity, path, line): a CSV line an item, to be ordered by group and falling similarity."""
+    created = F.date_format("date_created", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS") if "date_created" in items.columns else F.lit("")
     f: list[Column] = [
         F.col("group_id").cast("string"), F.format_string("%.1f", F.col("similarity").cast("double")), K.csv_field(F.col("path")), F.col("size").cast("string"),
-        F.format_string("%.3f", F.col("duration_s").cast("double")), K.csv_field(F.col("frame_size")), F.format_string("%.2f", F.col("fps").cast("double")),
-        F.col("bitrate_kbps").cast("string"), F.when(F.col("is_image"), "True").otherwise("False"),
+        F.format_string("%.3f", F.col("duration_s").cast("double")), K.csv_field(F.col("frame_size")), K.csv_field(_or(items, "format")), F.format_string("%.2f", F.col("fps").cast("double")),
+        F.col("bitrate_kbps").cast("string"), K.csv_field(_or(items, "audio_format")), F.coalesce(created, F.lit("")), _bool(F.col("is_image")), _or(items, "flags", "0"), _or(items, "offset_s", "0"),
     ]
     return items.select("group_id", "similarity", "path", F.concat_ws(",", *f).alias("line"))
 
 
-def write_csv(items: DataFrame, path: str, bom: bool = False) -> None:
-    """Lines in order, one file; a byte order mark is for spreadsheet programs."""
-    lines = csv_lines(items).orderBy("group_id", F.col("similarity").desc(), "path").select("line")
-    head = (codecs.BOM_UTF8.decode() if bom else "") + ",".join(CSV_COLUMNS)
-    spark = items.sparkSession
-    spark.createDataFrame([(head,)], "line string").unionByName(lines).coalesce(1).write.mode("overwrite").text(path)
+def sheet_lines(items: DataFrame, checked: DataFrame | None = None) -> DataFrame:
+    """(group_id, path, line): the export for spreadsheet programs; with ``checked`` (column path) it tells which are."""
+    created = F.date_format("date_created", "yyyy-MM-dd HH:mm:ss") if "date_created" in items.columns else F.lit("")
+    f: list[Column] = [
+        F.col("group_id").cast("string"), K.csv_field(F.col("path")), F.col("size").cast("string"), _duration(F.col("duration_s")), K.csv_field(_or(items, "frame_size")), F.col("fps").cast("string"),
+        F.col("bitrate_kbps").cast("string"), K.csv_field(_or(items, "audio_format")), F.col("audio_rate").cast("string"), F.col("similarity").cast("string"), F.coalesce(created, F.lit("")), _bool(F.col("is_image")),
+    ]
+    rows = items
+    if checked is not None:
+        rows = items.join(checked.select("path").distinct().withColumn("_c", F.lit(True)), "path", "left")
+        f.append(_bool(F.col("_c").isNotNull()))
+    return rows.select("group_id", "path", F.concat_ws(",", *f).alias("line"))
+
+
+def _duration(seconds: Column) -> Column:
+    """hh:mm:ss of whole seconds."""
+    s = F.floor(seconds).cast("long")
+    return F.format_string("%02d:%02d:%02d", F.expr("CAST(0 AS BIGINT)") + F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)
+
+
+def write_lines(lines: DataFrame, order: list[str], path: str, header: tuple[str, ...], bom: bool = False) -> None:
+    """Writes a column ``line`` in order as text, part files in the order of their names, the header first; a byte order mark is for spreadsheet programs."""
+    spark = lines.sparkSession
+    head = (codecs.BOM_UTF8.decode() if bom else "") + ",".join(header)
+    rows = lines.select(F.lit(1).alias("_part"), *order, "line")
+    first = spark.createDataFrame([(head,)], "head string").select(F.lit(0).alias("_part"), *(F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in order), F.col("head").alias("line"))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.unionByName(first)
+    rows.repartitionByRange(parts, "_part", *order).sortWithinPartitions("_part", *order).select("line").write.mode("overwrite").text(path)
 
 
 def text_report(items: DataFrame) -> DataFrame:
-    """(group_no, place, line): numbered groups, items by falling similarity with a tag on the best size."""
+    """(group_id, place, line): numbered groups with a head line (place 0), items by falling similarity, each with a line of details."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("group_id")
-    best = F.when(F.col("size") == F.min("size").over(w), " [best]").otherwise("")
-    rows = items.withColumn("place", F.row_number().over(w.orderBy(F.col("similarity").desc(), "path")))
-    line = F.concat(F.col("path"), F.lit(" "), F.format_string("%.1f%%", F.col("similarity").cast("double")), F.lit(" "), K.human_bytes(F.col("size")), best)
-    return rows.select("group_id", "place", line.alias("line"))
+    size = items.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
+    from kinframe.operators.ranking import best_flags, global_rank
+
+    heads = global_rank(size, [F.col("group_id")], "no").select("group_id", F.lit(0).alias("place"), F.format_string("Group %d (%d files):", F.col("no") + 1, "n").alias("line"))
+    rows = best_flags(items).withColumn("place", F.row_number().over(w.orderBy(F.col("similarity").desc(), "path")))
+    best = F.when(F.col("is_best_bitrate") | F.col("is_best_frame_size"), " [best]").otherwise("")
+    clip = F.when(F.col("offset_s") > 0, F.concat(F.lit(" [partial clip "), K.clip_offset(F.col("offset_s")), F.lit("]"))).otherwise("") if "offset_s" in items.columns else F.lit("")
+    line = F.concat(F.format_string("  %6.1f%%  ", F.col("similarity").cast("double")), F.col("path"), best, clip)
+    about = F.concat(F.lit(" " * 9), _or(items, "frame_size", "?"), F.lit(", "), _or(items, "format", "?"))
+    about = F.when(F.col("is_image"), about).otherwise(F.concat(about, F.format_string(", %.2f fps, ", F.col("fps").cast("double")), F.col("bitrate_kbps").cast("string"), F.lit(" kbps, "), _duration(F.col("duration_s"))))
+    return heads.unionByName(rows.select("group_id", "place", F.concat(line, F.lit("\n"), about).alias("line")))
 
 
 def blacklist(texts: DataFrame, column: str = "value") -> DataFrame:
