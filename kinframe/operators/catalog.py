@@ -49,8 +49,8 @@ def dirty_rows(catalog: DataFrame) -> DataFrame:
 
 
 def compact(snapshot: DataFrame, deltas: DataFrame, key: str = "path", version: str = "version") -> DataFrame:
-    """The latest version of every key in a snapshot and what was appended to it."""
-    w = Window.partitionBy(key).orderBy(F.col(version).desc())
+    """The latest version of every key in a snapshot and what was appended to it; of equal versions the row that is greatest in all its columns."""
+    w = Window.partitionBy(key).orderBy(F.col(version).desc(), *(F.col(c).desc() for c in snapshot.columns if c != key))
     return snapshot.unionByName(deltas).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
@@ -83,6 +83,15 @@ def forget_image_hashes(catalog: DataFrame, columns: tuple[str, ...] = ("frames"
     return out
 
 
+def browse(catalog: DataFrame, folder: str, roots: tuple[str, ...]) -> DataFrame:
+    """(name, is_folder, files): what lies directly in a folder, which must be a root or below one."""
+    at = folder.rstrip("/")
+    if not any(at == r.rstrip("/") or at.startswith(r.rstrip("/") + "/") for r in roots):
+        raise ValueError(f"{folder} is outside the roots")
+    below = catalog.where(F.col("path").startswith(at + "/")).select(F.split(F.substr("path", F.lit(len(at) + 2)), "/").alias("s"))
+    return below.groupBy(F.get("s", F.lit(0)).alias("name"), (F.size("s") > 1).alias("is_folder")).agg(F.count(F.lit(1)).alias("files"))
+
+
 def save(catalog: DataFrame, path: str) -> None:
     """A snapshot; the commit protocol makes it whole or absent."""
     catalog.write.mode("overwrite").parquet(path)

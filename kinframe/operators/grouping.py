@@ -33,6 +33,11 @@ def _folder(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def scratch(spark: SparkSession) -> str:
+    """Where intermediate tables go."""
+    return _folder(spark)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it again, which cuts its lineage and survives lost executors."""
     path = f"{_folder(df.sparkSession)}/media-{uuid.uuid4().hex}"

@@ -250,6 +250,9 @@ def all_matches(items: DataFrame, config: ScanConfig, side: int = 8) -> DataFram
     use_phash: with ``hashes`` every position must be within the bits and the mean counts, else lo and hi decide.
     A video without a hash is similar to nothing there, and a pair with unequal numbers of positions neither.
     """
+    if "hashes" in items.columns:  # the first position's is the one that the quick gate tests
+        first = F.get("hashes", F.lit(0))
+        items = items.withColumns({"lo": first.bitwiseAND(F.lit(0xFFFFFFFF)), "hi": F.shiftrightunsigned(first, 32)})
     by_frame, by_hash = items, None
     if config.use_phash:
         by_frame, by_hash = items.where("is_image"), items.where("NOT is_image")
@@ -264,8 +267,7 @@ def all_matches(items: DataFrame, config: ScanConfig, side: int = 8) -> DataFram
 
 def hash_matches(videos: DataFrame, config: ScanConfig) -> DataFrame:
     """(a, b, difference, flipped) of videos by their perceptual hashes; with config.flipped also by ``flipped_hashes`` of a, where there are."""
-    several = "hashes" in videos.columns
-    rows = videos.withColumns({"lo": F.get("hashes", F.lit(0)).bitwiseAND(F.lit(0xFFFFFFFF)), "hi": F.shiftrightunsigned(F.get("hashes", F.lit(0)), 32)}) if several else videos
+    several, rows = "hashes" in videos.columns, videos
     whole = K.whole_hash(F.col("lo"), F.col("hi"))
     rows = rows.withColumn("own", F.col("hashes") if several else F.array(whole))
     search = {"pigeonhole": pigeonhole_pairs, "lsh": lambda r, n, k: lsh_pairs(r, n, k, lsh_tables(config.seed))}.get(config.blocking, pigeonhole_pairs)

@@ -122,12 +122,11 @@ def too_dark(spark, d):
 
 @query()
 def phash_kernel(spark, d):
-    """Hashes of 32 x 32 frames, each of sixteen items' mini-frames."""
-    x = D.base_items(spark, d).withColumn("g", F.floor(F.col("id") / 16))
-    frames = x.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("id", "frame"))).alias("f")).where(F.size("f") == 16)
-    flat = F.flatten(F.transform("f", lambda v: v["frame"]))
-    hexes = F.unhex(F.array_join(F.transform(flat, lambda p: F.lpad(F.hex(p), 2, "0")), ""))
-    return frames.select("g", phash(hexes).alias("phash"))
+    """Hashes of 32 x 32 frames: every item's mini-frame, each pixel four by four."""
+    row = lambda k: F.flatten(F.transform(F.slice("frame", 8 * k + 1, 8), lambda p: F.array_repeat(p, 4)))
+    pixels = F.flatten(F.array(*(row(k) for k in range(8) for _ in range(4))))
+    hexes = F.unhex(F.array_join(F.transform(pixels, lambda p: F.lpad(F.hex(p), 2, "0")), ""))
+    return D.items(spark, d).select("id", phash(hexes).alias("phash"))
 
 
 # --- blocking and gates ------------------------------------------------------------------------------------
@@ -202,7 +201,7 @@ def multi_position_match(spark, d):
 _FOUR = "list_sum(list_transform(range(1, 5), lambda j: list_sum(list_transform(range(1, 65), lambda i: abs(a.f[j][i] - b.f[j][i]))) / 64.0 / 256.0)) / 4"
 
 
-@query(f"{POSITIONS}, p AS (SELECT a.id AS a_id, b.id AS b_id, {_FOUR} AS difference FROM entries a JOIN entries b ON a.id < b.id) SELECT a_id, b_id, round(difference, 6) AS difference FROM p WHERE difference <= 0.04")
+@query(f"{POSITIONS}, p AS (SELECT a.id AS a_id, b.id AS b_id, {_FOUR} AS difference FROM entries a JOIN entries b ON a.id < b.id AND bit_count(xor(a.lo[1], b.lo[1])) + bit_count(xor(a.hi[1], b.hi[1])) <= 32) SELECT a_id, b_id, round(difference, 6) AS difference FROM p WHERE difference <= 0.04")
 def multi_position_gray(spark, d):
     """The same by the mean difference of the four positions' frames."""
     found = pairs.all_matches(D.position_items(spark, d), ScanConfig(whole_catalog=True, positions=4, percent=96.0))
@@ -795,6 +794,129 @@ def synthetic_catalog(spark, d):
     return files.generate_catalog(spark, 50_000, 10)
 
 
+# --- small operators ---------------------------------------------------------------------------------------
+
+
+def _scratch(name: str) -> str:
+    from uuid import uuid4
+
+    return f"{name}-{uuid4().hex}"
+
+
+@query(f"{CATALOG} SELECT id, CASE WHEN flags & 2 <> 0 THEN 'manually excluded' WHEN flags & 16 <> 0 THEN 'too dark' WHEN flags & 8 <> 0 THEN 'metadata error' WHEN flags & 4 <> 0 THEN 'thumbnail error' WHEN NOT on_disk THEN 'missing' END AS reason FROM catalog")
+def enumeration_reasons(spark, d):
+    return filters.with_reason(D.catalog(spark, d), ScanConfig(whole_catalog=True), enumeration=True).select("id", "reason")
+
+
+@query(f"{CATALOG} SELECT id, flags & 4 <> 0 AS skipped, false AS retried, id % 3 <> 0 AND id % 5 <> 0 AS whole FROM catalog")
+def gathering(spark, d):
+    c = D.catalog(spark, d)
+    frames = F.array(F.when(F.col("id") % 3 != 0, F.col("id")), F.when(F.col("id") % 5 != 0, F.col("id")))
+    return c.select("id", filters.gather_skip(ScanConfig()).alias("skipped"), filters.gather_skip(ScanConfig(retry_errors=True)).alias("retried"), filters.complete(frames).alias("whole"))
+
+
+@query(f"{CATALOG}, n AS (SELECT id, ['/mnt/', '/home/u/', '//host/share/', '/srv/', 'C:/'][CAST(id % 5 + 1 AS INTEGER)] || id AS path FROM catalog) SELECT id, id % 5 IN (0, 2, 3) AS network FROM n")
+def network_paths(spark, d):
+    prefix = F.get(F.array(*(F.lit(x) for x in ("/mnt/", "/home/u/", "//host/share/", "/srv/", "C:/"))), (F.col("id") % 5).cast("int"))
+    return D.catalog(spark, d).select("id", filters.network_path(F.concat(prefix, F.col("id").cast("string"))).alias("network"))
+
+
+@query("SELECT p_partkey, CASE WHEN (p_partkey % 7 + 1) * 480 >= (p_partkey % 5 + 1) * 480 THEN 0 ELSE 2 END AS video, CASE WHEN p_partkey % 3 >= p_partkey % 4 THEN 1 ELSE 3 END AS audio FROM part")
+def best_streams(spark, d):
+    k = F.col("p_partkey")
+    stream = lambda i, kind, width, channels: F.struct(F.lit(i).alias("index"), F.lit(kind).alias("codec_type"), width.alias("width"), F.lit(480).alias("height"), channels.alias("channels"))
+    none = F.lit(0).cast("long")
+    streams = F.array(stream(0, "video", k % 7 + 1, none), stream(1, "audio", none, k % 3), stream(2, "video", k % 5 + 1, none), stream(3, "audio", none, k % 4))
+    p = D.table(spark, d, "part").select("p_partkey", streams.alias("s"))
+    return p.select("p_partkey", filters.best_stream(F.col("s"), "video")["index"].alias("video"), filters.best_stream(F.col("s"), "audio")["index"].alias("audio"))
+
+
+@query(f"{RANKED}, g AS (SELECT count(*) AS n, sum(size) AS t, max(size) AS m FROM ranked GROUP BY group_id) SELECT count(*) AS n_groups, CAST(sum(n) AS BIGINT) AS n_files, CAST(sum(t) AS BIGINT) AS total_bytes, CAST(sum(t - m) AS BIGINT) AS savings FROM g")
+def results_totals_singletons(spark, d):
+    return results.totals(D.ranked_items(spark, d), singletons=True)
+
+
+_ENTRIES = "e AS (SELECT group_id AS entry_id, path FROM ranked WHERE group_id % 7 = 0), gone AS (SELECT DISTINCT entry_id FROM e WHERE path LIKE '%-3-%')"
+
+
+@query(f"{RANKED}, {_ENTRIES} SELECT DISTINCT entry_id FROM e WHERE entry_id NOT IN (SELECT entry_id FROM gone)")
+def prune_blacklist(spark, d):
+    x = D.ranked_items(spark, d)
+    black = x.where("group_id % 7 = 0").groupBy(F.col("group_id").alias("entry_id")).agg(F.collect_list("path").alias("paths"))
+    return results.prune_blacklist(black, x.where("path NOT LIKE '%-3-%'")).select("entry_id")
+
+
+@query(f"{RANKED}, r AS (SELECT *, count(*) OVER (PARTITION BY group_id) AS n FROM ranked WHERE group_id NOT IN (1, 2, 3)) SELECT group_id, path FROM r WHERE n > 1")
+def not_a_match(spark, d):
+    x = D.ranked_items(spark, d)
+    items, _ = results.not_a_match(x, spark.createDataFrame([], "entry_id string, paths array<string>"), [1, 2, 3])
+    return items.select("group_id", "path")
+
+
+@query(f"{CATALOG} SELECT path FROM catalog WHERE id % 2 = 0 OR id % 3 = 0")
+def union_roots(spark, d):
+    c = D.catalog(spark, d)
+    return C.union_roots(c.where("id % 2 = 0"), c.where("id % 3 = 0")).select("path")
+
+
+@query(f"{CATALOG} SELECT id, CASE WHEN id = 5 THEN '/new/name' ELSE path END AS path, CASE WHEN id = 7 THEN flags | 2 ELSE flags END AS flags FROM catalog")
+def catalog_edits(spark, d):
+    """One path renamed, one excluded by hand."""
+    c = D.catalog(spark, d)
+    at = lambda k: c.where(F.col("id") == k).select("path").first()[0]
+    return C.exclude_path(C.rename(c, at(5), "/new/name"), at(7)).select("id", "path", "flags")
+
+
+@query(f"{CATALOG} SELECT id, path, version FROM catalog UNION ALL SELECT id, path, version FROM catalog WHERE version % 3 = 0")
+def catalog_round_trip(spark, d):
+    """A snapshot, appended dirty rows, read again; once more as JSON."""
+    at = _scratch(grouping.scratch(spark) + "/catalog")
+    c = D.catalog(spark, d).select("id", "path", "version")
+    C.save(c, at)
+    C.append_dirty(c.withColumn("dirty", F.col("version") % 3 == 0), at)
+    C.export_json(C.load(spark, at), at + ".json")
+    return C.import_json(spark, at + ".json", c.schema)
+
+
+@query(f"{CATALOG} SELECT id, id + 1 AS second_frame FROM catalog WHERE version = 5")
+def late_features(spark, d):
+    """A light scan finds the rows, their features are fetched after it."""
+    c = D.catalog(spark, d).withColumn("frames", F.array(F.col("id"), F.col("id") + 1))
+    found = C.light(c).where("version = 5")
+    return found.select("id", "path").join(C.heavy_of(c, found), "path").select("id", F.get("frames", F.lit(1)).alias("second_frame"))
+
+
+@query(f"{CATALOG}, b AS (SELECT string_split(path[12:], '/') AS s FROM catalog WHERE starts_with(path, '/media/lib1/')) SELECT s[2] AS name, len(s) > 2 AS is_folder, count(*) AS files FROM b GROUP BY ALL")
+def browse_folder(spark, d):
+    return C.browse(D.catalog(spark, d), "/media/lib1", ("/media",))
+
+
+@query(f"{RANKED} SELECT group_id, path, size, CAST(similarity AS DOUBLE) AS similarity, is_image FROM ranked")
+def results_saved(spark, d):
+    """Results written as compressed JSON and loaded again."""
+    at = _scratch(grouping.scratch(spark) + "/results")
+    files.save_results(D.ranked_items(spark, d), at)
+    return files.load_results(spark, at)
+
+
+@query("SELECT event_id, CAST(event_id % 3600 AS DOUBLE) * 0.25 AS at_s, least(CAST(event_id % 3600 AS DOUBLE), 30.0) * 0.5 AS early_s, CASE WHEN event_id % 50 = 0 THEN NULL ELSE 100.0 / (event_id % 50) * (50 - event_id % 50) END AS eta_s, (event_id % 50) * 100.0 / 50 AS percent FROM events")
+def sampling_times(spark, d):
+    t, done = (F.col("event_id") % 3600).cast("double"), F.col("event_id") % 50
+    return D.table(spark, d, "events").select("event_id", K.sample_time(t, 0.25).alias("at_s"), K.sample_time(t, 0.5, 30.0).alias("early_s"), K.eta_seconds(F.lit(100.0), done, F.lit(50)).alias("eta_s"), K.progress(done, F.lit(50)).alias("percent"))
+
+
+@query(
+    f"""{VIDEOS}, both_ AS (SELECT a.id AS source_id, b.id AS clip_id, b.duration_s / a.duration_s AS ratio, len(b.fp) < len(a.fp) AS length_ok FROM videos a JOIN videos b ON a.id + 1000 = b.id OR (a.id = b.id - 1003 AND b.id >= 1000))
+SELECT source_id, clip_id, round(ratio, 6) AS ratio, ratio >= 0.1 AND ratio < 0.95 AS ratio_ok, length_ok FROM both_"""
+)
+def explain_clips(spark, d):
+    x = videos(spark, d)
+    s = F.struct("id", "duration_s", "fp")
+    clips = x.where("id >= 1000").select(s.alias("c"))
+    both = x.select(s.alias("s")).join(clips.select("c", F.explode(F.array(F.col("c.id") - 1000, F.col("c.id") - 1003)).alias("k")), F.col("s.id") == F.col("k"))
+    return diagnostics.explain_clip(both).select("source_id", "clip_id", "ratio", "ratio_ok", "length_ok")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

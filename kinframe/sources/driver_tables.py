@@ -81,7 +81,7 @@ def position_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.lit(1).cast("long")
     moved = lambda v, j: F.transform(v, lambda x, i: F.greatest(F.lit(0), F.least(F.lit(255), x + ((i + j + 2) % 5 - 2).cast("int"))))
     clone = entry.where("g % 3 = 0").select((F.col("g") + CLONE).alias("g"), F.transform("hashes", lambda x, j: x.bitwiseXOR(F.call_function("shiftleft", one, ((j + 1) * 5).cast("int")))).alias("hashes"), F.transform("frames", moved).alias("frames"))
-    same = {"duration_s": F.lit(100.0), "size": F.lit(1_000_000), "width": F.lit(640), "height": F.lit(480), "folder": F.lit("/media"), "is_image": F.lit(False), "lo": F.lit(0).cast("long"), "hi": F.lit(0).cast("long")}
+    same = {"duration_s": F.lit(100.0), "size": F.lit(1_000_000), "width": F.lit(640), "height": F.lit(480), "folder": F.lit("/media"), "is_image": F.lit(False)}
     out = entry.unionByName(clone).select(F.col("g").cast("long").alias("id"), "hashes", "frames").withColumns(same)
     return out.withColumns({"file_id": F.col("id"), "path": F.concat(F.lit("/media/"), F.col("id").cast("string"), F.lit(".mp4"))})
 

@@ -46,6 +46,17 @@ def results_json(items: DataFrame) -> DataFrame:
     return g.select("group_id", F.to_json(F.struct("group_id", "items")).alias("json"))
 
 
+def save_results(items: DataFrame, path: str) -> None:
+    """Results as JSON documents, one a group; the commit makes the whole set appear or none of it."""
+    info = F.struct(F.col("group_id").alias("groupId"), "path", F.col("size").alias("sizeLong"), F.col("similarity").cast("double").alias("similarity"), F.col("is_image").alias("isImage"))
+    docs = items.groupBy("group_id").agg(F.collect_list(F.struct(info.alias("itemInfo"))).alias("items"))
+    docs.select(F.to_json(F.struct(F.lit(1).alias("version"), "items")).alias("value")).write.mode("overwrite").option("compression", "gzip").text(path)
+
+
+def load_results(spark: SparkSession, path: str) -> DataFrame:
+    return read_results(spark.read.text(path))
+
+
 def read_results(texts: DataFrame, column: str = "value") -> DataFrame:
     """Items of result documents: an envelope {version, items: [{itemInfo}]}, an array of such, or of plain items.
 
