@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -13,12 +14,16 @@ from pyspark.sql import functions as F
 
 #: Rows of edges that one executor task may finish by union-find.
 LAST_EDGES = 50_000
+#: Bytes of a row group, which a writing task holds in memory, and of an Arrow batch of texts.
+ROW_GROUP, BATCH = 16 << 20, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one of our own (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; only where all runs in one process, one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         own = tempfile.mkdtemp(prefix="kinframe-")
         atexit.register(shutil.rmtree, own, True)
         folder = f"file://{own}"
@@ -34,7 +39,7 @@ def written(df: DataFrame, name: str, path: str | None = None) -> tuple[DataFram
     """Writes df as Parquet in the shared folder and reads it again: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = path or new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
@@ -46,6 +51,34 @@ def remove(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def in_batches(df: DataFrame) -> DataFrame:
+    """df, whose rows will go to Python in Arrow batches of some BATCH bytes, however long texts are (unless the session asks for another size)."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, str(64 << 20), "64MB", "67108864b"):
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
+    return df
+
+
+def release() -> None:
+    """Gives memory that a Python worker has freed back to the system: workers live on and share a machine with the next stages."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim:
+        trim(0)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that df doesn't have, in any casing."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def parts(df: DataFrame) -> int:
     return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
@@ -89,6 +122,8 @@ def _finish(batches):
                 root[max(a, c)] = min(a, c)
     nodes = list(root)
     yield pd.DataFrame({"node": pd.Series(nodes, dtype="int64"), "to": pd.Series([find(x) for x in nodes], dtype="int64")})
+    root.clear()
+    release()
 
 
 def components(edges: DataFrame, last_edges: int = LAST_EDGES, rounds: int = 60) -> DataFrame:
@@ -100,15 +135,15 @@ def components(edges: DataFrame, last_edges: int = LAST_EDGES, rounds: int = 60)
     one executor task ends the work. A self-loop only makes its node known.
     """
     spark = edges.sparkSession
-    nodes, _ = written(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
+    nodes, at_nodes = written(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
     left, path = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     maps, k = [], 0
     while (n := left.count()) > last_edges and k < rounds:
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda c: F.struct(F.xxhash64(F.lit(k), c).alias("h"), F.col(c).alias("n"))  # noqa: B023, E731
         best = both.groupBy("a").agg(F.min(rank("b")).alias("m")).select(F.col("a").alias("node"), F.least("m", rank("a"))["n"].alias("to"))
-        step, _ = written(best, "step")
-        maps.append(step)
+        maps.append(written(best, "step"))
+        step = maps[-1][0]
         moved = left.join(step.withColumnsRenamed({"node": "a", "to": "x"}), "a").join(step.withColumnsRenamed({"node": "b", "to": "y"}), "b")
         after, new = written(moved.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
         remove(spark, path)
@@ -116,12 +151,14 @@ def components(edges: DataFrame, last_edges: int = LAST_EDGES, rounds: int = 60)
     if n:
         if n > last_edges:
             raise RuntimeError(f"components: {n} edges left after {rounds} rounds")
-        maps.append(written(left.coalesce(1).mapInPandas(_finish, "node long, to long"), "step")[0])
+        maps.append(written(left.coalesce(1).mapInPandas(_finish, "node long, to long"), "step"))
     at = nodes.withColumn("at", F.col("node"))
-    for m in maps:
+    for m, _ in maps:
         at = at.join(m.withColumnRenamed("node", "at"), "at", "left").select("node", F.coalesce("to", "at").alias("at"))
-    low = at.groupBy("at").agg(F.min("node").alias("component"))
-    return at.join(low, "at").select("node", "component")
+    at, at_path = written(at, "at")
+    out, _ = written(at.join(at.groupBy("at").agg(F.min("node").alias("component")), "at").select("node", "component"), "components")
+    remove(spark, path, at_nodes, at_path, *(p for _, p in maps))
+    return out
 
 
 def semi(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi", most: int = 1_000_000) -> DataFrame:

@@ -3,11 +3,16 @@
 A suffix array over every byte would be several times the text. Here an array holds only the suffixes that
 start at anchors: of each run of WINDOW places the one whose KEY bytes hash lowest. Which place that is depends
 on the run's content alone, and any ``length``-byte string (length = WINDOW + KEY - 1) holds such a run, so two
-equal strings hold the same anchor at the same offset: no long match is missed. An array is a table of
-(head, doc, pos) in the order of the suffixes' first KEY bytes. A new batch's array is sorted, merge-scanned
-against each level (and itself) for equal heads, and becomes a level; levels of equal size are merged, so a
-suffix is rewritten a logarithmic number of times. Suffixes with equal heads are then compared in full, to the
-left and right, for matches of ``length`` bytes.
+equal strings hold the same anchor at the same offset: no long match is missed.
+
+An array is a table of (head, doc, pos) in the order of the suffixes' first KEY bytes. A new batch's array is
+sorted, merge-scanned against each level (and itself), and becomes a level; levels of equal size are merged, so a
+suffix is rewritten a logarithmic number of times. Suffixes whose head another one has are then put into their
+full order, by all the bytes that a match may reach to the right, and a scan of neighbours tells how far they
+agree; the same scan over what lies to the left gives, for each place that a string of ``length`` bytes may start
+at, which suffixes share it. Bytes decide, not hashes. Rows with all bytes on levels would be some 800 bytes for
+each 185 bytes of text, beyond what a job may write, so the levels hold heads and the bytes are fetched for the
+shared ones only.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import parts, remove, written
+from .shared import fresh, in_batches, parts, release, remove, written
 
 #: Bytes of a suffix that order the arrays.
 KEY = 32
@@ -87,7 +92,7 @@ class SuffixIndex:
         self.spark, self.levels = spark, []  # (batches in it, table, path), largest first
 
     def add(self, batch: DataFrame) -> DataFrame:
-        own, path = written(batch.repartition(parts(batch), "head").sortWithinPartitions("head"), "suffixes")
+        own, path = written(self._ordered(batch), "suffixes")
         heads = own.groupBy("head").agg(F.count(F.lit(1)).alias("n"))
         found = heads.where("n > 1").select("head")
         for _, level, _ in self.levels:  # merge scan: both sides in the order of heads
@@ -96,12 +101,17 @@ class SuffixIndex:
         rank = 1
         while self.levels and self.levels[-1][0] == rank:  # equal sizes merge, as binary digits carry
             _, level, old = self.levels.pop()
-            merged, new = written(own.unionByName(level).repartition(parts(batch), "head").sortWithinPartitions("head"), "suffixes")
+            merged, new = written(self._ordered(own.unionByName(level)), "suffixes")
             remove(self.spark, path, old)
             own, path, rank = merged, new, 2 * rank
         self.levels.append((rank, own, path))
         return found
 
+    @staticmethod
+    def _ordered(suffixes: DataFrame) -> DataFrame:
+        """All suffixes in the order of heads, over partitions too; one head that very many have is spread over several."""
+        return suffixes.repartitionByRange(parts(suffixes), "head", "doc").sortWithinPartitions("head", "doc")
+
     def suffixes(self) -> DataFrame:
         out = self.levels[0][1]
         for _, level, _ in self.levels[1:]:
@@ -109,65 +119,111 @@ class SuffixIndex:
         return out
 
 
-def _rolling_rows(b: np.ndarray, n: int) -> np.ndarray:
-    """_rolling for each row of a matrix."""
-    h, k, pieces, total = b.astype(np.uint64) + np.uint64(1), 1, [], 0
-    bits, m = n, b.shape[1] - n + 1
-    while bits:
-        if bits & 1:
-            pieces.append((k, h))
-        bits >>= 1
-        if bits:
-            h = h[:, :-k] * np.uint64(pow(_B, k, 1 << 64)) + h[:, k:]
-            k *= 2
-    out = np.zeros((len(b), m), dtype=np.uint64)
-    for k, h in pieces:
-        out *= np.uint64(pow(_B, k, 1 << 64))
-        out += h[:, total : total + m]
-        total += k
+def _prefixes(rows: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows as a matrix of bytes (filled up with zeros), and their lengths."""
+    return np.frombuffer(b"".join([x.ljust(width, b"\0") for x in rows]), dtype=np.uint8).reshape(len(rows), width), np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
+
+
+def _common(text: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The length of the common beginning of rows a and b, pair by pair."""
+    out = np.minimum(size[a], size[b])
+    for c in range(0, len(a), 4_096):
+        differ = text[a[c : c + 4_096]] != text[b[c : c + 4_096]]
+        first = np.where(differ.any(axis=1), differ.argmax(axis=1), text.shape[1])
+        out[c : c + 4_096] = np.minimum(out[c : c + 4_096], first)
     return out
 
 
 def _covered(rows: pd.DataFrame, length: int) -> pd.DataFrame:
     """(doc, start, end): for suffixes of whole head groups, the bytes of each in a length-byte string that another one has too.
 
-    Column j of the matrix is the string that starts length - KEY - j bytes left of the anchor. Strings that are
-    equal there have equal heads, so one sort of each column compares every group at once.
+    Rows come in the order of (head, right, left): a suffix array over all compared bytes. Neighbours' common bytes
+    to the right, and to the left in the order of what lies before, tell for any two depths which suffixes agree
+    so far; bytes are compared, not hashes. Suffixes with the same bytes on both sides are one.
     """
-    n, reach = len(rows), length - KEY
-    lo = reach - rows["left"].map(len).to_numpy()
-    hi = reach + rows["right"].map(len).to_numpy()
-    text = np.zeros((n, reach + length), dtype=np.uint8)
-    for i, left, right in zip(range(n), rows["left"], rows["right"]):
-        text[i, lo[i] : hi[i]] = np.frombuffer(left + right, dtype=np.uint8)
-    column = np.arange(reach + 1)
-    there = (column >= lo[:, None]) & (column + length <= hi[:, None])
-    many = np.zeros_like(there)
-    wide = reach + 1 if n <= 8_192 else 64  # columns whose hashes are held at a time
+    lefts, rights = rows["left"].tolist(), rows["right"].tolist()
+    right, size_r = _prefixes(rights, length)
+    left, size_l = _prefixes([x[::-1] for x in lefts], length - KEY)
+    heads = rows["head"].to_numpy()
+    n = len(rows)
+    new = np.append(True, heads[1:] != heads[:-1])
+    before, here = np.arange(n - 1), np.arange(1, n)
+    lcp_r = np.append(-1, _common(right, size_r, before, here))
+    lcp_l = np.append(-1, _common(left, size_l, before, here))
+    copy = ~new & (lcp_r == size_r) & (lcp_l == size_l)
+    copy[1:] &= (size_r[1:] == size_r[:-1]) & (size_l[1:] == size_l[:-1])
+    one = np.flatnonzero(~copy)
+    of = np.cumsum(~copy) - 1  # the representative of each row
+    times = np.bincount(of)
+    most, least = np.full(len(one), -1), np.full(len(one), length)  # bytes to the left at which a repeated string may start
+    lo, hi = np.maximum(0, length - size_r[one]), np.minimum(length - KEY, size_l[one])
+    full = (times > 1) & (lo <= hi)
+    most[full], least[full] = hi[full], lo[full]
+    group = np.cumsum(new[one]) - 1
+    many = np.bincount(group)
+    # pairs: their common bytes say it all
+    a = np.flatnonzero((many[group] == 2) & new[one])
+    if len(a):
+        r, l = (_common(t, z, one[a], one[a + 1]) for t, z in ((right, size_r), (left, size_l)))  # noqa: E741
+        for x in (a, a + 1):
+            on = l + r >= length
+            most[x] = np.where(on, np.maximum(most[x], l), most[x])
+            least[x] = np.where(on, np.minimum(least[x], length - r), least[x])
+    at = np.flatnonzero(many[group] > 2)
+    if len(at):
+        _groups(one[at], group[at], at, right, size_r, left, size_l, length, most, least)
+    found = most[of] >= least[of]
+    pos = rows["pos"].to_numpy()
+    return pd.DataFrame({"doc": rows["doc"].to_numpy(), "start": pos - most[of], "end": pos - least[of] + length})[found]
+
+
+def _groups(row, group, at, right, size_r, left, size_l, length, most, least) -> None:
+    """Widens most and least of the suffixes of groups of three and more; row are their places in the matrices, in suffix order."""
+    n = len(row)
+    new = np.append(True, group[1:] != group[:-1])
+    lcp_r = np.append(-1, _common(right, size_r, row[:-1], row[1:]))
+    lcp_r[new] = -1
+    key = left[row]
+    names = [int(g).to_bytes(5, "big") + k[:z].tobytes() for g, k, z in zip(group, key, size_l[row])]
+    order = np.array(sorted(range(n), key=names.__getitem__))
+    lcp_l = np.append(-1, _common(left, size_l, row[order[:-1]], row[order[1:]]))
+    lcp_l[np.append(True, group[order[1:]] != group[order[:-1]])] = -1
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = np.arange(n)
+    reach = length - KEY
+    wide = max(1, min(64, (1 << 22) // n))
+    alone = -1 - np.arange(n)[:, None]
     for c in range(0, reach + 1, wide):
-        now, until = there[:, c : c + wide], min(reach + 1, c + wide)
-        hashes = np.concatenate([_rolling_rows(text[a : a + 512, c : until + length - 1], length) for a in range(0, n, 512)])
-        alone = np.arange(n, dtype=np.uint64)[:, None] * _MIX + np.uint64(1)  # nothing equals these
-        hashes = np.where(now, hashes, alone)
-        order = np.argsort(hashes, axis=0)
-        h, t = np.take_along_axis(hashes, order, axis=0), np.take_along_axis(now, order, axis=0)
-        m = np.zeros_like(t)
-        same = (h[1:] == h[:-1]) & t[1:] & t[:-1]
-        m[1:] |= same
-        m[:-1] |= same
-        np.put_along_axis(many[:, c : c + wide], order, m, axis=0)
-    hit = many.any(axis=1)
-    first, last = many.argmax(axis=1), reach - many[:, ::-1].argmax(axis=1)
-    at = rows["pos"].to_numpy() - reach
-    return pd.DataFrame({"doc": rows["doc"].to_numpy(), "start": at + first, "end": at + last + length})[hit]
+        o = np.arange(c, min(c + wide, reach + 1))  # bytes to the left
+        there = (o <= size_l[row][:, None]) & (length - o <= size_r[row][:, None])
+        if not there.any():
+            continue
+        same_l = np.cumsum(lcp_l[:, None] < o, axis=0)[rank]
+        same_r = np.cumsum(lcp_r[:, None] < length - o, axis=0)
+        string = np.where(there, same_l * (n + 1) + same_r, alone)  # a name for the string at that place
+        by = np.argsort(string, axis=0)
+        sorted_ = np.take_along_axis(string, by, axis=0)
+        twin = sorted_[1:] == sorted_[:-1]
+        met = np.zeros((n, len(o)), dtype=bool)
+        met[1:] = twin
+        met[:-1] |= twin
+        many = np.zeros_like(met)
+        np.put_along_axis(many, by, met, axis=0)
+        hit = np.flatnonzero(many.any(axis=1))
+        first, last = c + many[hit].argmax(axis=1), c + len(o) - 1 - many[hit][:, ::-1].argmax(axis=1)
+        most[at[hit]], least[at[hit]] = np.maximum(most[at[hit]], last), np.minimum(least[at[hit]], first)
 
 
 def _compare(length: int, together: int = 2_000):
-    """Over rows in the order of heads: compares whole groups, many small ones together."""
+    """Over rows in the order of (head, right, left): compares whole groups, many small ones together."""
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = []
         for b in it:
+            spans = b["head"].isna().to_numpy()
+            if spans.any():
+                yield pd.DataFrame({"doc": b["doc"][spans], "start": b["pos"][spans], "end": b["until"][spans].astype("int64")})
+                b = b[~spans]
             if not len(b):
                 continue
             if held and sum(map(len, held)) >= together:
@@ -180,6 +236,7 @@ def _compare(length: int, together: int = 2_000):
             held.append(b)
         if held:
             yield _covered(pd.concat(held, ignore_index=True), length)
+        release()
 
     return run
 
@@ -203,6 +260,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, batches: int = 4, group:
                 ids += [d] * len(at)
                 places += at
             yield pd.DataFrame({"head": heads, "doc": ids, "pos": pd.Series(places, dtype="int64")})
+            release()
 
     long_ones = docs.where(F.length("data") >= length)
     array, path = written(long_ones.mapInPandas(scan, "head binary, doc binary, pos long"), "anchors")
@@ -225,10 +283,29 @@ def repeated_spans(docs: DataFrame, length: int = 400, batches: int = 4, group:
 
     def context(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in it:
-            rows = [(x[p : p + KEY], d, p, x[max(0, p - reach) : p], x[p : p + length]) for d, x, at in zip(b["doc"], b["data"], b["places"]) for p in at]
-            yield pd.DataFrame(rows, columns=["head", "doc", "pos", "left", "right"])
-
-    round_them = texts.mapInPandas(context, "head binary, doc binary, pos long, left binary, right binary")
+            rows = []
+            for d, x, at in zip(b["doc"], b["data"], b["places"]):
+                first: dict[bytes, int] = {}
+                twins: set[int] = set()
+                for p in at.tolist():
+                    lo, hi = max(0, p - reach), min(p + length, len(x))
+                    seen = first.setdefault(b"%d:%b" % (p - lo, x[lo:hi]), p)
+                    if seen == p:
+                        rows.append((x[p : p + KEY], d, p, x[lo:p], x[p:hi], None))
+                    elif hi - lo >= length:  # the same bytes all round: both are covered as far as one sees
+                        twins |= {p, seen}
+                end = -1
+                for p in sorted(twins):
+                    lo, hi = max(0, p - reach), min(p + length, len(x))
+                    if lo <= end:
+                        rows[-1] = (*rows[-1][:5], hi)
+                    else:
+                        rows.append((None, d, lo, None, None, hi))
+                    end = hi
+            yield pd.DataFrame(rows, columns=["head", "doc", "pos", "left", "right", "until"]).astype({"until": "Int64"})
+            release()
+
+    round_them = texts.mapInPandas(context, "head binary, doc binary, pos long, left binary, right binary, until long")
     sizes = alike.groupBy("head").agg(F.count(F.lit(1)).alias("size"))
     large, _ = written(sizes.where(F.col("size") > group).select("head"), "large")
     rows = round_them
@@ -249,7 +326,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, batches: int = 4, group:
         many = big.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "g")
         spans = big.join(many, ["h", "g"], "left_semi").select("doc", F.col("at").alias("start"), (F.col("at") + length).alias("end"))
         rows = rows.join(large, "head", "left_anti")
-    rows = rows.repartition(parts(docs), "head").sortWithinPartitions("head")
+    rows = rows.repartition(parts(docs), F.coalesce("head", "doc")).sortWithinPartitions("head", "right", "left")
     small = rows.mapInPandas(_compare(length), "doc binary, start long, end long")
     spans = small if spans is None else spans.unionByName(small)
     return spans, texts.drop("places")
@@ -271,8 +348,11 @@ def keep(data: bytes, starts, ends) -> tuple[bytes, int, int]:
 
 
 def changed_texts(docs: DataFrame, length: int, text: str, batches: int, group: int) -> DataFrame:
-    """(sha, n_removed, n_spans, kept_sha256, kept) of each distinct text that loses bytes; sha is the text's sha256."""
-    data = docs.select(F.col(text).cast("binary").alias("data")).where(F.length("data") >= length).withColumn("sha", F.sha2("data", 256))
+    """(sha, n_removed, n_spans, kept_sha256, kept, clean) of each distinct text that loses bytes; sha is the text's sha256.
+
+    kept are the bytes that are left, clean is their text without what a cut has left of a character.
+    """
+    data = in_batches(docs).select(F.col(text).cast("binary").alias("data")).where(F.length("data") >= length).withColumn("sha", F.sha2("data", 256))
     name = F.unhex(F.substring("sha", 1, 32)).alias("doc")  # half the hash names a text
     groups, _ = written(data.groupBy("sha").agg(F.count(F.lit(1)).alias("n"), F.any_value(F.length("data")).cast("long").alias("n_bytes")), "groups")
     copies = groups.where("n > 1").select("sha")
@@ -289,11 +369,12 @@ def changed_texts(docs: DataFrame, length: int, text: str, batches: int, group:
             out = []
             for d, x, s, e in zip(b["doc"], b["data"], b["starts"], b["ends"]):
                 left, n, k = keep(x, s, e)
-                out.append((d, n, k, hashlib.sha256(left).hexdigest(), left))
-            yield pd.DataFrame(out, columns=["doc", "n_removed", "n_spans", "kept_sha256", "kept"])
+                out.append((d, n, k, hashlib.sha256(left).hexdigest(), left, left.decode("utf-8", "ignore")))
+            yield pd.DataFrame(out, columns=["doc", "n_removed", "n_spans", "kept_sha256", "kept", "clean"])
+            release()
 
-    done = texts.join(per_text, "doc").mapInPandas(cut, "doc binary, n_removed long, n_spans long, kept_sha256 string, kept binary")
-    whole = groups.where("n > 1").select("sha", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(b""), 256).alias("kept_sha256"), F.lit(b"").alias("kept"))
+    done = texts.join(per_text, "doc").mapInPandas(cut, "doc binary, n_removed long, n_spans long, kept_sha256 string, kept binary, clean string")
+    whole = groups.where("n > 1").select("sha", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(b""), 256).alias("kept_sha256"), F.lit(b"").alias("kept"), F.lit("").alias("clean"))
     part = groups.where("n = 1").select("sha", name).join(done, "doc").select(*whole.columns)
     return written(whole.unionByName(part), "changed")[0]
 
@@ -316,7 +397,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, key: str = "doc_id", text:
     so copies cost nothing. Null texts are empty, repeated and null keys keep their rows, other columns are
     ignored, empty tables give empty results.
     """
-    changed = changed_texts(docs, length, text, batches, group)
+    changed = changed_texts(docs, length, text, batches, group).drop("clean")
     data = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     slim = docs.select(F.col(key).alias("doc_id"), F.length(data).cast("long").alias("n_bytes"), F.sha2(data, 256).alias("sha"))
     out = slim.join(changed, "sha", "left")
@@ -328,20 +409,17 @@ def deduplicated(docs: DataFrame, length: int = 400, text: str = "text", batches
     """docs with repeated strings cut out of their texts; every row and column stays, a text may become empty.
 
     What a cut leaves of a character at a span's edge is dropped, so texts stay valid UTF-8. A column n_chars,
-    if there is one, counts again.
+    if there is one, counts again. Null texts stay null, repeated rows are cut alike (each repeats the other),
+    other columns pass whatever their names, an empty table gives an empty result.
     """
-    changed = changed_texts(docs, length, text, batches, group).select(F.col("sha").alias("_sha"), F.try_validate_utf8(F.col("kept").cast("string")).alias("_good"), "kept")
-
-    @F.pandas_udf("string")
-    def readable(x: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else v.decode("utf-8", "ignore") for v in x], dtype=object)
-
-    changed = changed.select("_sha", F.coalesce("_good", readable("kept")).alias("_kept"))
-    named = docs.withColumn("_sha", F.sha2(F.col(text).cast("binary"), 256))
-    ids = changed.select("_sha")
+    sha, kept = fresh(docs, "sha"), fresh(docs, "kept")
+    changed = changed_texts(docs, length, text, batches, group)
+    changed = changed.select(F.col("sha").alias(sha), F.col("clean").alias(kept))
+    named = docs.withColumn(sha, F.sha2(F.col(text).cast("binary"), 256))
+    ids = changed.select(sha)
     ids = F.broadcast(ids) if ids.count() <= 500_000 else ids
-    same = named.join(ids, "_sha", "left_anti").select(*docs.columns)
-    other = named.drop(text).join(ids, "_sha", "left_semi").join(changed.hint("merge"), "_sha").withColumnRenamed("_kept", text)
+    same = named.join(ids, sha, "left_anti").select(*docs.columns)
+    other = named.drop(text).join(ids, sha, "left_semi").join(changed.hint("merge"), sha).withColumnRenamed(kept, text)
     if "n_chars" in docs.columns:
         other = other.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
     return same.unionByName(other.select(*docs.columns))
