@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import semi
+from .shared import fresh, semi
 
 #: Word offsets that a seed compares; the offsets between them are ignored. Together the four find every
 #: alignment of 5 or more words of which a share of 0.8 agree (tests/llm/test_decontaminate.py tries patterns).
@@ -65,10 +65,18 @@ def contaminated(docs: DataFrame, tests: DataFrame, similarity: float = 0.8, mas
     return best.select("doc_id", "item_id", (-F.col("best.b")).alias("doc_word"), n.alias("n_words"), F.col("best.m").alias("n_match"), F.round(F.col("best.m") / n, 6).alias("similarity"))
 
 
-def decontaminate(docs: DataFrame, tests: DataFrame, key: str = "doc_id", **options) -> DataFrame:
-    """docs without the rows that hold a test item; clean rows stay as they are, with all columns."""
-    bad = contaminated(docs, tests, key=key, **options).select(F.col("doc_id").alias(key)).where(F.col(key).isNotNull()).distinct()
-    return semi(docs, bad, key, "left_anti")
+def decontaminate(docs: DataFrame, tests: DataFrame, text: str = "text", **options) -> DataFrame:
+    """docs without the rows that hold a test item; clean rows stay as they are, with all columns.
+
+    Each row is judged by its own text, known by two 64-bit hashes, so rows with a null key or a key that others
+    share go or stay by themselves. Null and empty texts stay, copies go together, an empty table gives an empty
+    result.
+    """
+    name = fresh(docs, "t")
+    own = F.struct(F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), F.col(text)).alias("b"))
+    named = docs.withColumn(name, own)
+    bad = contaminated(named.select(F.col(name).alias("t"), F.col(text).alias("text")), tests, key="t", **options)
+    return semi(named, bad.select(F.col("doc_id").alias(name)).distinct(), name, "left_anti").select(*docs.columns)
 
 
 #: The same by comparing every word of every document with every word of every item (small tables).
