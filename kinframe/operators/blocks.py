@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from kinframe.config import ScanConfig
 from kinframe.functions import kernels as K
 
-#: Items of a block, and pixels that a comparison holds at a time.
-BLOCK, PIXELS = 512, 1 << 22
+#: Items of a block, pixels that a comparison holds at a time, and pieces of a frame whose sums are compared first.
+BLOCK, PIXELS, FOLDS = 512, 1 << 22, 64
 
 
 def _bytes(frame) -> bytes | None:
@@ -86,6 +86,28 @@ def _differences(a: np.ndarray, b: np.ndarray, positions: int, black: bool, whit
     return out / positions
 
 
+def _bounded(a: np.ndarray, b: np.ndarray, positions: int, limit: float) -> np.ndarray:
+    """_differences() without masks where they can be within the limit, infinite elsewhere.
+
+    The sums of FOLDS pieces of the frames can't differ by more than their pixels do, so most pairs are settled by
+    a few numbers each.
+    """
+    size = a.shape[1]
+    if size < 4 * FOLDS or size % FOLDS:
+        return _differences(a, b, positions, False, False)
+    x, y = (f.reshape(len(f), FOLDS, -1).sum(axis=2, dtype=np.int32) for f in (a, b))
+    out, most = np.full((len(a), len(b)), np.inf), limit * 256.0 * size * (1 + 1e-6) + 1
+    step = max(1, PIXELS // max(1, len(b) * FOLDS))
+    for i in range(0, len(a), step):
+        near = np.abs(x[i : i + step, None] - y[None]).sum(axis=2) <= most
+        p, q = np.nonzero(near)
+        for k in range(0, len(p), max(1, PIXELS // size)):
+            r, c = p[k : k + PIXELS // size] + i, q[k : k + PIXELS // size]
+            d = np.abs(a[r].astype(np.int16) - b[c]).reshape(len(r), positions, -1).sum(axis=2, dtype=np.int64)
+            out[r, c] = (d / (size // positions) / 256.0).sum(axis=1) / positions
+    return out
+
+
 def _mirrored(frames: np.ndarray, positions: int) -> np.ndarray:
     side = math.isqrt(frames.shape[1] // positions)
     return frames.reshape(len(frames), positions, side, side)[..., ::-1].reshape(len(frames), -1)
@@ -134,11 +156,12 @@ def frame_matches(items: DataFrame, config: ScanConfig, by_duration: bool = True
                     if not xs or not ys or size % many:
                         continue
                     (xi, x), (yi, y) = ((np.array([r["id"] for r in s]), np.frombuffer(b"".join([r["bytes"] for r in s]), dtype=np.uint8).reshape(len(s), size)) for s in (xs, ys))
-                    difference = _differences(x, y, many, black, white)
+                    compared = (lambda p, q, n=many: _differences(p, q, n, black, white)) if black or white else (lambda p, q, n=many: _bounded(p, q, n, limit))
+                    difference = compared(x, y)
                     flipped = np.zeros(difference.shape, dtype=bool)
                     if config.flipped:  # the frame of the smaller id is mirrored
-                        first = _differences(_mirrored(x, many), y, many, black, white)
-                        second = _differences(x, _mirrored(y, many), many, black, white)
+                        first = compared(_mirrored(x, many), y)
+                        second = compared(x, _mirrored(y, many))
                         mirrored = np.where(xi[:, None] < yi[None], first, second)
                         flipped = ~np.isnan(mirrored) & (np.isnan(difference) | (mirrored < difference))
                         difference = np.where(flipped, mirrored, difference)

@@ -35,6 +35,17 @@ def test_durations_within_tolerance_are_near(spark, percent, least, most):
     assert got == near
 
 
+def test_bounded_differences_are_exact():
+    rng = np.random.default_rng(9)
+    a = rng.integers(0, 256, (30, 2048), dtype=np.uint8)
+    b = np.clip(a[::-1].astype(int) + rng.integers(-20, 21, a.shape), 0, 255).astype(np.uint8)
+    whole = blocks._differences(a, b, 2, False, False)
+    for limit in (0.02, 0.04, 0.3, 0.34):
+        got = blocks._bounded(a, b, 2, limit)
+        assert (np.isinf(got) | (np.abs(got - whole) < 1e-12)).all() and not np.isinf(got[whole <= limit]).any()
+    assert np.isinf(blocks._bounded(a, b, 2, 0.04)).mean() > 0.9
+
+
 def items(n=60, side=8, positions=2):
     rng, out = np.random.default_rng(3), []
     for i in range(n):
