@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .hashing import BASE, Table, mix
-from .shared import in_batches
+from .shared import in_batches, release
 
 SPACE = "▁"
 _ALL = (1 << 64) - 1
 #: Lattice nodes that a worker keeps between batches, and characters of texts that are sampled together.
-REMEMBERED, TOGETHER = 1_500_000, 400_000
+REMEMBERED, TOGETHER = 300_000, 200_000
 
 
 class Lattices:
@@ -102,7 +102,7 @@ class Lattices:
     def clear(self) -> None:
         self.roots = Table(20)
         self.n_stretches = self.n_nodes = self.n_edges = 0
-        room = 1 << 20
+        room = 1 << 19  # memory is taken as it is written to
         self.first = np.zeros(room, dtype=np.int64)
         self.cum, self.logp, self.rest = (np.zeros(4 * room) for _ in range(3))
         self.frm, self.to, self.entry = (np.zeros(4 * room, dtype=np.int32) for _ in range(3))
@@ -430,7 +430,10 @@ def sample_segmentations(docs: DataFrame, model: str, k: int = 2, temperature: f
                         at += 1
                 yield pd.DataFrame(out, columns=["doc_id", "sample", "n_pieces", "ids", "log_prob", "perturbed", "log_inclusion", "decoded"])
                 start = end
+                del found, back, out
+            release()
         lat.clear()  # the worker goes on with other work
+        release()
 
     rows = in_batches(docs).select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(key)).alias("hash"))
     return rows.mapInPandas(each, f"doc_id {kind}, {_OUT}")

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import prefix_sums
+from .shared import in_batches, prefix_sums
 
 
 @lru_cache(maxsize=4)
@@ -30,7 +30,7 @@ def token_lengths(docs: DataFrame, vocabulary: str, pattern: str, text: str = "t
         for b in batches:
             yield pd.DataFrame({"n_tokens": pd.Series([len(enc.encode_ordinary(x)) if x else 0 for x in b["text"]], dtype="int64")})
 
-    return docs.select(F.col(text).alias("text")).mapInPandas(count, "n_tokens long")
+    return in_batches(docs).select(F.col(text).alias("text")).mapInPandas(count, "n_tokens long")
 
 
 def length_histogram(lengths: DataFrame, column: str = "n_tokens") -> DataFrame:
