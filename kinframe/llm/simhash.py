@@ -1,4 +1,9 @@
-"""SimHash near-duplicates: every fingerprint's half-radius ball is shuffled, colliding pairs are verified.
+"""SimHash near-duplicates: every fingerprint's half-radius ball is emitted, colliding pairs are verified.
+
+A variant is shuffled by its first bits. A fingerprint goes once to each prefix that some of its variants have, and
+the task that owns the prefix writes these variants out, so that the ball of 2081 variants (64 bits, radius 2) costs
+some 80 shuffled rows instead of 2081 (for 200,000 fingerprints). How long a prefix is follows from the number of
+fingerprints, and prefixes that hold more than a task should are made longer, for as many rounds as it takes.
 
 one_of_each() goes by the Jaccard similarity of shingle sets instead: a similarity of 0.8 is some 10 bits, which
 no affordable ball reaches, so its pairs meet in bands of minimum hashes as well.
@@ -8,16 +13,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import components, parts, remove, semi, written
+from .shared import components, in_batches, parts, release, remove, semi, written
 
-#: Ways to cut 64 bits into equal blocks for lone(): blocks; each leaves blocks - radius to agree on.
-CUTS = (8, 10, 12, 16)
+#: Fingerprints that a prefix should hold of its own, rows of a prefix beyond which it is made longer, and bits that it then gains.
+OWN, MOST, STEP = 64, 8_192, 6
+#: Variants that a task sorts at a time; a prefix with more is made longer too.
+TOGETHER = 2_000_000
 #: Bands of one_of_each() and the minimum hashes in each: two sets of similarity s share none with (1 - s^4)^20, 3e-5 at 0.8.
 BANDS, BAND = 20, 4
 
@@ -77,71 +85,156 @@ def fingerprints(docs: DataFrame, words: int = 4, key: str = "doc_id", text: str
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "fp": pd.Series([fingerprint(t, words) for t in b["text"]], dtype="int64")})
+            release()
 
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInPandas(each, f"doc_id {kind}, fp long")
-
-
-def _masks(blocks: int, agree: int) -> list[int]:
-    """For each choice of ``agree`` blocks their bits, as signed longs."""
-    cut = [64 * i // blocks for i in range(blocks + 1)]
-    bits = [sum(1 << b for b in range(cut[i], cut[i + 1])) for i in range(blocks)]
-    return [m - (1 << 64) if m >> 63 else m for c in combinations(bits, agree) if (m := sum(c)) is not None]
+    return in_batches(docs).select(F.col(key).alias("doc_id"), F.col(text).alias("text")).mapInPandas(each, f"doc_id {kind}, fp long")
 
 
-def _ball(half: int) -> list[int]:
-    flips = [sum(1 << b for b in c) for r in range(half + 1) for c in combinations(range(64), r)]
+def _flips(bits: range, most: int) -> list[int]:
+    """Masks that flip up to ``most`` of some bits, as signed longs."""
+    flips = [sum(1 << b for b in c) for r in range(most + 1) for c in combinations(bits, r)]
     return [m - (1 << 64) if m >> 63 else m for m in flips]
 
 
-def not_lone(fps: DataFrame, radius: int, n: int) -> DataFrame:
-    """The fingerprints that may have another within the radius; all that are dropped have none.
+def _longer(rows: DataFrame, done: int, bits: int, half: int) -> DataFrame:
+    """Rows (fp, left, prefix) whose prefix has ``done`` bits, for all prefixes of ``bits`` bits that variants have below them.
 
-    Two that differ in r bits agree on all but r of the blocks, so a fingerprint that shares no choice of
-    (blocks - r) blocks with another one is alone and needs no ball. More blocks are taken for more rows, so
-    that few meet by chance. Only keys are shuffled.
+    left is how many bits may still be flipped; prefix is the variant's, in its highest bits.
     """
-    blocks = next((b for b in CUTS if b > radius and n * len(_masks(b, b - radius)) < 0.05 * 2.0 ** (64 * (b - radius) // b)), CUTS[-1])
-    masks = F.lit(_masks(blocks, blocks - radius))
-    keys = fps.select("fp", F.posexplode(masks).alias("k", "m")).select("fp", F.xxhash64("k", F.col("fp").bitwiseAND(F.col("m"))).alias("key"))
-    w = Window.partitionBy("key").orderBy("fp")
-    met = keys.select("fp", F.lag("fp").over(w).isNotNull().alias("a"), F.lead("fp").over(w).isNotNull().alias("b"))
-    return met.where("a or b").select("fp").distinct()
-
-
-def links(fps: DataFrame, radius: int = 4) -> DataFrame:
+    more = range(64 - bits, 64 - done)
+    steps = F.array(*(F.lit(_flips(more, n)) for n in range(half + 1)))
+    high = sum(1 << b for b in range(64 - bits, 64))
+    own = F.lit(high - (1 << 64)).cast("long")  # the highest bits
+    out = rows.select("fp", "left", "prefix", F.explode(F.get(steps, F.col("left"))).alias("m"))
+    low = F.lit(sum(1 << b for b in more) - ((1 << 64) if done == 0 else 0)).cast("long")
+    prefix = F.col("prefix").bitwiseOR(F.col("fp").bitwiseAND(low).bitwiseXOR(F.col("m")))
+    return out.select("fp", (F.col("left") - F.bit_count("m")).cast("int").alias("left"), prefix.bitwiseAND(own).alias("prefix"))
+
+
+def _collisions(bits: int, half: int):
+    """Over rows (fp, left, prefix) in the order of prefixes: every variant with the prefix is made, and those of several fingerprints chain them."""
+    low = np.arange(64 - bits, dtype=np.uint64)
+    flips = []  # masks below the prefix, by how many bits may be flipped
+    for n in range(half + 1):
+        masks = [np.zeros(1, dtype=np.uint64)]
+        for r in range(1, n + 1):
+            c = np.array(list(combinations(range(64 - bits), r)), dtype=np.int64).reshape(-1, r)
+            masks.append((np.uint64(1) << low[c]).sum(axis=1, dtype=np.uint64) if len(c) else np.empty(0, dtype=np.uint64))
+        flips.append(np.concatenate(masks))
+    tail = np.uint64((1 << (64 - bits)) - 1)
+
+    def chains(fp: np.ndarray, left: np.ndarray, prefix: np.ndarray) -> pd.DataFrame:
+        """Links between the fingerprints of whole prefixes."""
+        every, who = [], []
+        for n in range(half + 1):
+            at = np.flatnonzero(left == n)
+            if len(at):
+                every.append((((fp[at] & tail) | prefix[at])[:, None] ^ flips[n][None]).ravel())
+                who.append((at, len(flips[n])))
+        v = np.concatenate(every)
+        order = np.sort(v)
+        shared = np.unique(order[1:][order[1:] == order[:-1]])  # variants of several
+        if not len(shared):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        at = np.minimum(np.searchsorted(shared, v), len(shared) - 1)
+        mine = np.flatnonzero(shared[at] == v)
+        owner = np.concatenate([np.repeat(at_, n) for at_, n in who])
+        f, x = fp[owner[mine]].view(np.int64), at[mine]
+        by = np.lexsort((f, x))
+        f, x = f[by], x[by]
+        same = x[1:] == x[:-1]
+        return pd.DataFrame({"a": f[:-1][same], "b": f[1:][same]}).drop_duplicates()
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, most = None, max(1, TOGETHER // len(flips[-1]))
+        for b in it:
+            held = b if held is None else pd.concat([held, b], ignore_index=True)
+            if len(held) < most:
+                continue
+            open_ = (held["prefix"] == held["prefix"].iloc[-1]).to_numpy()  # the next batch may go on with it
+            if not open_.all():
+                yield from parts_of(held[~open_])
+                held = held[open_].reset_index(drop=True)
+        if held is not None and len(held):
+            yield from parts_of(held)
+        held = b = None
+        release()
+
+    def parts_of(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        fp, left, prefix = (rows[c].to_numpy() for c in ("fp", "left", "prefix"))
+        heads = np.flatnonzero(np.diff(prefix, prepend=~prefix[:1]))
+        cost = np.array([len(x) for x in flips])[left]
+        ends, begin = [*heads[1:].tolist(), len(fp)], 0
+        size = 0
+        for i, j in zip(heads.tolist(), ends):  # whole prefixes, some TOGETHER variants at a time
+            n = int(cost[i:j].sum())
+            if size and size + n > TOGETHER:
+                yield chains(fp[begin:i].view(np.uint64), left[begin:i], prefix[begin:i].view(np.uint64))
+                begin, size = i, 0
+            size += n
+        yield chains(fp[begin:].view(np.uint64), left[begin:], prefix[begin:].view(np.uint64))
+
+    return run
+
+
+def links(fps: DataFrame, radius: int = 4, own: int | None = None, most: int | None = None) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp) that join all which differ in ``radius`` bits or fewer.
 
-    Every fingerprint that isn't provably alone emits all variants within radius/2; variants are shuffled, and
-    those that share one are within the radius of one another. Per variant they are chained in sorted order, so
-    a variant that n share gives n - 1 links, not all pairs; each link is verified. Odd radii use the next
-    even ball, and verification keeps what is within the radius only if it links by itself, so radius must be even.
+    Every fingerprint emits all variants within radius/2. Those that share a variant are within the radius of one
+    another; per variant they are chained in sorted order, so a variant that n share gives n - 1 links, not all
+    pairs. Links are made distinct and verified. radius must be even: an odd one has no half.
+
+    Prefixes start at as many bits as leave each ``own`` fingerprints; a prefix with more than ``most`` rows or
+    TOGETHER variants is cut into longer ones. No prefix of 64 bits can hold more rows than a ball, so this ends.
     """
     if radius % 2:
         raise ValueError("radius must be even")
-    near, path = written(not_lone(fps, radius, fps.count()), "near")
-    variants = near.repartition(parts(fps), "fp").select("fp", F.explode(F.lit(_ball(radius // 2))).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("v"))
-    pairs = variants.select("fp", F.lag("fp").over(Window.partitionBy("v").orderBy("fp")).alias("a")).where("a is not null")
-    out, _ = written(pairs.select("a", F.col("fp").alias("b")).distinct().where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius), "links")
-    remove(fps.sparkSession, path)
+    own, most, half, spark = own or OWN, most or MOST, radius // 2, fps.sparkSession
+    bits = min(40, max(1, (fps.count() // own).bit_length()))
+    start = fps.select("fp", F.lit(half).alias("left"), F.lit(0).cast("long").alias("prefix"))
+    rows, path = written(_longer(start, 0, bits, half), "prefixes")
+    found, paths = [], [path]
+    while True:
+        balls = F.array(*(F.lit(sum(comb(64 - bits, r) for r in range(n + 1))).cast("long") for n in range(half + 1)))
+        sizes = rows.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.sum(F.get(balls, F.col("left"))).alias("variants"))
+        large = sizes.where((F.col("n") > most) | (F.col("variants") > TOGETHER)).select("prefix")
+        large, at = written(large, "large")
+        paths.append(at)
+        n_large = large.count() if bits < 64 else 0
+        here = rows if not n_large else semi(rows, large, "prefix", "left_anti")
+        dealt = here.select("fp", "left", "prefix").repartition(parts(fps), "prefix").sortWithinPartitions("prefix")
+        out, _ = written(dealt.mapInPandas(_collisions(bits, half), "a long, b long"), "pairs")
+        found.append(out)
+        if not n_large:
+            break
+        after = min(64, bits + STEP)
+        rows, path = written(_longer(semi(rows, large, "prefix"), bits, after, half), "prefixes")
+        paths.append(path)
+        bits = after
+    pairs = found[0]
+    for x in found[1:]:
+        pairs = pairs.unionByName(x)
+    out, _ = written(pairs.distinct().where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius), "links")
+    remove(spark, *paths)
     return out
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row; component_id: smallest doc_id that links reach.
 
-    Fingerprints with no words are zero and link like others. Null texts are empty, rows with a null key are
-    left out of links' ids but keep a row (component_id null unless others share the group), repeated rows
-    keep their rows, other columns are ignored, an empty table gives an empty result. Equal fingerprints are
-    one vertex, so copies are never paired with one another.
+    Fingerprints with no words are zero and link like others. Null texts are empty. Rows with a null key link
+    like others and keep a row, but give no id (component_id is null if no row that they reach has a key).
+    Repeated rows keep their rows, other columns are ignored, an empty table gives an empty result. Equal
+    fingerprints are one vertex, so copies are never paired with one another.
     """
     rows, _ = written(fingerprints(docs, words, key, text), "fingerprints")
     first, _ = written(rows.groupBy("fp").agg(F.min("doc_id").alias("doc")), "vertices")
-    pairs = links(first.select("fp"), radius)
-    known = first.where("doc is not null")
-    pairs = pairs.join(known.select(F.col("fp").alias("a"), F.col("doc").alias("x")), "a").join(known.select(F.col("fp").alias("b"), F.col("doc").alias("y")), "b")
-    groups = components(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    vertex = first.join(groups.withColumnRenamed("node", "doc"), "doc", "left").select("fp", F.coalesce("component", "doc").alias("component_id"))
+    groups = components(links(first.select("fp"), radius))  # by fingerprint
+    named = first.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "doc", F.coalesce("component", "fp").alias("group"))
+    named, _ = written(named, "named")
+    least = named.groupBy("group").agg(F.min("doc").alias("component_id"))
+    vertex = named.join(least, "group").select("fp", "component_id")
     return rows.join(vertex, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -156,9 +249,10 @@ def _signatures(docs: DataFrame, words: int, key: str, text: str) -> DataFrame:
                 fps.append(_vote(blocks))
                 keys.append(bands(shingle_set(blocks)))
             yield pd.DataFrame({"doc_id": b["doc_id"], "t": b["t"], "fp": pd.Series(fps, dtype="int64"), "bands": pd.Series(keys, dtype="object")})
+            release()
 
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"))
+    rows = in_batches(docs).select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"))
     return rows.mapInPandas(each, f"doc_id {kind}, t long, fp long, bands array<long>")
 
 
@@ -170,6 +264,7 @@ def _sets(texts: DataFrame, words: int) -> DataFrame:
             for i in range(0, len(b), 200):  # sets are about as large as their texts
                 c = b.iloc[i : i + 200]
                 yield pd.DataFrame({"t": c["t"].to_numpy(), "s": pd.Series([shingle_set(list(shingles(x, words))).view(np.int64) for x in c["text"]], dtype="object")})
+            release()
 
     return texts.mapInPandas(each, "t long, s array<long>")
 
