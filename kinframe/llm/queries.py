@@ -73,4 +73,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": dc.ORACLE_SQL, "op6_url_filter": url_filter.url_sql()}
+    return {"op2_decontamination": dc.ORACLE_SQL, "op4_embedding_dedup": ed.ORACLE_SQL, "op10_sharding": sharding.ORACLE_SQL, "op6_url_filter": url_filter.url_sql()}

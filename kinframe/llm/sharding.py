@@ -31,3 +31,14 @@ def shard_by_bytes(docs: DataFrame, shards: int = 16, key: str = "doc_id", text:
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("place") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "start"
     )
+
+
+#: The same into 16 shards in DuckDB's SQL, CRC-32 included (its table by rule, a step a byte).
+ORACLE_SQL = """
+WITH crc AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(CAST(3988292384 AS BIGINT), c >> 1) ELSE c >> 1 END, CAST(i AS BIGINT))) AS t),
+b AS (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 1 AS BIGINT) AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes FROM documents),
+d AS (SELECT doc_id, size, CASE WHEN len(bytes) = 0 THEN CAST(0 AS BIGINT) ELSE xor(CAST(4294967295 AS BIGINT), list_reduce(bytes, lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8), CAST(4294967295 AS BIGINT))) END AS text_crc32 FROM b, crc),
+p AS (SELECT *, CAST(coalesce(sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start, CAST(sum(size) OVER () AS BIGINT) AS total FROM d),
+s AS (SELECT *, CAST(least(15, (2 * start + size) * 16 // (2 * total)) AS INTEGER) AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY start, size) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard, start FROM s
+"""
