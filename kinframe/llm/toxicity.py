@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from itertools import combinations
@@ -14,10 +14,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import in_batches, release
+
 #: Bounds of the sample that fit() reads: rows a class, and the longest text in bytes that may be one of them.
 SAMPLE_TOXIC, SAMPLE_ORDINARY, SAMPLE_BYTES = 3000, 5000, 20_000
 #: A window is one word between spaces and MARK, a longer run is cut; words whose lengths a worker remembers.
-WINDOW_BYTES, DICT_BYTES, LEVEL, REMEMBERED = 64, 32_768, 3, 400_000
+WINDOW_BYTES, DICT_BYTES, LEVEL, REMEMBERED = 64, 32_768, 3, 200_000
 #: Both dictionaries end in MARK, so that even a short window is a compressed block and not a stored one, and
 #: has the 8 bytes behind it that zstandard's search for matches needs.
 MARK = bytes(range(1, 9)) + bytes(range(14, 32))
@@ -119,30 +121,38 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 60
     return w[:-1], float(w[-1])
 
 
+def _dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes, int]:
+    """The dictionaries, and the length at which a word counts as one of the toxic dictionary's."""
+    in_t, in_n = (Counter(w for x in xs for w in set(windows(x)) if len(w) > 2) for xs in (toxic, ordinary))
+    per = len(ordinary) / len(toxic)
+    telling = [w for w, k in sorted(in_t.items(), key=lambda x: (x[1], x[0])) if k >= LEAST_TEXTS and k * per >= ODDS * (in_n[w] + 0.5)]
+    known = set(telling)
+    d_toxic = _dictionary(telling or [w for w, _ in sorted(in_t.items(), key=lambda x: (x[1], x[0]))])
+    d_ordinary = _dictionary(w for w, _ in sorted(in_n.items(), key=lambda x: (x[1], x[0])) if w not in known)
+    return d_toxic, d_ordinary, int(np.median(lengths(telling or list(in_t) or [b""], d_toxic, d_ordinary)[:, 0]))
+
+
 def train(toxic: list[str], ordinary: list[str]) -> Model:
-    """Dictionaries from two thirds of the texts, weights and threshold from the remaining third.
+    """Dictionaries from all texts; weights and threshold from scores of texts that the dictionaries had not seen.
 
     The toxic dictionary is trained on the words that many more toxic texts hold than ordinary ones (all words
-    if there are none), the ordinary one on the other words of ordinary texts. Without texts of both kinds
-    every score is the same.
+    if there are none), the ordinary one on the other words of ordinary texts. For the calibration each third of
+    the texts is measured with dictionaries of the other two. Without texts of both kinds every score is the same.
     """
     if not toxic or not ordinary:
         return Model(MARK, MARK, 0, (0.0,) * FEATURES, (1.0,) * FEATURES, (0.0,) * FEATURES, 5.0 if toxic else -5.0)
     toxic, ordinary = _distinct(toxic), _distinct(ordinary)
-    cut = lambda xs, held: [x for i, x in enumerate(xs) if (i % 3 == 2) == held] or xs
-    t, n = cut(toxic, False), cut(ordinary, False)
-    in_t, in_n = (Counter(w for x in xs for w in set(windows(x)) if len(w) > 2) for xs in (t, n))
-    least, per = LEAST_TEXTS if len(t) > 200 else LEAST_TEXTS - 1, len(n) / len(t)
-    telling = [w for w, k in sorted(in_t.items(), key=lambda x: (x[1], x[0])) if k >= least and k * per >= ODDS * (in_n[w] + 0.5)]
-    known = set(telling)
-    d_toxic = _dictionary(telling or [w for w, _ in sorted(in_t.items(), key=lambda x: (x[1], x[0]))])
-    d_ordinary = _dictionary(w for w, _ in sorted(in_n.items(), key=lambda x: (x[1], x[0])) if w not in known)
-    cover = int(np.median(lengths(telling or list(in_t) or [b""], d_toxic, d_ordinary)[:, 0]))
-    y = np.array([1.0] * len(ht := cut(toxic, True)) + [0.0] * len(hn := cut(ordinary, True)))
-    x = np.array([features(v, d_toxic, d_ordinary, cover) for v in ht + hn])
+    x, y = [], []
+    for fold in range(3):
+        rest = [[t for i, t in enumerate(ts) if i % 3 != fold] or ts for ts in (toxic, ordinary)]
+        d = _dictionaries(*rest)
+        for label, ts in ((1.0, toxic), (0.0, ordinary)):
+            x += [features(t, *d) for t in ts[fold::3]]
+            y += [label] * len(ts[fold::3])
+    x, y = np.array(x), np.array(y)
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     w, bias = _logistic((x - mean) / scale, y)
-    return Model(d_toxic, d_ordinary, cover, tuple(map(float, mean)), tuple(map(float, scale)), tuple(map(float, w)), bias)
+    return Model(*_dictionaries(toxic, ordinary), tuple(map(float, mean)), tuple(map(float, scale)), tuple(map(float, w)), bias)
 
 
 def held_out(key: str = "doc_id"):
@@ -165,20 +175,23 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
 def scorer(model: Model):
     @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        x = np.array([features(t, model.toxic, model.ordinary, model.cover) for t in texts]).reshape(-1, FEATURES)
-        z = (x - np.array(model.mean)) / np.array(model.scale) @ np.array(model.weights) + model.bias
-        return pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            x = np.array([features(t, model.toxic, model.ordinary, model.cover) for t in texts]).reshape(-1, FEATURES)
+            z = (x - np.array(model.mean)) / np.array(model.scale) @ np.array(model.weights) + model.bias
+            yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        _remembered(model.toxic, model.ordinary).clear()  # the worker goes on with other work
+        release()
 
     return score
 
 
 def toxicity(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row, from its whole text alone; nulls and empty texts score too."""
-    out = docs.select(F.col(key).alias("doc_id"), F.coalesce(held_out(key), F.lit(False)).alias("held_out"), scorer(model)(F.col(text)).alias("score"))
+    out = in_batches(docs).select(F.col(key).alias("doc_id"), F.coalesce(held_out(key), F.lit(False)).alias("held_out"), scorer(model)(F.col(text)).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def without_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs without the rows that the model rejects, with their columns."""
-    return docs.withColumn("_toxic", scorer(model)(F.col(text))).where("_toxic < 0.5").drop("_toxic")
+    """docs without the rows that the model rejects (null and empty texts stay), with their columns whatever their names."""
+    return in_batches(docs).where(scorer(model)(F.col(text)) < 0.5)
