@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate as dc
 from . import embedding_dedup as ed
-from . import segment_sampling, sharding, simhash, suffix_dedup, token_counts, token_store, toxicity, url_filter
+from . import lexical_search, packing, periodic_runs, segment_sampling, sharding, simhash, suffix_dedup, token_counts, token_store, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,9 +68,22 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(_table(spark, sf_dir, "documents"))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.token_pieces(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    return packing.packed(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.periodic_runs(_table(spark, sf_dir, "documents"), rewrite=periodic_runs.with_planted_period))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": dc.ORACLE_SQL, "op4_embedding_dedup": ed.ORACLE_SQL, "op10_sharding": sharding.ORACLE_SQL, "op6_url_filter": url_filter.url_sql()}
+    return {"op2_decontamination": dc.ORACLE_SQL, "op4_embedding_dedup": ed.ORACLE_SQL, "op10_sharding": sharding.ORACLE_SQL, "op12_lexical_search": lexical_search.ORACLE_SQL, "op6_url_filter": url_filter.url_sql()}
