@@ -237,8 +237,8 @@ ask AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(te
 docs AS (SELECT d, doc_id, len(w) AS n, w FROM fold WHERE len(w) > 0),
 total AS (SELECT count(*) AS nn, sum(n) AS ll FROM docs),
 tf AS (SELECT d, term, count(*) AS tf FROM (SELECT d, unnest(w) AS term FROM docs) WHERE term IN (SELECT term FROM ask) GROUP BY ALL),
-weight AS (SELECT term, CAST(floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY term, nn),
-score AS (SELECT item_id, d, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * CAST(10 + (90 * n * nn) // ll AS BIGINT)))) AS BIGINT) AS score FROM tf JOIN ask USING (term) JOIN weight USING (term) JOIN docs USING (d), total GROUP BY item_id, d),
+weight AS (SELECT term, CAST(floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1))) AS BIGINT) AS weight FROM tf, total GROUP BY term, nn),
+score AS (SELECT item_id, d, CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * CAST(10 + (90 * n * nn) // ll AS BIGINT)))) AS BIGINT) AS score FROM tf JOIN ask USING (term) JOIN weight USING (term) JOIN docs USING (d), total GROUP BY item_id, d),
 r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank, doc_id, score FROM score JOIN docs USING (d) WHERE score > 0)
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 10
 """
