@@ -10,29 +10,40 @@ from pyspark.sql import functions as F
 
 from kinframe.functions import kernels as K
 
-from . import filters
+from . import filters, pairs
 
 #: A clip is shorter than this share of its source.
 MAX_RATIO = 0.95
+#: Differing bits of two values in a row (64 bits) up to which seeds are looked for; clips that need more compare by duration alone.
+SEED_BITS = 20
+
+
+def bit_budget(n: Column, min_similarity: float) -> Column:
+    """Bits that may differ in a window of n values: what min_similarity leaves, cut to whole bits after single-precision arithmetic."""
+    left = F.lit(float(np.float32(1.0) - np.float32(min_similarity))).cast("float")
+    return F.floor((left * (n * 32).cast("float")).cast("float")).cast("int")
+
+
+def _bits_at(shorter: Column, longer: Column, n: Column, off: Column) -> Column:
+    return F.aggregate(F.zip_with(shorter, F.slice(longer, off + 1, n), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+
+
+def best_window(shorter: Column, longer: Column, min_similarity: float, offsets: Column) -> Column:
+    """struct(similarity, offset): the best alignment of the shorter fingerprint in the longer one at one of ``offsets``, the first of equals; null if none is within the budget."""
+    n = F.size(shorter)
+    each = F.transform(offsets, lambda off: F.struct((-_bits_at(shorter, longer, n, off)).alias("s"), (-off).alias("o")))
+    budget = bit_budget(n, min_similarity)
+    best = F.array_max(F.filter(each, lambda x: -x["s"] <= budget))
+    return F.when(best.isNotNull(), F.struct((1.0 - (-best["s"]) / (n * 32)).alias("similarity"), (-best["o"]).alias("offset")))
 
 
 def sliding_match(shorter: Column, longer: Column, min_similarity: float) -> Column:
-    """struct(similarity, offset): the best alignment of the shorter fingerprint in the longer one, the first of equals.
+    """best_window() at every offset; null if a side is empty or the shorter one is not shorter or equal.
 
-    A window counts if its differing bits are within the budget that min_similarity leaves, which is cut to
-    whole bits after single-precision arithmetic; null if none does or a side is empty. Fingerprints are arrays
-    of 32-bit values held as longs.
+    Fingerprints are arrays of 32-bit values held as longs.
     """
     n, m = F.size(shorter), F.size(longer)
-    bits = lambda off: F.aggregate(
-        F.zip_with(shorter, F.slice(longer, off + 1, n), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x
-    )
-    left = F.lit(float(np.float32(1.0) - np.float32(min_similarity))).cast("float")
-    budget = F.floor((left * (n * 32).cast("float")).cast("float")).cast("int")
-    each = F.transform(F.sequence(F.lit(0), m - n), lambda off: F.struct((-bits(off)).alias("s"), (-off).alias("o")))
-    best = F.array_max(F.filter(each, lambda x: -x["s"] <= budget))
-    found = F.struct((1.0 - (-best["s"]) / (n * 32)).alias("similarity"), (-best["o"]).alias("offset"))
-    return F.when((n > 0) & (m >= n) & best.isNotNull(), found)
+    return F.when((n > 0) & (m >= n), best_window(shorter, longer, min_similarity, F.sequence(F.lit(0), m - n)))
 
 
 def eligible(videos: DataFrame, grouped: DataFrame | None = None) -> DataFrame:
@@ -59,9 +70,65 @@ def clip_candidates(videos: DataFrame, min_ratio: float) -> DataFrame:
     return s.join(c, "k").where((F.col("s.id") != F.col("c.id")) & (ratio >= min_ratio) & (ratio < MAX_RATIO) & (F.size("c.fp") < F.size("s.fp"))).select("s", "c")
 
 
-def clip_matches(videos: DataFrame, min_ratio: float = 0.1, min_similarity: float = 0.8) -> DataFrame:
-    """(source_id, source_idx, clip_id, clip_idx, similarity, offset_s)."""
-    found = clip_candidates(videos, min_ratio).withColumn("m", sliding_match(F.col("c.fp"), F.col("s.fp"), min_similarity)).where("m is not null")
+def _runs(rows: DataFrame, step: int) -> DataFrame:
+    """rows with h, first, last: 64-bit codes of two values in a row, at each ``step``-th place; equal codes in a row are one.
+
+    So a silent or constant stretch is one row, however long it is.
+    """
+    codes = rows.withColumn("c", F.transform(F.sequence(F.lit(0), F.size("fp") - 2, F.lit(step)), lambda i: F.get("fp", i).bitwiseOR(F.shiftleft(F.get("fp", i + 1), 32)))).drop("fp")
+    begins = F.filter(F.sequence(F.lit(0), F.size("c") - 1), lambda i: (i == 0) | (F.get("c", i) != F.get("c", i - 1)))
+    codes = codes.withColumn("b", begins)
+    each = F.transform("b", lambda i, k: F.struct(F.get("c", i).alias("h"), (i * step).alias("first"), ((F.coalesce(F.get("b", k + 1), F.size("c")) - 1) * step).alias("last")))
+    codes = codes.withColumn("e", F.explode(each))
+    return codes.select(*(c for c in rows.columns if c != "fp"), "e.h", "e.first", "e.last")
+
+
+def seed_bits(n: Column, min_similarity: float) -> Column:
+    """Bits within which some two neighbouring values of a clip of n values are, if the clip is within its budget: an equal share of it."""
+    return F.floor(bit_budget(n, min_similarity) / F.floor(n / 2)).cast("int")
+
+
+def seeded_offsets(clips: DataFrame, videos: DataFrame, min_ratio: float, min_similarity: float, index: pairs.Index, bits: int) -> DataFrame:
+    """(source_id, clip_id, offsets): the offsets at which two neighbouring values of a clip are near those of a source.
+
+    A clip of n values is within its budget of bits somewhere only if one of its n div 2 pairs of values is within
+    seed_bits(). These 64-bit codes meet in a multi-index (pairs.near_codes); of the fingerprints nothing else is
+    shuffled. Duration, length and place are tested where codes meet.
+    """
+    need = lambda df: df.select("id", "duration_s", F.size("fp").alias("n"), "fp")
+    stored = _runs(need(videos), 1)
+    asked = _runs(need(clips).withColumn("share", seed_bits(F.col("n"), min_similarity)), 2)
+    ratio = F.col("a.duration_s") / F.col("b.duration_s")
+    low, high = F.col("b.first") - F.col("a.last"), F.col("b.last") - F.col("a.first")
+    fits = (F.col("a.id") != F.col("b.id")) & (ratio >= min_ratio) & (ratio < MAX_RATIO) & (F.col("a.n") < F.col("b.n")) & (high >= 0) & (low <= F.col("b.n") - F.col("a.n"))
+    met = pairs.near_codes(asked, stored, bits, index, fits).where(F.col("distance") <= F.col("a.share"))
+    spans = met.select(F.col("b.id").alias("source_id"), F.col("a.id").alias("clip_id"), F.greatest(low, F.lit(0)).alias("lo"), F.least(high, F.col("b.n") - F.col("a.n")).alias("hi"))
+    each = spans.distinct().select("source_id", "clip_id", F.explode(F.sequence("lo", "hi")).alias("o"))
+    return each.groupBy("source_id", "clip_id").agg(F.array_sort(F.collect_set("o")).alias("offsets"))  # no more than the source has places
+
+
+def clip_matches(videos: DataFrame, min_ratio: float = 0.1, min_similarity: float = 0.8, most_bits: int = SEED_BITS) -> DataFrame:
+    """(source_id, source_idx, clip_id, clip_idx, similarity, offset_s) of every clip in every source that holds it.
+
+    Seeds say which offsets can match (see seeded_offsets; exact), and only pairs with a seed fetch their
+    fingerprints. Clips for which seeds of ``most_bits`` bits aren't enough (at 0.8: none; at looser similarities
+    first the shortest) are compared with all sources of fitting durations.
+    """
+    rows = videos.where((F.size("fp") >= 2) & (F.col("duration_s") >= 1))
+    share = seed_bits(F.size("fp"), min_similarity)
+    tight = share <= most_bits
+    stats = rows.agg(F.max(F.when(tight, share)).alias("bits"), F.sum(F.size("fp")).alias("places"), F.max(~tight).alias("loose")).first()
+    out = []
+    if stats["bits"] is not None:
+        seeds = seeded_offsets(rows.where(tight), rows, min_ratio, min_similarity, pairs.index_plan(stats["bits"], stats["places"]), stats["bits"])
+        whole = lambda s: rows.select(F.col("id").alias("source_id" if s == "s" else "clip_id"), F.struct("id", "idx", "fp").alias(s))
+        seen = seeds.join(whole("s"), "source_id").join(whole("c"), "clip_id")
+        out.append(seen.select("s", "c", best_window(F.col("c.fp"), F.col("s.fp"), min_similarity, F.col("offsets")).alias("m")))
+    if stats["loose"] or not out:
+        short = clip_candidates(rows, min_ratio).where(seed_bits(F.size("c.fp"), min_similarity) > most_bits)
+        part = lambda s: F.struct(f"{s}.id", f"{s}.idx", f"{s}.fp").alias(s)
+        out.append(short.select(part("s"), part("c"), sliding_match(F.col("c.fp"), F.col("s.fp"), min_similarity).alias("m")))
+    found = (out[0] if len(out) == 1 else out[0].unionByName(out[1])).where("m is not null")
     return found.select(F.col("s.id").alias("source_id"), F.col("s.idx").alias("source_idx"), F.col("c.id").alias("clip_id"), F.col("c.idx").alias("clip_idx"), "m.similarity", F.col("m.offset").alias("offset_s"))
 
 

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import random
-from dataclasses import replace
+from dataclasses import dataclass, replace
+from functools import lru_cache
+from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,8 +15,8 @@ from kinframe.config import ScanConfig
 from kinframe.functions import kernels as K
 from kinframe.operators import blocks
 
-#: Most bits for which segments are long enough to be selective.
-PIGEONHOLE_BITS = 7
+#: Keys that a hash asks for in one segment at the most, and what a key costs (it is shuffled) beside a comparison.
+MOST_PROBES, PROBE_COST = 4096, 20.0
 LSH_TABLES, LSH_BITS = 10, 8
 
 
@@ -36,24 +39,77 @@ def _segment(h: Column, first: int, bits: int) -> Column:
     return F.shiftrightunsigned(h, first).bitwiseAND(F.lit((1 << bits) - 1).cast("long")) if bits < 64 else h
 
 
-def pigeonhole_pairs(items: DataFrame, max_bits: int, keep: list[str]) -> DataFrame:
+@dataclass(frozen=True)
+class Index:
+    """How 64-bit hashes are cut: (first bit, bits, radius) of each segment, and what a hash costs with it."""
+
+    segments: tuple[tuple[int, int, int], ...]
+    probes: int  # keys that a hash asks for
+    met: float  # hashes that it meets, of ``rows`` that are spread evenly
+
+
+@lru_cache(maxsize=256)
+def index_plan(max_bits: int, rows: int) -> Index:
+    """The cut for which probing and comparing cost least among ``rows`` hashes.
+
+    Hashes within max_bits = m r + a bits (0 <= a < m) differ in r bits or fewer on one of the first a + 1 of m
+    segments, or in r - 1 or fewer on one of the others: else they differed in more than max_bits. So longer
+    segments take larger balls of keys, each of which holds fewer hashes; how long follows from the table's size.
+    """
+    best = None
+    for m in range(1, min(max_bits + 1, 64) + 1):
+        r, a = divmod(max_bits, m)
+        cut = [(64 * i // m, 64 * (i + 1) // m - 64 * i // m, r if i <= a else r - 1) for i in range(m)]
+        cut = [c for c in cut if c[2] >= 0]
+        balls = [sum(comb(bits, k) for k in range(radius + 1)) for _, bits, radius in cut]
+        if max(balls) > MOST_PROBES:
+            continue
+        found = Index(tuple(cut), sum(balls), sum(n * rows / 2.0**bits for n, (_, bits, _) in zip(balls, cut)))
+        cost = found.probes * PROBE_COST + found.met
+        if best is None or cost < best[0]:
+            best = (cost, found)
+    if best is None:
+        raise ValueError(f"no segments of a 64-bit hash are selective for {max_bits} bits")
+    return best[1]
+
+
+def _ball(bits: int, radius: int) -> list[int]:
+    """Masks of up to ``radius`` of some bits."""
+    return [sum(1 << b for b in c) for k in range(radius + 1) for c in combinations(range(bits), k)]
+
+
+def near_codes(asked: DataFrame, stored: DataFrame, max_bits: int, index: Index, condition: Column | None = None) -> DataFrame:
+    """(a, b, distance): structs of rows of asked and stored whose 64-bit codes (column h) differ in max_bits or fewer; exact, each pair once.
+
+    A stored row is shuffled once a segment, an asked row once for each key in the ball round its segment. A pair
+    that meets in several segments is kept where its first one does, so nothing has to be made distinct.
+    ``condition`` on a and b is tested where they meet.
+    """
+    keys = F.array(*(F.struct(F.lit(i).alias("seg"), _segment(F.col("h"), f, n).alias("val")) for i, (f, n, _) in enumerate(index.segments)))
+    kept = stored.withColumn("k", F.explode(keys)).select("k.seg", "k.val", F.struct(*stored.columns).alias("b"))
+    masks = [F.lit(_ball(n, r)) if n < 63 else F.array(F.lit(0).cast("long")) for _, n, r in index.segments]
+    probe = asked.withColumn("k", F.explode(F.array(*(F.struct(F.lit(i).alias("seg"), _segment(F.col("h"), f, n).alias("val"), m.cast("array<long>").alias("m")) for i, ((f, n, _), m) in enumerate(zip(index.segments, masks))))))
+    probe = probe.select(F.col("k.seg").alias("seg"), F.col("k.val").alias("own"), F.explode("k.m").alias("m"), F.struct(*asked.columns).alias("a"))
+    probe = probe.select("seg", F.col("own").bitwiseXOR(F.col("m")).alias("val"), "a")
+    x = F.col("a.h").bitwiseXOR(F.col("b.h"))
+    met = probe.join(kept, ["seg", "val"]).withColumn("distance", F.bit_count(x)).where(F.col("distance") <= max_bits)
+    if condition is not None:
+        met = met.where(condition)
+    first = F.array(*(F.bit_count(_segment(x, f, n)) <= r for f, n, r in index.segments))
+    return met.where(F.array_position(first, True) == F.col("seg") + 1).select("a", "b", "distance")
+
+
+def pigeonhole_pairs(items: DataFrame, max_bits: int, keep: list[str], rows: int | None = None) -> DataFrame:
     """(a, b, distance) of all pairs (a.id < b.id) whose hashes lo, hi differ in max_bits or fewer bits; exact.
 
-    One row a segment of each item is shuffled by segment value. A pair that agrees on several segments is kept
-    where its first one meets, so nothing has to be made distinct.
+    Tight thresholds meet by equal segments, loose ones by balls round longer segments (see index_plan): ``rows``
+    says how many hashes there are (else they are counted). Rows without a hash meet nothing.
     """
-    if max_bits > PIGEONHOLE_BITS:
-        return theta_pairs(items, keep).where(F.col("distance") <= max_bits)
-    cut = segments(max_bits)
-    h = K.whole_hash(F.col("lo"), F.col("hi"))
-    rows = items.select(*dict.fromkeys(["id", "lo", "hi", *keep]))
-    keys = F.array(*(F.struct(F.lit(i).alias("seg"), _segment(h, *s).alias("val")) for i, s in enumerate(cut)))
-    rows = rows.withColumn("k", F.explode(keys)).select("*", "k.seg", "k.val").drop("k")
-    pairs = _sided(rows, "a", ["seg", "val"]).join(_sided(rows, "b", ["seg", "val"]), ["seg", "val"]).where("a.id < b.id")
-    pairs = pairs.withColumn("distance", K.hamming(F.col("a.lo"), F.col("a.hi"), F.col("b.lo"), F.col("b.hi"))).where(F.col("distance") <= max_bits)
-    x = K.whole_hash(F.col("a.lo"), F.col("a.hi")).bitwiseXOR(K.whole_hash(F.col("b.lo"), F.col("b.hi")))
-    earlier = F.array(*(_segment(x, *s) == 0 for s in cut))
-    return pairs.where(F.array_position(earlier, True) == F.col("seg") + 1).select("a", "b", "distance")
+    of = items.select(*dict.fromkeys(["id", "lo", "hi", *keep])).withColumn("h", K.whole_hash(F.col("lo"), F.col("hi"))).where("h IS NOT NULL")
+    index = index_plan(max_bits, items.count() if rows is None else rows)
+    found = near_codes(of, of, max_bits, index, F.col("a.id") < F.col("b.id"))
+    side = lambda s: F.struct(*(f"{s}.{c}" for c in of.columns if c != "h")).alias(s)
+    return found.select(side("a"), side("b"), "distance")
 
 
 def _grid(rows: DataFrame, buckets: int) -> DataFrame:
@@ -157,17 +213,30 @@ def hard_link_gate(a: Column, b: Column, on: bool) -> Column:
     return (a != b) if on else F.lit(True)
 
 
-def quick_gate(distance: Column, most: int = 32) -> Column:
-    """A first-position hash distance over ``most`` rejects; a missing one passes."""
+QUICK_BITS = 32
+
+
+def quick_gate(distance: Column, most: int = QUICK_BITS) -> Column:
+    """A hash distance over ``most`` rejects; a missing one passes."""
     return F.coalesce(distance <= most, F.lit(True))
 
 
-def gates(config: ScanConfig) -> dict[str, Column]:
-    """Every gate between a (the earlier row) and b, by name, cheapest first."""
+def quick_gate_positions(a: Column, b: Column, first: Column, most: int = QUICK_BITS) -> Column:
+    """Arrays of hashes, one a position: any distance over ``most`` rejects, positions that lack a hash are passed over.
+
+    Where a side has no array, or they differ in length, the distance ``first`` of the first positions decides.
+    """
+    each = F.forall(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), lambda d: F.coalesce(d <= most, F.lit(True)))
+    return F.when(a.isNotNull() & b.isNotNull() & (F.size(a) == F.size(b)), each).otherwise(quick_gate(first, most))
+
+
+def gates(config: ScanConfig, positions: bool = False) -> dict[str, Column]:
+    """Every gate between a (the earlier row) and b, by name, cheapest first; with ``positions`` both have hashes, one a position."""
     a, b = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    first = K.hamming(a("lo"), a("hi"), b("lo"), b("hi"))
     return {
         "kind": a("is_image") == b("is_image"),
-        "quick": quick_gate(K.hamming(a("lo"), a("hi"), b("lo"), b("hi"))),
+        "quick": quick_gate_positions(a("hashes"), b("hashes"), first) if positions else quick_gate(first),
         "duration": a("is_image") | duration_gate(a("duration_s"), b("duration_s"), config),
         "size": size_gate(a("size"), b("size"), config.size_percent),
         "resolution": resolution_gate(a("width"), a("height"), b("width"), b("height")) if config.resolution_gate else F.lit(True),
@@ -181,6 +250,10 @@ def position_columns(items: DataFrame) -> list[str]:
     return [c for c in ("hashes", "frames") if c in items.columns]
 
 
+def hash_columns(items: DataFrame) -> list[str]:
+    return [c for c in ("hashes",) if c in items.columns]
+
+
 def metric(config: ScanConfig, side: int) -> tuple[Column, Column]:
     """(difference, flipped) of a pair by the configured metric; the mirrored left frame counts if it alone is better."""
     a, b = F.col("a.frame"), F.col("b.frame")
@@ -200,7 +273,7 @@ def metric(config: ScanConfig, side: int) -> tuple[Column, Column]:
 
 def passed(pairs: DataFrame, config: ScanConfig) -> DataFrame:
     """Pairs (a, b, ...) that pass every gate."""
-    for c in gates(config).values():
+    for c in gates(config, "hashes" in pairs.schema["a"].dataType.names).values():
         pairs = pairs.where(c)
     return pairs
 
@@ -219,6 +292,11 @@ def matches(pairs: DataFrame, config: ScanConfig, side: int = 8) -> DataFrame:
 PAIR_COLUMNS = ["lo", "hi", "duration_s", "size", "width", "height", "folder", "file_id", "is_image", "path"]
 
 
+def _sides() -> list[Column]:
+    """a and b with the columns that every way of matching gives."""
+    return [F.struct(f"{s}.id", *(f"{s}.{c}" for c in PAIR_COLUMNS)).alias(s) for s in ("a", "b")]
+
+
 def candidates(items: DataFrame, config: ScanConfig) -> DataFrame:
     """Pairs (a, b) of the configured (or best) blocking; every one of them holds all pairs that can match.
 
@@ -228,7 +306,7 @@ def candidates(items: DataFrame, config: ScanConfig) -> DataFrame:
     if how == "auto":
         how = "pigeonhole" if config.use_phash else "frames"
     if how == "frames":
-        return blocks.with_columns(blocks.frame_matches(items, config), items, PAIR_COLUMNS)
+        return blocks.with_columns(blocks.frame_matches(items, config), items, [*PAIR_COLUMNS, *hash_columns(items)])
     if how == "pigeonhole":
         found = pigeonhole_pairs(items, config.max_bits, [])
     elif how == "lsh":
@@ -259,7 +337,7 @@ def all_matches(items: DataFrame, config: ScanConfig, side: int = 8) -> DataFram
     if config.blocking not in ("auto", "frames", "pigeonhole", "lsh"):
         found = matches(candidates(by_frame, config), replace(config, use_phash=False), side)
     else:
-        found = passed(blocks.with_columns(blocks.frame_matches(by_frame, config), by_frame, PAIR_COLUMNS), config).select("a", "b", "difference", "flipped")
+        found = passed(blocks.with_columns(blocks.frame_matches(by_frame, config), by_frame, [*PAIR_COLUMNS, *hash_columns(items)]), config).select(*_sides(), "difference", "flipped")
     if by_hash is None:
         return found
     return found.unionByName(hash_matches(by_hash, config))
@@ -280,11 +358,11 @@ def hash_matches(videos: DataFrame, config: ScanConfig) -> DataFrame:
         more = search(both, config.max_bits, []).where("a.id % 2 <> b.id % 2").select(F.shiftright("a.id", 1).alias("x"), F.shiftright("b.id", 1).alias("y")).where("x <> y")
         found = found.unionByName(more.select(F.least("x", "y").alias("a_id"), F.greatest("x", "y").alias("b_id"))).distinct()
         sides.append("flipped_hashes")
-    pairs = passed(blocks.with_columns(found, rows, [*PAIR_COLUMNS, *sides]), config)
+    pairs = passed(blocks.with_columns(found, rows, [*PAIR_COLUMNS, *sides, *hash_columns(videos)]), config)
     plain = match_positions(F.col("a.own"), F.col("b.own"), config.max_bits)
     mirrored = match_positions(F.col("a.flipped_hashes"), F.col("b.own"), config.max_bits) if len(sides) > 1 else F.lit(None).cast("double")
     flip = F.coalesce(mirrored > plain, mirrored.isNotNull() & plain.isNull())
-    out = pairs.select(F.struct("a.id", *(f"a.{c}" for c in PAIR_COLUMNS)).alias("a"), F.struct("b.id", *(f"b.{c}" for c in PAIR_COLUMNS)).alias("b"), F.when(flip, mirrored).otherwise(plain).alias("similarity"), flip.alias("flipped"))
+    out = pairs.select(*_sides(), F.when(flip, mirrored).otherwise(plain).alias("similarity"), flip.alias("flipped"))
     return out.where("similarity IS NOT NULL").select("a", "b", (1 - F.col("similarity")).alias("difference"), "flipped")
 
 

@@ -58,7 +58,8 @@ def phash_from_embedding(spark, d):
 
 @query(f"{ITEMS} SELECT a.id AS a_id, b.id AS b_id, CAST(bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)) AS INTEGER) AS distance FROM items a JOIN items b ON a.id < b.id WHERE bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)) <= 16")
 def hamming_pairs(spark, d):
-    return ids(pairs.theta_pairs(D.items(spark, d), []), "distance").where("distance <= 16")
+    """All pairs within 16 bits, by balls round segments whose length follows from the table's size."""
+    return ids(pairs.pigeonhole_pairs(D.items(spark, d), 16, []), "distance")
 
 
 @query(f"{ITEMS} SELECT a.id AS a_id, b.id AS b_id, CAST(bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)) AS INTEGER) AS distance FROM items a JOIN items b ON a.id < b.id WHERE bit_count(xor(a.lo, b.lo)) + bit_count(xor(a.hi, b.hi)) <= 2")
@@ -201,7 +202,7 @@ def multi_position_match(spark, d):
 _FOUR = "list_sum(list_transform(range(1, 5), lambda j: list_sum(list_transform(range(1, 65), lambda i: abs(a.f[j][i] - b.f[j][i]))) / 64.0 / 256.0)) / 4"
 
 
-@query(f"{POSITIONS}, p AS (SELECT a.id AS a_id, b.id AS b_id, {_FOUR} AS difference FROM entries a JOIN entries b ON a.id < b.id AND bit_count(xor(a.lo[1], b.lo[1])) + bit_count(xor(a.hi[1], b.hi[1])) <= 32) SELECT a_id, b_id, round(difference, 6) AS difference FROM p WHERE difference <= 0.04")
+@query(f"{POSITIONS}, p AS (SELECT a.id AS a_id, b.id AS b_id, {_FOUR} AS difference FROM entries a JOIN entries b ON a.id < b.id AND len(list_filter(range(1, 5), lambda j: bit_count(xor(a.lo[j], b.lo[j])) + bit_count(xor(a.hi[j], b.hi[j])) > 32)) = 0) SELECT a_id, b_id, round(difference, 6) AS difference FROM p WHERE difference <= 0.04")
 def multi_position_gray(spark, d):
     """The same by the mean difference of the four positions' frames."""
     found = pairs.all_matches(D.position_items(spark, d), ScanConfig(whole_catalog=True, positions=4, percent=96.0))
@@ -217,7 +218,7 @@ _NEAR = f"near AS (SELECT a.id AS a, b.id AS b FROM items a JOIN items b ON a.id
     f"{ITEMS.replace('WITH', 'WITH RECURSIVE', 1)}, {_NEAR}, both_ways AS (SELECT a, b FROM near UNION SELECT b, a FROM near), reach AS (SELECT a AS id, a AS r FROM both_ways UNION SELECT both_ways.b AS id, reach.r FROM reach JOIN both_ways ON reach.id = both_ways.a) SELECT id, min(r) AS component FROM reach GROUP BY id"
 )
 def components(spark, d):
-    near = ids(pairs.theta_pairs(D.items(spark, d), []), "distance").where("distance <= 18")
+    near = ids(pairs.pigeonhole_pairs(D.items(spark, d), 18, []))
     return grouping.connected_components(near.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
 
 
@@ -229,9 +230,9 @@ def duplicate_groups(spark, d):
 @query()
 def daisy_split(spark, d):
     """Groups at a loose threshold, where chains are split."""
-    c = ScanConfig(whole_catalog=True, percent=75.0, use_phash=True, duration_percent=100.0, duration_max_s=1e6, blocking="theta")
+    c = ScanConfig(whole_catalog=True, percent=75.0, use_phash=True, duration_percent=100.0, duration_max_s=1e6)
     x = D.items(spark, d)
-    found = ids(pairs.theta_pairs(x, []), "distance").where(F.col("distance") <= c.max_bits)
+    found = ids(pairs.pigeonhole_pairs(x, c.max_bits, []), "distance")
     found = found.select("a_id", "b_id", (F.col("distance") / 64.0).alias("difference"), F.lit(False).alias("flipped"))
     return grouping.duplicate_groups(x.drop("is_image"), found, c)
 
@@ -249,13 +250,13 @@ def videos(spark, d):
     x = D.base_items(spark, d).select("id", "lo", "hi", F.floor(F.col("id") / 12).alias("g"), (F.col("id") % 12).alias("k"))
     s = x.groupBy("g").agg(F.array_sort(F.collect_list(F.struct("k", "lo", "hi"))).alias("v")).where(F.size("v") == 12)
     s = s.select("g", F.flatten(F.transform("v", lambda v: F.array(v["lo"], v["hi"]))).alias("fp"))
-    source = s.select(F.col("g").cast("long").alias("id"), (200.0 + F.col("g") * 3).alias("duration_s"), "fp")
-    clip = s.where("g % 3 = 0").select((F.col("g") + 1000).cast("long").alias("id"), (60.0 + F.col("g")).alias("duration_s"), F.transform(F.slice("fp", (F.col("g") % 8 + 3).cast("int"), 8), lambda x: x.bitwiseXOR(F.lit(5).cast("long"))).alias("fp"))
+    source = s.select((2 * F.col("g")).cast("long").alias("id"), (200.0 + F.col("g") * 3).alias("duration_s"), "fp")
+    clip = s.where("g % 3 = 0").select((2 * F.col("g") + 1).cast("long").alias("id"), (60.0 + F.col("g")).alias("duration_s"), F.transform(F.slice("fp", (F.col("g") % 8 + 3).cast("int"), 8), lambda x: x.bitwiseXOR(F.lit(5).cast("long"))).alias("fp"))
     return source.unionByName(clip)
 
 
 VIDEOS = f"""{ITEMS}, g AS (SELECT id // 12 AS g, list([lo, hi] ORDER BY id) AS v FROM base GROUP BY id // 12 HAVING count(*) = 12), s AS (SELECT g, flatten(v) AS fp FROM g),
-videos AS (SELECT CAST(g AS BIGINT) AS id, 200.0 + g * 3 AS duration_s, fp FROM s UNION ALL SELECT CAST(g + 1000 AS BIGINT), 60.0 + g, list_transform(fp[g % 8 + 3 : g % 8 + 10], lambda x: xor(x, 5)) FROM s WHERE g % 3 = 0),
+videos AS (SELECT CAST(2 * g AS BIGINT) AS id, 200.0 + g * 3 AS duration_s, fp FROM s UNION ALL SELECT CAST(2 * g + 1 AS BIGINT), 60.0 + g, list_transform(fp[g % 8 + 3 : g % 8 + 10], lambda x: xor(x, 5)) FROM s WHERE g % 3 = 0),
 ordered AS (SELECT *, row_number() OVER (ORDER BY duration_s DESC, id) - 1 AS idx FROM videos),
 p AS (SELECT a.id AS source_id, a.idx AS source_idx, b.id AS clip_id, a.fp AS x, b.fp AS y, unnest(range(0, len(a.fp) - len(b.fp) + 1)) AS o FROM ordered a JOIN ordered b ON a.id <> b.id AND b.duration_s / a.duration_s >= 0.1 AND b.duration_s / a.duration_s < 0.95 AND len(b.fp) < len(a.fp)),
 q AS (SELECT source_id, source_idx, clip_id, o, len(y) * 32 AS n, list_sum(list_transform(range(1, len(y) + 1), lambda i: bit_count(xor(y[i], x[i + o])))) AS bits FROM p),
@@ -278,12 +279,6 @@ def clip_items(spark, d):
     return CL.clip_items(CL.assign_clips(CL.clip_matches(CL.by_duration(videos(spark, d))))).drop("similarity")
 
 
-@query()
-def clip_items_whole(spark, d):
-    """Sources and clips of all vectors; tests/test_clips.py holds it against brute force, as the SQL is too slow."""
-    return CL.clip_items(CL.assign_clips(CL.clip_matches(CL.by_duration(videos(spark, d)))))
-
-
 @query("SELECT user_id % 50 AS k, len(list(value)) > 0 AND list_sum(list_transform(list(CAST(floor(value) AS BIGINT) // 1000000), lambda x: abs(x))) = 0 AS silent FROM events GROUP BY 1")
 def silent_fp(spark, d):
     e = D.table(spark, d, "events").groupBy((F.col("user_id") % 50).alias("k")).agg(F.collect_list(F.expr("cast(floor(value) as bigint) div 1000000")).alias("fp"))
