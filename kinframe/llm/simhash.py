@@ -5,8 +5,10 @@ the task that owns the prefix writes these variants out, so that the ball of 208
 some 80 shuffled rows instead of 2081 (for 200,000 fingerprints). How long a prefix is follows from the number of
 fingerprints, and prefixes that hold more than a task should are made longer, for as many rounds as it takes.
 
-one_of_each() goes by the Jaccard similarity of shingle sets instead: a similarity of 0.8 is some 10 bits, which
-no affordable ball reaches, so its pairs meet in bands of minimum hashes as well.
+near_copies() and one_of_each() go by the Jaccard similarity of shingle sets instead: a similarity of 0.8 is some 10
+bits, which no affordable ball reaches, so pairs meet in bands of minimum hashes, and op7's links are only added to
+them. Each text is held against three hubs of each of its bands first. What a band still holds of different groups is
+compared in full, in blocks: sketches refuse what can't be similar, the shingle sets decide the rest.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import components, in_batches, parts, release, remove, semi, written
@@ -28,6 +30,10 @@ OWN, MOST, STEP = 64, 8_192, 6
 TOGETHER = 2_000_000
 #: Bands of one_of_each() and the minimum hashes in each: two sets of similarity s share none with (1 - s^4)^20, 3e-5 at 0.8.
 BANDS, BAND = 20, 4
+#: Minimum hashes of a sketch, a byte each, and standard deviations below its mean at which a pair of the asked similarity is refused (1e-9).
+SKETCH, DEVIATIONS = 512, 6
+#: Texts of a block under a band.
+MET = 256
 
 
 def shingles(text: str | None, words: int) -> Iterator[np.ndarray]:
@@ -269,36 +275,130 @@ def _sets(texts: DataFrame, words: int) -> DataFrame:
     return texts.mapInPandas(each, "t long, s array<long>")
 
 
+def _sketches(texts: DataFrame, words: int) -> DataFrame:
+    """(t, n, sketch) of rows (t, text): how many shingles, and SKETCH minimum hashes of them, a byte each."""
+    mul, add = np.random.default_rng(43).integers(0, 1 << 64, (2, SKETCH, 1), dtype=np.uint64)
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            n, out = [], []
+            for x in b["text"]:
+                found = shingle_set(list(shingles(x, words)))
+                low = np.full(SKETCH, np.iinfo(np.uint64).max, dtype=np.uint64)
+                for i in range(0, len(found), 512):
+                    low = np.minimum(low, (found[i : i + 512] * (mul | np.uint64(1)) + add).min(axis=1))
+                n.append(len(found))
+                out.append((low >> np.uint64(40)).astype(np.uint8).tobytes())
+            yield pd.DataFrame({"t": b["t"], "n": pd.Series(n, dtype="int64"), "sketch": pd.Series(out, dtype="object")})
+            release()
+
+    return texts.mapInPandas(each, "t long, n long, sketch binary")
+
+
+def _refused(similarity: float):
+    """Over rows (k, same, x, y) of a band's blocks: the pairs of different groups that may be similar, each where its first common band is."""
+    p = similarity + (1 - similarity) / 256  # unlike minimum hashes may share a byte
+    least = SKETCH * p - DEVIATIONS * np.sqrt(SKETCH * p * (1 - p))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k, same, *sides in zip(batch["k"], batch["same"], batch["x"], batch["y"]):
+                (t, c, n, bands_, sk), (t2, c2, n2, bands2, sk2) = (
+                    [np.array([r["t"] for r in s]), np.array([r["c"] for r in s]), np.array([r["n"] for r in s]), np.array([r["bands"] for r in s]), np.frombuffer(b"".join([r["sketch"] for r in s]), np.uint8).reshape(len(s), -1)]
+                    for s in sides
+                )
+                may = (c[:, None] != c2) & (np.minimum(n[:, None], n2) >= similarity * np.maximum(n[:, None], n2))
+                if same:
+                    may &= t[:, None] < t2
+                for e in range(int(k)):
+                    may &= bands_[:, e][:, None] != bands2[:, e]
+                i, j = np.nonzero(may)
+                keep = np.concatenate([np.count_nonzero(sk[i[o : o + 8192]] == sk2[j[o : o + 8192]], axis=1) >= least for o in range(0, len(i), 8192)] or [np.empty(0, bool)])
+                a, b = t[i[keep]], t2[j[keep]]
+                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+            release()
+
+    return run
+
+
+def _across(keys: DataFrame, groups: DataFrame, first: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b): all pairs of texts that share a band, lie in different groups so far and may be similar.
+
+    ``keys`` has (t, k, key). A group's members under a key go to blocks of their own if they are many, else to blocks
+    that several groups share; blocks of one key meet, but not those of one group.
+    """
+    spark = keys.sparkSession
+    named = keys.join(groups.select(F.col("node").alias("t"), F.col("component").alias("c")), "t", "left").withColumn("c", F.coalesce("c", "t"))
+    members = named.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
+    wide = members.groupBy("key").agg(F.count(F.lit(1)).alias("groups"), F.sum(F.when(F.col("n") <= MET, F.col("n")).otherwise(0)).alias("few")).where("groups > 1")
+    sizes, at_sizes = written(members.join(wide, "key").withColumn("own", F.col("n") > MET), "band-groups")
+    named = named.join(sizes.select("key", "c", "n", "few", "own"), ["key", "c"])
+    many = F.greatest(F.ceil(F.when(F.col("own"), F.col("n")).otherwise(F.col("few")) / MET), F.lit(1))
+    block = F.pmod(F.xxhash64(F.when(F.col("own"), F.col("t")).otherwise(F.col("c"))), many)
+    # a group of few members stays together; its block may hold some more than MET
+    named, at_named = written(named.select("t", "k", "key", "c", F.when(F.col("own"), F.col("c")).alias("big"), block.alias("block")), "band-texts")
+    need = named.select("t").distinct()
+    sketches, at_sketches = written(_sketches(semi(texts, written(need, "need")[0], "t", most=100_000).dropDuplicates(["t"]), words), "sketches")
+    places = named.select("key", "big", "block").distinct()
+    other = places.select("key", F.col("big").alias("big2"), F.col("block").alias("block2"))
+    order = lambda big, block: F.struct(big, block)
+    pairs = places.join(other, "key").where((order(F.col("big"), F.col("block")) < order(F.col("big2"), F.col("block2"))) | (F.col("big").isNull() & F.col("big2").isNull() & (F.col("block") == F.col("block2"))))
+    pairs = pairs.where(F.col("big").isNull() | F.col("big2").isNull() | (F.col("big") != F.col("big2")))
+    rows = named.join(sketches, "t").join(first.select("t", "bands"), "t")
+    filled = rows.groupBy("key", "k", "big", "block").agg(F.collect_list(F.struct("t", "c", "n", "bands", "sketch")).alias("rows"))
+    filled, at_filled = written(filled, "band-blocks")
+    side = lambda n, big, block: filled.select("key", F.coalesce("big", F.lit(0)).alias(f"b{n}"), F.col("big").isNull().alias(f"n{n}"), F.col("block").alias(f"o{n}"), F.col("rows").alias(n), *(["k"] if n == "x" else []))
+    met = pairs.select("key", F.coalesce("big", F.lit(0)).alias("bx"), F.col("big").isNull().alias("nx"), F.col("block").alias("ox"), F.coalesce("big2", F.lit(0)).alias("by"), F.col("big2").isNull().alias("ny"), F.col("block2").alias("oy"))
+    met = met.join(side("x", "big", "block"), ["key", "bx", "nx", "ox"]).join(side("y", "big2", "block2"), ["key", "by", "ny", "oy"])
+    met = met.select("k", (F.col("nx") & F.col("ny") & (F.col("ox") == F.col("oy"))).alias("same"), "x", "y")
+    out, _ = written(met.mapInPandas(_refused(similarity), "a long, b long").distinct(), "across")
+    remove(spark, at_sizes, at_named, at_sketches, at_filled)
+    return out
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b) of the pairs whose shingle sets are similar enough; sets without shingles are alike."""
+    need, at_need = written(pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct(), "need")
+    sets, at_sets = written(_sets(semi(texts, need, "t", most=100_000).dropDuplicates(["t"]), words), "sets")
+    both = pairs.join(sets.select(F.col("t").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("t").alias("b"), F.col("s").alias("y")), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    union = F.size("x") + F.size("y") - common
+    edges, _ = written(both.where((union == 0) | (common >= F.lit(similarity) * union)).select("a", "b"), "edges")
+    remove(pairs.sparkSession, at_need, at_sets)
+    return edges
+
+
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, component_id) of every row: rows whose shingle sets have a Jaccard similarity of ``similarity`` or more are linked.
 
-    Distinct texts are the vertices. Those that share a band of minimum hashes are paired with the first of the
-    band and with the two before them in a fixed order, and the SimHash links within ``radius`` are taken too;
-    of all these pairs the exact similarity decides. Texts without words are alike. component_id is the
-    smallest doc_id that links reach (null if no row there has one).
+    Distinct texts are the vertices. Each is paired with three texts of every band of minimum hashes that it is in, and
+    with its SimHash links within ``radius``; exact similarity decides, and what is linked forms groups. Then all
+    pairs that share a band but no group are compared (see _across), so a pair is lost only if it shares no band
+    (3e-5 at 0.8), however large the family that it stands in. Texts without words are alike; null texts are empty.
+    component_id is the smallest doc_id that links reach (null if no row there has one); repeated rows keep theirs;
+    other columns are ignored; an empty table gives an empty result.
     """
+    spark = docs.sparkSession
     rows, path = written(_signatures(docs, words, key, text), "signatures")
-    first, _ = written(rows.groupBy("t").agg(F.min("fp").alias("fp"), F.first("bands").alias("bands")), "texts")
-    keys = first.select("t", F.posexplode("bands").alias("k", "band")).select("t", F.xxhash64("k", "band").alias("key"))
-    w = Window.partitionBy("key").orderBy("t")
-    met = keys.select("t", F.array(F.first("t").over(w), F.lag("t").over(w), F.lag("t", 2).over(w)).alias("others"))
-    met = met.select(F.explode("others").alias("a"), F.col("t").alias("b")).where("a < b")
+    first, at_first = written(rows.groupBy("t").agg(F.min("fp").alias("fp"), F.first("bands").alias("bands")), "texts")
+    keys, at_keys = written(first.select("t", F.posexplode("bands").alias("k", "band")).select("t", "k", F.xxhash64("k", "band").alias("key")), "keys")
+    hub = lambda n: F.min(F.struct(F.xxhash64(F.lit(n), "t").alias("h"), F.col("t").alias("t")))["t"]
+    hubs = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.array(F.min("t"), hub(1), hub(2)).alias("hubs")).where("n > 1")
+    met = keys.join(hubs, "key").select(F.explode("hubs").alias("x"), F.col("t").alias("y")).where("x <> y")
     at = first.groupBy("fp").agg(F.min("t").alias("t"))
     ball = links(at.select("fp"), radius).join(at.select(F.col("fp").alias("a"), F.col("t").alias("x")), "a").join(at.select(F.col("fp").alias("b"), F.col("t").alias("y")), "b")
     same = first.join(at.select("fp", F.col("t").alias("x")), "fp").where("t <> x").select("x", F.col("t").alias("y"))
-    more = ball.select("x", "y").unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    pairs, _ = written(met.select("a", "b").unionByName(more).distinct(), "pairs")
-    need = pairs.select(F.explode(F.array("a", "b")).alias("t")).distinct()
+    found = met.unionByName(ball.select("x", "y")).unionByName(same).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    pairs, at_pairs = written(found.distinct(), "pairs")
     texts = docs.select(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"), F.col(text).alias("text"))
-    sets, held = written(_sets(semi(texts, written(need, "need")[0], "t").dropDuplicates(["t"]), words), "sets")
-    both = pairs.join(sets.select(F.col("t").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("t").alias("b"), F.col("s").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    union = F.size("x") + F.size("y") - common
-    edges, _ = written(both.where((union == 0) | (common >= F.lit(similarity) * union)).select("a", "b"), "edges")
+    edges = _similar(pairs, texts, words, similarity)
+    more = _across(keys, components(edges), first, texts, words, similarity)
+    if not more.isEmpty():
+        edges = edges.unionByName(_similar(more, texts, words, similarity))
     groups = components(edges)
     whole = rows.select("doc_id", "t").join(groups.select(F.col("node").alias("t"), "component"), "t", "left").select("doc_id", F.coalesce("component", "t").alias("c"))
     out, _ = written(whole, "copies")
-    remove(docs.sparkSession, path, held)
+    remove(spark, path, at_first, at_keys, at_pairs)
     return out.join(out.groupBy("c").agg(F.min("doc_id").alias("component_id")), "c").select("doc_id", "component_id")
 
 

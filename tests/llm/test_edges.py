@@ -181,6 +181,18 @@ def test_rows_are_judged_by_their_own_text(spark):
         assert got == {(3, 1): 0, (3, 2): 0}  # the first of equal places
 
 
+def test_repeated_words_and_short_items(spark):
+    docs = [(1, "ha " * 3000), (2, "the quick fox"), (3, "a quick brown fox"), (4, "fox"), (5, "ha"), (6, "so ha ha ha it is"), (7, "ha " * 20_000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    tests = spark.createDataFrame([(1, "ha " * 400), (2, "quick fox"), (3, "FOX!"), (4, "brown fox quick a"), (5, "ha ha ha ha"), (6, "a quick brown fox")], "item_id long, text string")
+    want = {(1, 1): 0, (7, 1): 0, (2, 2): 1, (2, 3): 2, (3, 3): 3, (4, 3): 0, (3, 6): 0, (1, 5): 0, (7, 5): 0}
+    for seeds in (dc.BROADCAST_SEEDS, 0):
+        assert {(r.doc_id, r.item_id): r.doc_word for r in dc.contaminated(df, tests, broadcast_seeds=seeds).collect()} == want
+        assert sorted(r.doc_id for r in dc.decontaminate(df, tests.where("item_id = 2"), broadcast_seeds=seeds).collect()) == [1, 3, 4, 5, 6, 7]
+    with pytest.raises(ValueError):
+        dc.contaminated(df, tests, similarity=0.7)
+
+
 # --- op9, op10 ---------------------------------------------------------------------------------------------
 
 

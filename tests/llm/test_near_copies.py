@@ -3,6 +3,7 @@
 from collections import defaultdict
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 import corpus_pipeline as P
@@ -48,3 +49,37 @@ def test_edge_of_similarity(spark):
     other = [(10, " ".join(f"x{i}" for i in range(104))), (11, " ".join(f"x{i}" for i in range(83)))]
     got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(docs + other, "doc_id long, text string")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 6, 10: 10, 11: 11}
+
+
+@pytest.mark.parametrize("share", [0.64, 0.70])
+def test_pairs_inside_a_family(spark, share):
+    """1,200 texts of one template, whose mean similarity is ``share``, hold 600 pairs at some 0.82: none may be lost."""
+    import random
+
+    rnd = random.Random(7)
+    template = [f"t{i}" for i in range(400)]
+    texts = []
+    for n in range(600):
+        own = list(template)
+        for k, p in enumerate(rnd.sample(range(5, 395, 6), round(39.6 * (1 - share) / (1 + share)))):  # each takes five shingles
+            own[p] = f"x{n}_{k}"
+        other = list(own)
+        at = rnd.randrange(0, 360)
+        other[at : at + 35] = [f"y{n}_{i}" for i in range(35)]
+        texts += [" ".join(own), " ".join(other)]
+    rows = list(enumerate(texts))
+    s = [shingles(t) for t in texts]
+    jaccard = lambda a, b: len(s[a] & s[b]) / len(s[a] | s[b])
+    assert all(0.8 <= jaccard(2 * n, 2 * n + 1) < 0.89 for n in range(600))
+    some = [jaccard(*rnd.sample(range(0, 1200, 2), 2)) for _ in range(500)]
+    assert abs(sum(some) / 500 - share) < 0.06
+    number = {x: k for k, x in enumerate({x for t in s for x in t})}
+    held = np.zeros((len(s), len(number)), dtype=np.float32)
+    for i, t in enumerate(s):
+        held[i, [number[x] for x in t]] = 1
+    common, size = held @ held.T, held.sum(axis=1)
+    i, j = np.nonzero(np.triu(common >= 0.8 * (size[:, None] + size - common), 1))
+    want = union_find(range(1200), list(zip(i.tolist(), j.tolist())))
+    assert len(i) >= 600 and len(set(want.values())) > 500
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
