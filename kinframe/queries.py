@@ -18,7 +18,7 @@ from kinframe.operators import clips as CL
 from kinframe.operators import diagnostics, filters, grouping, pairs, ranking, results
 from kinframe.plans.engine import MediaEngine
 from kinframe.sources import driver_tables as D
-from kinframe.sources import files, probe
+from kinframe.sources import adapters, files, probe
 from kinframe.streaming import catalog_stream as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -803,6 +803,21 @@ def enumeration_reasons(spark, d):
     return filters.with_reason(D.catalog(spark, d), ScanConfig(whole_catalog=True), enumeration=True).select("id", "reason")
 
 
+@query(
+    """WITH c AS (SELECT p_partkey AS id, 'p' || p_partkey AS path, CAST(p_size * 7 AS DOUBLE) AS duration_s, p_partkey % 6 = 5 AS is_image, CASE WHEN p_partkey % 11 = 0 THEN 4 ELSE 0 END AS flags FROM part),
+a AS (SELECT DISTINCT path, unnest(CASE WHEN is_image THEN [CAST(0 AS BIGINT)] ELSE list_transform([0.25, 0.5, 0.75], lambda x: CAST(round(least(duration_s, 120.0) * x * 1000000) AS BIGINT)) END) AS at_us FROM c WHERE flags & 12 = 0),
+f AS (SELECT path, unnest(CASE WHEN id % 3 = 0 THEN [CAST(round(duration_s * 500000) AS BIGINT), CAST(round(duration_s * 250000) AS BIGINT)] ELSE [CAST(0 AS BIGINT)] END) AS at_us FROM c WHERE id % 2 = 0)
+SELECT path, at_us FROM a WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.path = a.path AND f.at_us = a.at_us)"""
+)
+def missing_positions(spark, d):
+    """What a scan of three positions within two minutes must still decode, after one of two positions of some files without a limit."""
+    k = F.col("p_partkey")
+    c = D.table(spark, d, "part").select(k.alias("id"), F.concat(F.lit("p"), k.cast("string")).alias("path"), (F.col("p_size") * 7).cast("double").alias("duration_s"), (k % 6 == 5).alias("is_image"), F.when(k % 11 == 0, 4).otherwise(0).alias("flags"))
+    at = lambda x: F.round(F.col("duration_s") * x).cast("long")
+    known = c.where("id % 2 = 0").select("path", F.explode(F.when(F.col("id") % 3 == 0, F.array(at(500_000), at(250_000))).otherwise(F.array(F.lit(0).cast("long")))).alias("at_us"))
+    return adapters.missing_positions(c, known, ScanConfig(positions=3, max_sampling_s=120.0))
+
+
 @query(f"{CATALOG} SELECT id, flags & 4 <> 0 AS skipped, false AS retried, id % 3 <> 0 AND id % 5 <> 0 AS whole FROM catalog")
 def gathering(spark, d):
     c = D.catalog(spark, d)

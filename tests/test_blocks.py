@@ -168,4 +168,56 @@ def test_gathering_sets_flags(spark):
     assert {p: r.flags for p, r in got.items()} == {"/a": 128, "/b": 8, "/c": 4, "/d": 4, "/e": 8, "/f": 16 | 32}
     assert len(got["/a"].frames) == 3 and got["/c"].frames is None
     again = {r.path: r.flags for r in adapters.gather(df, decode, ScanConfig(retry_errors=True)).collect()}
+    # frames of which one is dark don't flag a file, as long as another isn't
+    mixed = lambda path, positions: adapters.Decoded(None, [bytes([0 if k % 2 else 90] * 1024) for k, _ in enumerate(positions)], [1])
+    assert {r.flags for r in adapters.gather(df.where("flags = 0"), mixed, ScanConfig(positions=3)).collect()} == {0}
     assert again == {"/a": 128, "/b": 8, "/c": 0, "/d": 4, "/e": 0, "/f": 48}
+
+
+def test_only_missing_positions_are_decoded(spark, tmp_path):
+    log = str(tmp_path / "calls")
+
+    def decode(path, seconds):
+        with open(log, "a") as f:
+            f.write(f"{path} {seconds}\n")
+        if path == "/bad":
+            raise adapters.FrameError
+        return [None if path == "/gap" and s > 60 else bytes([0 if path == "/dark" or (path == "/later" and s > 60) else 90] * 1024) for s in seconds]
+
+    def calls():
+        import os
+
+        lines = open(log).read().splitlines() if os.path.exists(log) else []
+        open(log, "w").close()
+        return sorted(lines)
+
+    files = [("/a", 0, 100.0, False), ("/dark", 0, 100.0, False), ("/later", 0, 100.0, False), ("/bad", 0, 50.0, False), ("/gap", 0, 80.0, False), ("/pic", 0, 0.0, True), ("/err", 4, 9.0, False), ("/none", 0, None, False)]
+    c = spark.createDataFrame(files, "path string, flags int, duration_s double, is_image boolean")
+    none = spark.createDataFrame([], "path string, at_us long, frame binary, phash long")
+    one, got = adapters.gather_missing(c, none, decode, ScanConfig(positions=1))
+    assert calls() == ["/a [50.0]", "/bad [25.0]", "/dark [50.0]", "/gap [40.0]", "/later [50.0]", "/pic [0.0]"]
+    assert {r.path: r.flags for r in one.collect()} == {"/a": 0, "/dark": 16, "/later": 0, "/bad": 4, "/gap": 0, "/pic": 0, "/err": 4, "/none": 0}
+    assert sorted((r.path, r.at_us, r.phash is not None) for r in got.collect()) == [("/a", 50_000_000, True), ("/dark", 50_000_000, True), ("/gap", 40_000_000, True), ("/later", 50_000_000, True), ("/pic", 0, True)]
+    assert calls() == []  # results are read, not decoded again
+    two, more = adapters.gather_missing(one, got, decode, ScanConfig(positions=3))
+    assert calls() == ["/a [25.0, 75.0]", "/dark [25.0, 75.0]", "/gap [20.0, 60.0]", "/later [25.0, 75.0]"]
+    assert {r.path: r.flags for r in two.collect()}["/later"] == 0 and more.count() == 13
+    same, _ = adapters.gather_missing(two, more, decode, ScanConfig(positions=3))
+    assert calls() == [] and same.count() == 8
+    adapters.gather_missing(same, more, decode, ScanConfig(positions=1, max_sampling_s=40.0, retry_errors=True))
+    assert calls() == ["/a [20.0]", "/bad [20.0]", "/dark [20.0]", "/err [4.5]", "/later [20.0]"]  # /gap has that place
+
+
+def test_any_position_can_reject(spark):
+    """The quick gate tests every position: one that is over 32 bits rejects, one that lacks a hash is passed over."""
+    base = {"lo": 0, "hi": 0, "duration_s": 100.0, "size": 1, "width": 1, "height": 1, "folder": "/m", "is_image": False}
+    far = (1 << 33) - 1
+    hashes = {1: [0, 0, 0], 2: [0, 0, far], 3: [0, None, 3], 4: [far, 0, 0], 5: [0, 0], 6: None}
+    rows = [{"id": i, "path": f"/m/{i}", "file_id": i, "hashes": h, "frames": [[7] * 64] * 3, **base} for i, h in hashes.items()]
+    df = spark.createDataFrame(rows, "id long, path string, file_id long, hashes array<long>, frames array<array<int>>, lo long, hi long, duration_s double, size long, width int, height int, folder string, is_image boolean")
+    found = pairs.all_matches(df, ScanConfig(whole_catalog=True, positions=3))
+    got = {(r.a.id, r.b.id) for r in found.select("a", "b").collect()}
+    near = lambda x, y: all(p is None or q is None or (p ^ q).bit_count() <= 32 for p, q in (zip(x, y) if x and y and len(x) == len(y) else [((x or [None])[0], (y or [None])[0])]))
+    assert got == {(i, j) for i in hashes for j in hashes if i < j and near(hashes[i], hashes[j])}
+    assert (1, 2) not in got
+    assert (1, 3) in got and (1, 4) not in got and (1, 5) in got and (1, 6) in got
