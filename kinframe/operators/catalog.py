@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from kinframe.functions import kernels as K
 
@@ -92,17 +97,67 @@ def browse(catalog: DataFrame, folder: str, roots: tuple[str, ...]) -> DataFrame
     return below.groupBy(F.get("s", F.lit(0)).alias("name"), (F.size("s") > 1).alias("is_folder")).agg(F.count(F.lit(1)).alias("files"))
 
 
-def save(catalog: DataFrame, path: str) -> None:
-    """A snapshot; the commit protocol makes it whole or absent."""
-    catalog.write.mode("overwrite").parquet(path)
+def _files(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """The committed versions of a catalog, oldest first."""
+    fs, p = _files(spark, path)
+    if not fs.exists(p):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(p)]
+    return sorted(n[len("manifest-") :] for n in names if n.startswith("manifest-"))
 
 
-def load(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def save(catalog: DataFrame, path: str, keep: int = 2) -> str:
+    """Writes the catalog as a new version under ``path`` and commits it; the name of the version.
+
+    A version is a folder of Parquet parts; the manifest that names it, and holds its columns, is written last, to a name
+    of its own that is then renamed, so a write that fails leaves the version before it in place, whole. The last ``keep`` versions
+    stay; folders without a manifest, and older ones, go once the commit is done.
+    """
+    spark = catalog.sparkSession
+    name = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    catalog.write.parquet(f"{path}/version-{name}")
+    fs, root = _files(spark, path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    out = fs.create(hadoop.Path(f"{path}/pending-{name}"))
+    out.writeBytes(catalog.schema.json())
+    out.close()
+    if not fs.rename(hadoop.Path(f"{path}/pending-{name}"), hadoop.Path(f"{path}/manifest-{name}")):
+        raise OSError(f"can't commit {path}/manifest-{name}")
+    good = set(versions(spark, path)[-keep:])
+    for s in fs.listStatus(root):
+        kind, _, of = s.getPath().getName().partition("-")
+        if kind in ("manifest", "version", "pending") and of not in good and of <= name:
+            fs.delete(s.getPath(), True)
+    return name
+
+
+def load(spark: SparkSession, path: str, version: str | None = None) -> DataFrame:
+    """The last committed version (or the one named); parts that can't be read are left out, see damaged()."""
+    known = versions(spark, path)
+    if not known or (version and version not in known):
+        raise FileNotFoundError(f"no committed version in {path}")
+    name = version or known[-1]
+    columns = StructType.fromJson(json.loads(spark.read.text(f"{path}/manifest-{name}", wholetext=True).first()[0]))
+    return spark.read.schema(columns).option("ignoreCorruptFiles", "true").parquet(f"{path}/version-{name}")
+
+
+def damaged(spark: SparkSession, path: str) -> DataFrame:
+    """(file) of the last version's parts of which no row can be read: what load() leaves out, for the quarantine."""
+    last = f"{path}/version-{versions(spark, path)[-1]}"
+    name = lambda c: F.element_at(F.split(c, "/"), -1).alias("file")
+    parts = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(last).where("length > 0").select(name(F.col("path")))
+    read = load(spark, path).select(name(F.col("_metadata.file_path"))).distinct()
+    return parts.join(read, "file", "left_anti")
 
 
 def append_dirty(catalog: DataFrame, path: str) -> None:
-    dirty_rows(catalog).write.mode("append").parquet(path)
+    """Adds the changed rows to the last version: later rows of a path stand for earlier ones until compact()."""
+    dirty_rows(catalog).write.mode("append").parquet(f"{path}/version-{versions(catalog.sparkSession, path)[-1]}")
 
 
 def export_json(catalog: DataFrame, path: str) -> None:

@@ -75,17 +75,21 @@ def sort_key(items: DataFrame, name: str, checked: str | None = None) -> DataFra
     return items.withColumn("sort_value", values.get(column, F.col(column)))
 
 
-def sort_items(items: DataFrame, name: str | None, checked: str | None = None) -> DataFrame:
-    """One of the 17 orders (None: by group); rows of a group stay together, ties go by group and path."""
+def sorted_places(items: DataFrame, name: str | None, checked: str | None = None) -> DataFrame:
+    """items with ``place`` (from 0) in one of the 17 orders (None: by group): groups stay together, led by their best row.
+
+    Ties go by group, then path. Rows are numbered by range partitions, so no task sorts everything.
+    """
+    from .ranking import global_rank
+
     if name is None:
-        return items.orderBy("group_id", "path")
+        return global_rank(items, [F.col("group_id"), F.col("path")], "place")
     falls = SORTS[name][1]
-    keyed = sort_key(items, name, checked)
     w = Window.partitionBy("group_id")
-    lead = F.max("sort_value").over(w) if falls else F.min("sort_value").over(w)
-    keyed = keyed.withColumn("_lead", lead)
+    keyed = sort_key(items, name, checked)
+    keyed = keyed.withColumn("_lead", (F.max if falls else F.min)("sort_value").over(w))
     way = (lambda c: F.col(c).desc()) if falls else F.col
-    return keyed.orderBy(way("_lead"), "group_id", way("sort_value"), "path").drop("_lead", "sort_value")
+    return global_rank(keyed, [way("_lead"), F.col("group_id"), way("sort_value"), F.col("path")], "place").drop("_lead", "sort_value")
 
 
 def view_filter(items: DataFrame, term: str | None = None, kind: str = "all", low: float = 0, high: float = 100, checked_groups: bool = False) -> DataFrame:

@@ -561,7 +561,11 @@ def page_groups(spark, d):
     return results.page_groups(D.ranked_items(spark, d), 3, 25).select("group_id", "path", "similarity")
 
 
-_SORTED = {"size_desc": "size", "group_size_asc": "count(*) OVER (PARTITION BY group_id)", "group_total_desc": "CAST(sum(size) OVER (PARTITION BY group_id) AS BIGINT)", "group_checked_desc": "max(CAST(is_image AS INTEGER)) OVER (PARTITION BY group_id)"}
+#: What each order sorts by, in SQL; each rises and falls.
+_SORTED = {
+    "size": "size", "resolution": "frame_size", "duration": "duration_s", "date": "date_created", "similarity": "similarity", "group_size": "count(*) OVER (PARTITION BY group_id)",
+    "group_total": "CAST(sum(size) OVER (PARTITION BY group_id) AS BIGINT)", "group_checked": "max(CAST(is_image AS INTEGER)) OVER (PARTITION BY group_id)",
+}
 
 
 def _sort(name: str, value: str) -> None:
@@ -569,18 +573,20 @@ def _sort(name: str, value: str) -> None:
     lead = "max" if way else "min"
 
     def run(spark, d):
-        x = results.sort_key(D.ranked_items(spark, d), name, "is_image")
-        w = Window.partitionBy("group_id")
-        x = x.withColumn("lead", (F.max if way else F.min)("sort_value").over(w))
-        c = lambda n: F.col(n).desc() if way else F.col(n)
-        return ranking.global_rank(x, [c("lead"), F.col("group_id"), c("sort_value"), F.col("path")], "place").select("path", "place")
+        return results.sorted_places(D.ranked_items(spark, d), name, "is_image").select("path", "place")
 
     run.__name__ = f"sort_{name}"
     query(f"{RANKED}, v AS (SELECT *, {value} AS v FROM ranked), l AS (SELECT *, {lead}(v) OVER (PARTITION BY group_id) AS lead FROM v) SELECT path, row_number() OVER (ORDER BY lead {way}, group_id, v {way}, path) - 1 AS place FROM l")(run)
 
 
 for _name, _value in _SORTED.items():
-    _sort(_name, _value)
+    for _way in ("asc", "desc"):
+        _sort(f"{_name}_{_way}", _value)
+
+
+@query(f"{RANKED} SELECT path, row_number() OVER (ORDER BY group_id, path) - 1 AS place FROM ranked")
+def sort_none(spark, d):
+    return results.sorted_places(D.ranked_items(spark, d), None).select("path", "place")
 
 
 @query(f"{RANKED} SELECT group_id, path FROM ranked WHERE group_id IN (SELECT group_id FROM ranked WHERE path LIKE '%-7-%')")
@@ -656,7 +662,8 @@ def results_json(spark, d):
 @query(
     f"""{TOLD}, b AS (SELECT *, {_FIRST} AS im FROM told), c AS (SELECT *, (NOT im AND bitrate_kbps = max(bitrate_kbps) OVER w) OR frame_size = max(frame_size) OVER w AS best FROM b WINDOW w AS (PARTITION BY group_id)),
 g AS (SELECT group_id, count(*) AS n, row_number() OVER (ORDER BY group_id) AS no FROM told GROUP BY group_id)
-SELECT group_id, 0 AS place, printf('Group %d (%d files):', no, n) AS line FROM g UNION ALL
+SELECT CAST(NULL AS BIGINT) AS group_id, 0 AS place, printf('Found %d duplicate group(s), %d total file(s).', (SELECT count(*) FROM g), (SELECT count(*) FROM told)) AS line UNION ALL SELECT NULL, 1, '' UNION ALL
+SELECT group_id, 0, printf('Group %d (%d files):', no, n) FROM g UNION ALL SELECT group_id, CAST(n + 1 AS INTEGER), '' FROM g UNION ALL
 SELECT group_id, CAST(row_number() OVER (PARTITION BY group_id ORDER BY similarity DESC, path) AS INTEGER), printf('  %6.1f%%  ', CAST(similarity AS DOUBLE)) || path || CASE WHEN best THEN ' [best]' ELSE '' END || CASE WHEN offset_s > 0 THEN ' [partial clip @ ' || {_CLOCK.format('offset_s')} || ']' ELSE '' END
   || chr(10) || '         ' || frame_size || ', ' || coalesce(format, '?') || CASE WHEN is_image THEN '' ELSE printf(', %.2f fps, ', CAST(fps AS DOUBLE)) || bitrate_kbps || ' kbps, ' || {_CLOCK.format('duration_s')} END FROM c"""
 )

@@ -131,7 +131,10 @@ def write_lines(lines: DataFrame, order: list[str], path: str, header: tuple[str
 
 
 def text_report(items: DataFrame) -> DataFrame:
-    """(group_id, place, line): numbered groups with a head line (place 0), items by falling similarity, each with a line of details."""
+    """(group_id, place, line): numbered groups with a head line (place 0), items by falling similarity, each with a line of details, a blank line.
+
+    Two rows without a group_id come before all: how many groups and files there are, and a blank line.
+    """
     from pyspark.sql import Window
 
     w = Window.partitionBy("group_id")
@@ -145,7 +148,11 @@ def text_report(items: DataFrame) -> DataFrame:
     line = F.concat(F.format_string("  %6.1f%%  ", F.col("similarity").cast("double")), F.col("path"), best, clip)
     about = F.concat(F.lit(" " * 9), _or(items, "frame_size", "?"), F.lit(", "), _or(items, "format", "?"))
     about = F.when(F.col("is_image"), about).otherwise(F.concat(about, F.format_string(", %.2f fps, ", F.col("fps").cast("double")), F.col("bitrate_kbps").cast("string"), F.lit(" kbps, "), _duration(F.col("duration_s"))))
-    return heads.unionByName(rows.select("group_id", "place", F.concat(line, F.lit("\n"), about).alias("line")))
+    found = size.agg(F.count(F.lit(1)).alias("g"), F.coalesce(F.sum("n"), F.lit(0)).alias("f"))
+    top = found.select(F.posexplode(F.array(F.format_string("Found %d duplicate group(s), %d total file(s).", "g", "f"), F.lit(""))).alias("place", "line"))
+    top = top.select(F.lit(None).cast(items.schema["group_id"].dataType).alias("group_id"), "place", "line")
+    blank = size.select("group_id", (F.col("n") + 1).cast("int").alias("place"), F.lit("").alias("line"))
+    return top.unionByName(heads).unionByName(rows.select("group_id", "place", F.concat(line, F.lit("\n"), about).alias("line"))).unionByName(blank)
 
 
 def blacklist(texts: DataFrame, column: str = "value") -> DataFrame:
