@@ -73,7 +73,7 @@ def graph(rnd, n, m, spread):
     return hashes, [(a, b, round(rnd.random(), 3), rnd.random() < 0.3) for a, b in sorted(pairs)]
 
 
-@pytest.mark.parametrize(("n", "m", "per_task"), [(40, 70, 10), (200, 1500, 300)])
+@pytest.mark.parametrize(("n", "m", "per_task"), [(40, 70, 30), (200, 1500, 300)])
 def test_reservations_equal_the_order(spark, n, m, per_task):
     hashes, pairs = graph(random.Random(n), n, m, 8)
     want = sequential(hashes, pairs, HASH)
