@@ -6,7 +6,7 @@ import json
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -69,14 +69,19 @@ def clean(catalog: DataFrame) -> DataFrame:
     return catalog.where(F.col("on_disk") & ~K.has_any(F.col("flags"), bad))
 
 
-def rename(catalog: DataFrame, old: str, new: str) -> DataFrame:
-    return catalog.withColumn("path", F.when(F.col("path") == old, F.lit(new)).otherwise(F.col("path")))
+def _is(which: str | Column) -> Column:
+    return F.col("path") == which if isinstance(which, str) else which
 
 
-def exclude_path(catalog: DataFrame, path: str) -> DataFrame:
-    """Marks one path as excluded by hand."""
+def rename(catalog: DataFrame, which: str | Column, new: str) -> DataFrame:
+    """Gives the row of a path (or those that a condition names) another path."""
+    return catalog.withColumn("path", F.when(_is(which), F.lit(new)).otherwise(F.col("path")))
+
+
+def exclude_path(catalog: DataFrame, which: str | Column) -> DataFrame:
+    """Marks one path (or the rows that a condition names) as excluded by hand."""
     flags = F.col("flags")
-    return catalog.withColumn("flags", F.when(F.col("path") == path, K.with_flag(flags, K.FLAGS["manually_excluded"])).otherwise(flags))
+    return catalog.withColumn("flags", F.when(_is(which), K.with_flag(flags, K.FLAGS["manually_excluded"])).otherwise(flags))
 
 
 def forget_image_hashes(catalog: DataFrame, columns: tuple[str, ...] = ("frames", "phashes")) -> DataFrame:

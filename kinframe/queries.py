@@ -175,12 +175,19 @@ def all_gates(spark, d):
     return ids(pairs.all_matches(x, CONFIG), "difference")
 
 
-@query(f"{ITEMS} SELECT a.id AS a_id, b.id AS b_id, CAST({_DIST} AS INTEGER) AS distance, a.is_image = b.is_image AS gate_kind, {_DIST} <= 32 AS gate_quick, b.size BETWEEN trunc(a.size * 0.5) AND trunc(a.size * 1.5) AS gate_size, a.file_id <> b.file_id AS gate_hard_link FROM items a JOIN items b ON a.src = b.src AND a.id < b.id")
+@query(
+    f"""{ITEMS}, p AS (SELECT a.id AS a_id, b.id AS b_id, CAST({_DIST} AS INTEGER) AS distance, {_SAD} AS difference, a.is_image = b.is_image AS gate_kind, {_DIST} <= 32 AS gate_quick, a.is_image OR abs(a.duration_s - b.duration_s) <= least(a.duration_s * 0.2, b.duration_s * 0.2) AS gate_duration,
+  b.size BETWEEN trunc(a.size * 0.5) AND trunc(a.size * 1.5) AS gate_size, least(a.width, b.width) >= greatest(a.width, b.width) // 2 AND least(a.height, b.height) >= greatest(a.height, b.height) // 2 AS gate_resolution, true AS gate_folder, a.file_id <> b.file_id AS gate_hard_link FROM items a JOIN items b ON a.id < b.id AND (a.src = b.src OR a.src + 1 = b.src)),
+m AS (SELECT *, CAST(difference AS FLOAT) <= CAST(1 AS FLOAT) - CAST(96 AS FLOAT) / CAST(100 AS FLOAT) AS metric_ok FROM p)
+SELECT * REPLACE (round(difference, 6) AS difference), CASE WHEN gate_kind AND gate_quick AND gate_duration AND gate_size AND gate_resolution AND gate_hard_link AND metric_ok THEN 'match' ELSE 'no match: ' || concat_ws(', ', CASE WHEN NOT gate_kind THEN 'kind' END, CASE WHEN NOT gate_quick THEN 'quick' END, CASE WHEN NOT gate_duration THEN 'duration' END,
+  CASE WHEN NOT gate_size THEN 'size' END, CASE WHEN NOT gate_resolution THEN 'resolution' END, CASE WHEN NOT gate_hard_link THEN 'hard_link' END, CASE WHEN NOT metric_ok THEN 'metric' END) END AS verdict FROM m"""
+)
 def explain_pair(spark, d):
+    """Every item with its clone and with the items after it."""
     x = D.items(spark, d)
     s = F.struct(*x.columns)
-    both = x.select("src", s.alias("a")).join(x.select("src", s.alias("b")), "src").where("a.id < b.id").select("a", "b")
-    return diagnostics.explain_pairs(both, CONFIG).select("a_id", "b_id", "distance", "gate_kind", "gate_quick", "gate_size", "gate_hard_link")
+    near = x.select(F.explode(F.array("src", F.col("src") + 1)).alias("k"), s.alias("a")).join(x.select(F.col("src").alias("k"), s.alias("b")), "k")
+    return diagnostics.explain_pairs(near.where("a.id < b.id").select("a", "b"), CONFIG)
 
 
 POSITIONS = f"""{ITEMS}, pos AS (SELECT id // 4 AS g, list(lo ORDER BY id) AS lo, list(hi ORDER BY id) AS hi, list(frame ORDER BY id) AS f FROM base GROUP BY id // 4 HAVING count(*) = 4),
@@ -880,8 +887,8 @@ def union_roots(spark, d):
 def catalog_edits(spark, d):
     """One path renamed, one excluded by hand."""
     c = D.catalog(spark, d)
-    at = lambda k: c.where(F.col("id") == k).select("path").first()[0]
-    return C.exclude_path(C.rename(c, at(5), "/new/name"), at(7)).select("id", "path", "flags")
+    named = lambda k: F.col("id") == k
+    return C.exclude_path(C.rename(c, named(5), "/new/name"), named(7)).select("id", "path", "flags")
 
 
 @query(f"{CATALOG} SELECT id, path, version FROM catalog UNION ALL SELECT id, path, version FROM catalog WHERE version % 3 = 0")
@@ -923,15 +930,19 @@ def sampling_times(spark, d):
 
 
 @query(
-    f"""{VIDEOS}, both_ AS (SELECT a.id AS source_id, b.id AS clip_id, b.duration_s / a.duration_s AS ratio, len(b.fp) < len(a.fp) AS length_ok FROM videos a JOIN videos b ON a.id + 1000 = b.id OR (a.id = b.id - 1003 AND b.id >= 1000))
-SELECT source_id, clip_id, round(ratio, 6) AS ratio, ratio >= 0.1 AND ratio < 0.95 AS ratio_ok, length_ok FROM both_"""
+    f"""{VIDEOS}, both_ AS (SELECT a.id AS source_id, b.id AS clip_id, a.fp AS x, b.fp AS y, b.duration_s / a.duration_s AS ratio, len(b.fp) < len(a.fp) AS length_ok FROM videos a JOIN videos b ON b.id % 2 = 1 AND (a.id = b.id - 1 OR a.id = b.id - 7)),
+places AS (SELECT *, unnest(range(0, len(x) - len(y) + 1)) AS o FROM both_), differ AS (SELECT *, list_sum(list_transform(range(1, len(y) + 1), lambda i: bit_count(xor(y[i], x[i + o])))) AS bits FROM places),
+ranks AS (SELECT *, row_number() OVER (PARTITION BY source_id, clip_id ORDER BY bits, o) AS rn, ratio >= 0.1 AND ratio < 0.95 AS ratio_ok, bits <= floor(CAST(CAST(1 AS FLOAT) - CAST(0.8 AS FLOAT) AS FLOAT) * len(y) * 32) AS similarity_ok FROM differ)
+SELECT source_id, clip_id, round(ratio, 6) AS ratio, ratio_ok, true AS duration_ok, length_ok, round(1.0 - bits / (len(y) * 32), 6) AS similarity, CAST(o AS INTEGER) AS offset_s, similarity_ok,
+  CASE WHEN ratio_ok AND length_ok AND similarity_ok THEN 'clip' ELSE 'no clip: ' || concat_ws(', ', CASE WHEN NOT ratio_ok THEN 'ratio' END, CASE WHEN NOT length_ok THEN 'length' END, CASE WHEN NOT similarity_ok THEN 'similarity' END) END AS verdict FROM ranks WHERE rn = 1"""
 )
 def explain_clips(spark, d):
+    """Every clip with its own source and with the one three before it."""
     x = videos(spark, d)
     s = F.struct("id", "duration_s", "fp")
-    clips = x.where("id >= 1000").select(s.alias("c"))
-    both = x.select(s.alias("s")).join(clips.select("c", F.explode(F.array(F.col("c.id") - 1000, F.col("c.id") - 1003)).alias("k")), F.col("s.id") == F.col("k"))
-    return diagnostics.explain_clip(both).select("source_id", "clip_id", "ratio", "ratio_ok", "length_ok")
+    clips = x.where("id % 2 = 1").select(s.alias("c"))
+    both = x.select(s.alias("s")).join(clips.select("c", F.explode(F.array(F.col("c.id") - 1, F.col("c.id") - 7)).alias("k")), F.col("s.id") == F.col("k"))
+    return diagnostics.explain_clip(both).withColumn("similarity", F.round("similarity", 6))
 
 
 def queries() -> dict[str, Query]:

@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CLONE = 1_000_000
+#: What a clone's id is more than its source's: beyond any id of the tables.
+CLONE = 1 << 40
 SIDE = 8
 
 
