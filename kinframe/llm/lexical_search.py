@@ -216,9 +216,12 @@ def ranked(docs: DataFrame, items: DataFrame, top: int = 10, key: str = "doc_id"
             ends = np.concatenate(([0], np.cumsum([len(x) for x in who])))
             places = np.array([p for x in who for p in x], dtype=np.int64)
             run = _accumulate((ends, places), weights, np.array([k for k, _ in some], dtype=np.int64), total["n"], total["l"], top, schema)
-            best = postings.mapInArrow(run, kind).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+            # written first: a range partitioning reads its input twice
+            best, at_best = written(postings.mapInArrow(run, kind), "candidates")
+            best = best.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
             best = best.repartitionByRange(parts(docs), "item", "part").select("item", "score", "doc_id").mapInArrow(_select(top, schema), kind)
             best, _ = written(best.repartitionByRange(parts(docs), "item").mapInArrow(_select(top, schema), kind), "best")
+            remove(spark, at_best)
             out = best if out is None else out.unionByName(best)
         remove(spark, at_postings)
     if out is None:
