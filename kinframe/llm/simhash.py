@@ -8,7 +8,7 @@ fingerprints, and prefixes that hold more than a task should are made longer, fo
 near_copies() and one_of_each() go by the Jaccard similarity of shingle sets instead: a similarity of 0.8 is some 10
 bits, which no affordable ball reaches, so pairs meet in bands of minimum hashes, and op7's links are only added to
 them. Each text is held against three hubs of each of its bands first. What a band still holds of different groups is
-compared in full, in blocks: sketches refuse what can't be similar, the shingle sets decide the rest.
+compared in full, in blocks: sketches refuse what can't be similar, the shingle sets decide the rest there.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ TOGETHER = 2_000_000
 BANDS, BAND = 20, 4
 #: Minimum hashes of a sketch, a byte each, and standard deviations below its mean at which a pair of the asked similarity is refused (1e-9).
 SKETCH, DEVIATIONS = 512, 6
-#: Texts of a block under a band.
-MET = 256
+#: Texts of a block under a band, and shingles up to which their sets go along, so that pairs are decided there.
+MET, SMALL = 256, 4096
 
 
 def shingles(text: str | None, words: int) -> Iterator[np.ndarray]:
@@ -276,12 +276,12 @@ def _sets(texts: DataFrame, words: int) -> DataFrame:
 
 
 def _sketches(texts: DataFrame, words: int) -> DataFrame:
-    """(t, n, sketch) of rows (t, text): how many shingles, and SKETCH minimum hashes of them, a byte each."""
+    """(t, n, sketch, s) of rows (t, text): how many shingles, SKETCH minimum hashes of them, a byte each, and the set itself if it is SMALL."""
     mul, add = np.random.default_rng(43).integers(0, 1 << 64, (2, SKETCH, 1), dtype=np.uint64)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            n, out = [], []
+            n, out, small = [], [], []
             for x in b["text"]:
                 found = shingle_set(list(shingles(x, words)))
                 low = np.full(SKETCH, np.iinfo(np.uint64).max, dtype=np.uint64)
@@ -289,14 +289,25 @@ def _sketches(texts: DataFrame, words: int) -> DataFrame:
                     low = np.minimum(low, (found[i : i + 512] * (mul | np.uint64(1)) + add).min(axis=1))
                 n.append(len(found))
                 out.append((low >> np.uint64(40)).astype(np.uint8).tobytes())
-            yield pd.DataFrame({"t": b["t"], "n": pd.Series(n, dtype="int64"), "sketch": pd.Series(out, dtype="object")})
+                small.append(found.view(np.int64) if len(found) <= SMALL else None)
+            yield pd.DataFrame({"t": b["t"], "n": pd.Series(n, dtype="int64"), "sketch": pd.Series(out, dtype="object"), "s": pd.Series(small, dtype="object")})
             release()
 
-    return texts.mapInPandas(each, "t long, n long, sketch binary")
+    return texts.mapInPandas(each, "t long, n long, sketch binary, s array<long>")
 
 
-def _refused(similarity: float):
-    """Over rows (k, same, x, y) of a band's blocks: the pairs of different groups that may be similar, each where its first common band is."""
+def _common(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many members of the sorted set x each of the others has."""
+    flat = np.concatenate(others)
+    hit = x[np.minimum(np.searchsorted(x, flat), len(x) - 1)] == flat
+    return np.add.reduceat(hit, np.cumsum([0, *(len(y) for y in others[:-1])]), dtype=np.int64)
+
+
+def _compared(similarity: float):
+    """Over rows (k, same, x, y) of a band's blocks: pairs of different groups, each where its first common band is.
+
+    (a, b, sure): pairs of small sets that are similar, and pairs with a larger set that a sketch doesn't refuse.
+    """
     p = similarity + (1 - similarity) / 256  # unlike minimum hashes may share a byte
     least = SKETCH * p - DEVIATIONS * np.sqrt(SKETCH * p * (1 - p))
 
@@ -307,22 +318,35 @@ def _refused(similarity: float):
                     [np.array([r["t"] for r in s]), np.array([r["c"] for r in s]), np.array([r["n"] for r in s]), np.array([r["bands"] for r in s]), np.frombuffer(b"".join([r["sketch"] for r in s]), np.uint8).reshape(len(s), -1)]
                     for s in sides
                 )
+                sets, sets2 = ([None if r["s"] is None else np.asarray(r["s"]).view(np.uint64) for r in s] for s in sides)
                 may = (c[:, None] != c2) & (np.minimum(n[:, None], n2) >= similarity * np.maximum(n[:, None], n2))
                 if same:
                     may &= t[:, None] < t2
                 for e in range(int(k)):
                     may &= bands_[:, e][:, None] != bands2[:, e]
-                i, j = np.nonzero(may)
-                keep = np.concatenate([np.count_nonzero(sk[i[o : o + 8192]] == sk2[j[o : o + 8192]], axis=1) >= least for o in range(0, len(i), 8192)] or [np.empty(0, bool)])
-                a, b = t[i[keep]], t2[j[keep]]
-                yield pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+                a, b, sure = [], [], []
+                for i in np.flatnonzero(may.any(axis=1)).tolist():
+                    j = np.flatnonzero(may[i])
+                    j = j[np.count_nonzero(sk2[j] == sk[i], axis=1) >= least]
+                    small = [q for q in j.tolist() if sets[i] is not None and sets2[q] is not None]
+                    if small:
+                        common, q = _common(sets[i], [sets2[q] for q in small]), np.array(small)
+                        good = q[common >= similarity * (n[i] + n2[q] - common)].tolist()
+                    else:
+                        good = []
+                    large = sorted(set(j.tolist()) - set(small))
+                    a += [t[i]] * (len(good) + len(large))
+                    b += t2[good + large].tolist() if good or large else []
+                    sure += [True] * len(good) + [False] * len(large)
+                x, y = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+                yield pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "sure": np.array(sure, dtype=bool)})
             release()
 
     return run
 
 
 def _across(keys: DataFrame, groups: DataFrame, first: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(a, b): all pairs of texts that share a band, lie in different groups so far and may be similar.
+    """(a, b, sure): all pairs of texts that share a band, lie in different groups so far and are (or, where not sure, may be) similar.
 
     ``keys`` has (t, k, key). A group's members under a key go to blocks of their own if they are many, else to blocks
     that several groups share; blocks of one key meet, but not those of one group.
@@ -345,13 +369,13 @@ def _across(keys: DataFrame, groups: DataFrame, first: DataFrame, texts: DataFra
     pairs = places.join(other, "key").where((order(F.col("big"), F.col("block")) < order(F.col("big2"), F.col("block2"))) | (F.col("big").isNull() & F.col("big2").isNull() & (F.col("block") == F.col("block2"))))
     pairs = pairs.where(F.col("big").isNull() | F.col("big2").isNull() | (F.col("big") != F.col("big2")))
     rows = named.join(sketches, "t").join(first.select("t", "bands"), "t")
-    filled = rows.groupBy("key", "k", "big", "block").agg(F.collect_list(F.struct("t", "c", "n", "bands", "sketch")).alias("rows"))
+    filled = rows.groupBy("key", "k", "big", "block").agg(F.collect_list(F.struct("t", "c", "n", "bands", "sketch", "s")).alias("rows"))
     filled, at_filled = written(filled, "band-blocks")
     side = lambda n, big, block: filled.select("key", F.coalesce("big", F.lit(0)).alias(f"b{n}"), F.col("big").isNull().alias(f"n{n}"), F.col("block").alias(f"o{n}"), F.col("rows").alias(n), *(["k"] if n == "x" else []))
     met = pairs.select("key", F.coalesce("big", F.lit(0)).alias("bx"), F.col("big").isNull().alias("nx"), F.col("block").alias("ox"), F.coalesce("big2", F.lit(0)).alias("by"), F.col("big2").isNull().alias("ny"), F.col("block2").alias("oy"))
     met = met.join(side("x", "big", "block"), ["key", "bx", "nx", "ox"]).join(side("y", "big2", "block2"), ["key", "by", "ny", "oy"])
     met = met.select("k", (F.col("nx") & F.col("ny") & (F.col("ox") == F.col("oy"))).alias("same"), "x", "y")
-    out, _ = written(met.mapInPandas(_refused(similarity), "a long, b long").distinct(), "across")
+    out, _ = written(met.mapInPandas(_compared(similarity), "a long, b long, sure boolean").distinct(), "across")
     remove(spark, at_sizes, at_named, at_sketches, at_filled)
     return out
 
@@ -393,8 +417,9 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius
     texts = docs.select(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"), F.col(text).alias("text"))
     edges = _similar(pairs, texts, words, similarity)
     more = _across(keys, components(edges), first, texts, words, similarity)
-    if not more.isEmpty():
-        edges = edges.unionByName(_similar(more, texts, words, similarity))
+    edges = edges.unionByName(more.where("sure").select("a", "b"))
+    if not (large := more.where("NOT sure").select("a", "b")).isEmpty():
+        edges = edges.unionByName(_similar(large, texts, words, similarity))
     groups = components(edges)
     whole = rows.select("doc_id", "t").join(groups.select(F.col("node").alias("t"), "component"), "t", "left").select("doc_id", F.coalesce("component", "t").alias("c"))
     out, _ = written(whole, "copies")
