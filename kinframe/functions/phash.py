@@ -7,7 +7,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, LongType
 
 SIDE, BLOCK = 32, 8
 
@@ -50,3 +50,18 @@ def phash(frames: pd.Series) -> pd.Series:
     if ok.any():
         out[ok] = hash_frames(np.frombuffer(b"".join(bytes(x) for x in frames[ok]), dtype=np.uint8).reshape(int(ok.sum()), -1))
     return out
+
+
+@F.pandas_udf(ArrayType(LongType()))
+def mirrored_hashes(frames: pd.Series) -> pd.Series:
+    """Hashes of the mirrored frames of an array of binary ones, a position each; null for frames that aren't 32 x 32."""
+
+    def each(some):
+        if some is None:
+            return None
+        known = [bytes(f) if f is not None and len(f) == SIDE * SIDE else None for f in some]
+        whole = [np.frombuffer(f, dtype=np.uint8).reshape(SIDE, SIDE)[:, ::-1].ravel() for f in known if f]
+        made = iter(hash_frames(np.stack(whole)).tolist() if whole else [])
+        return [next(made) if f else None for f in known]
+
+    return frames.map(each)

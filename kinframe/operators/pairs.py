@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from kinframe.config import ScanConfig
 from kinframe.functions import kernels as K
+from kinframe.functions.phash import mirrored_hashes
 from kinframe.operators import blocks
 
 #: Keys that a hash asks for in one segment at the most, and what a key costs (it is shuffled) beside a comparison.
@@ -326,12 +327,15 @@ def all_matches(items: DataFrame, config: ScanConfig, side: int = 8) -> DataFram
 
     Images are compared by their frames in every mode. Videos are compared by frames too, or by hashes with
     use_phash: with ``hashes`` every position must be within the bits and the mean counts, else lo and hi decide.
-    A video without a hash is similar to nothing there, and a pair with unequal numbers of positions neither.
+    A video without a hash is similar to nothing there, and a pair with unequal numbers of positions neither. With
+    flipped, ``flipped_hashes`` (made of binary 32 x 32 ``frames`` if they aren't there) of a count too.
     """
     if "hashes" in items.columns:  # the first position's is the one that the quick gate tests
         first = F.get("hashes", F.lit(0))
         items = items.withColumns({"lo": first.bitwiseAND(F.lit(0xFFFFFFFF)), "hi": F.shiftrightunsigned(first, 32)})
     by_frame, by_hash = items, None
+    if config.use_phash and config.flipped and "flipped_hashes" not in items.columns and dict(items.dtypes).get("frames") == "array<binary>":
+        items = items.withColumn("flipped_hashes", mirrored_hashes("frames"))
     if config.use_phash:
         by_frame, by_hash = items.where("is_image"), items.where("NOT is_image")
     if config.blocking not in ("auto", "frames", "pigeonhole", "lsh"):

@@ -74,7 +74,7 @@ def read_results(texts: DataFrame, column: str = "value") -> DataFrame:
     return rows.select(F.explode(good).alias("i")).select(F.col("i.groupId").alias("group_id"), "i.path", F.col("i.sizeLong").alias("size"), "i.similarity", F.col("i.isImage").alias("is_image"))
 
 
-#: Columns of the two CSV exports, in their order.
+#: The columns of the two CSV exports, in their order.
 CSV_COLUMNS = ("GroupId", "Similarity", "Path", "Size", "Duration", "FrameSize", "Format", "Fps", "BitRateKbs", "AudioFormat", "DateCreated", "IsImage", "Flags", "PartialClipOffset")
 SHEET_COLUMNS = ("GroupId", "Path", "SizeBytes", "Duration", "Resolution", "Fps", "BitrateKbs", "AudioFormat", "AudioSampleRate", "Similarity", "DateCreated", "IsImage", "Checked")
 

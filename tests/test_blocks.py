@@ -105,7 +105,7 @@ def catalog(spark, rows, **more):
 
 def test_hashes_of_every_position_and_mirrored_ones(spark):
     """Videos go by all positions' hashes, images by frames; a missing hash matches nothing; mirrored hashes count if they are better."""
-    one, other = 0x0F0F0F0F0F0F0F0F, 0x123456789ABCDEF0
+    one, other = 0x0F0F0F0F0F0F0F0F, 0x0F0F0F0F0F0F0F0F ^ 0x3FFFFFF  # plain hashes of mirrored pairs must pass the quick gate, too
     far = one ^ 0xFFFF0000
     rows = [(1, [one, other], [far, far], False), (2, [one ^ 1, other ^ 3], [far, far], False), (3, [one, far], [far, other], False), (4, [one, None], [None, None], False), (5, [far, far], [other, other], False), (6, None, None, False), (7, [one, other, one], None, False)]
     df = spark.createDataFrame([(i, h, f, m, [b"\x10" * 64] * 2) for i, h, f, m in rows] + [(8, None, None, True, [b"\x40" * 64]), (9, None, None, True, [b"\x41" * 64])], "id long, hashes array<long>, flipped_hashes array<long>, is_image boolean, frames array<binary>")
@@ -221,3 +221,20 @@ def test_any_position_can_reject(spark):
     assert got == {(i, j) for i in hashes for j in hashes if i < j and near(hashes[i], hashes[j])}
     assert (1, 2) not in got
     assert (1, 3) in got and (1, 4) not in got and (1, 5) in got and (1, 6) in got
+
+
+def test_mirrored_hashes_are_made_of_frames(spark):
+    """A video and its mirror image are found by hashes with flipped, though the caller brings no mirrored hashes."""
+    from kinframe.functions.phash import hash_frames
+
+    rnd = np.random.default_rng(8)
+    bits = lambda x, y: int(np.bitwise_count(hash_frames(np.stack([x.ravel(), y.ravel()])).view(np.uint64)[:1] ^ hash_frames(np.stack([x.ravel(), y.ravel()])).view(np.uint64)[1:])[0])
+    made = (np.kron(rnd.integers(0, 256, (8, 8)), np.ones((4, 4))).astype(np.uint8) for _ in range(200))
+    a = [f for f in made if 10 < bits(f, f[:, ::-1]) <= 32][:2]  # the quick gate tests the plain hashes
+    rows = [(1, a), (2, [f[:, ::-1] for f in a]), (3, [np.roll(f, 9, axis=0) for f in a])]
+    made = [(i, [int(h) for h in hash_frames(np.stack([f.ravel() for f in fs]))], [f.tobytes() for f in fs], False) for i, fs in rows]
+    x = catalog(spark, spark.createDataFrame(made, "id long, hashes array<long>, frames array<binary>, is_image boolean"))
+    x = x.withColumns({"duration_s": F.lit(10.0)})
+    told = lambda c: {(r.a.id, r.b.id): r.flipped for r in pairs.all_matches(x, c).collect()}
+    c = {"whole_catalog": True, "positions": 2, "percent": 90.0, "use_phash": True}
+    assert told(ScanConfig(**c)) == {} and told(ScanConfig(**c, flipped=True)) == {(1, 2): True}
