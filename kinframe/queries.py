@@ -16,6 +16,7 @@ from kinframe.operators import blocks
 from kinframe.operators import catalog as C
 from kinframe.operators import clips as CL
 from kinframe.operators import diagnostics, filters, grouping, pairs, ranking, results
+from kinframe.operators import selection as SEL
 from kinframe.plans.engine import MediaEngine
 from kinframe.sources import driver_tables as D
 from kinframe.sources import adapters, files, probe
@@ -945,6 +946,39 @@ def explain_clips(spark, d):
     return diagnostics.explain_clip(both).withColumn("similarity", F.round("similarity", 6))
 
 
+# --- undo ---------------------------------------------------------------------------------------------------
+
+
+def _stack(keep: int) -> str:
+    """SQL that keeps a stack of the steps of each user, one event after another: errors are undos."""
+    return f"""e AS (SELECT user_id AS u, event_id AS s, event_type = 'error' AS undo, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+r AS (SELECT DISTINCT u, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS stack, CAST(NULL AS BIGINT) AS popped FROM e
+  UNION ALL SELECT e.u, e.i, CASE WHEN e.undo THEN r.stack[1:len(r.stack) - 1] ELSE list_append(r.stack, e.s)[greatest(1, len(r.stack) + 2 - {keep}):] END, CASE WHEN e.undo THEN r.stack[len(r.stack)] END FROM r JOIN e ON e.u = r.u AND e.i = r.i + 1)"""
+
+
+def _log(spark, d):
+    """Every event is a step of its user that sets one or two paths; errors are undos."""
+    k = F.col("event_id")
+    name = lambda m: F.concat(F.lit("p"), (k % m).cast("string"))
+    paths = F.when(F.col("event_type") == "error", F.array(F.lit(None).cast("string"))).otherwise(F.array(name(10), name(7)))
+    return D.table(spark, d, "events").select(F.col("user_id").alias("session"), k.alias("seq"), F.explode(F.array_distinct(paths)).alias("path"), (k % 3 != 0).alias("checked"))
+
+
+@query(f"WITH RECURSIVE {_stack(3)} SELECT e.u AS user_id, e.s AS event_id, e.undo, e.s IN (SELECT popped FROM r WHERE popped IS NOT NULL) AS undone FROM e")
+def undo_short_memory(spark, d):
+    """Which steps were taken back where a user's last three can be."""
+    return SEL.steps(_log(spark, d), 3).select(F.col("session").alias("user_id"), F.col("seq").alias("event_id"), "undo", "undone")
+
+
+@query(
+    f"""WITH RECURSIVE {_stack(SEL.STEPS)}, l AS (SELECT u, s, unnest(list_distinct(['p' || s % 10, 'p' || s % 7])) AS path FROM e WHERE NOT undo AND s NOT IN (SELECT popped FROM r WHERE popped IS NOT NULL))
+SELECT u AS user_id, path, max(s) % 3 <> 0 AS checked FROM l GROUP BY u, path"""
+)
+def selection_after_undo(spark, d):
+    """What every user's log leaves checked."""
+    return SEL.selected(_log(spark, d)).withColumnRenamed("session", "user_id")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 
