@@ -19,7 +19,7 @@ from kinframe.operators import diagnostics, filters, grouping, pairs, ranking, r
 from kinframe.operators import selection as SEL
 from kinframe.plans.engine import MediaEngine
 from kinframe.sources import driver_tables as D
-from kinframe.sources import adapters, files, probe
+from kinframe.sources import adapters, bundle, files, probe
 from kinframe.streaming import catalog_stream as S
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -946,6 +946,18 @@ def explain_clips(spark, d):
     return diagnostics.explain_clip(both).withColumn("similarity", F.round("similarity", 6))
 
 
+@query(f"{RANKED} SELECT group_id, path, size, CAST(similarity AS DOUBLE) AS similarity, is_image, CASE WHEN is_image THEN NULL ELSE 'picture ' || size % 97 END AS picture FROM ranked")
+def results_bundle(spark, d):
+    """Results and their thumbnails written as a bundle, and read back by the thumbnails' keys; many videos have equal pictures."""
+    at = _scratch(grouping.scratch(spark) + "/bundle")
+    x = D.ranked_items(spark, d)
+    key = bundle.thumb_key(F.col("path"), F.lit(0.0), F.lit(100), F.lit(90)).alias("key")
+    picture = F.concat(F.lit("picture "), (F.col("size") % 97).cast("string")).cast("binary")
+    bundle.save_bundle(x, x.where("NOT is_image").select(key, picture.alias("picture")), at)
+    items, thumbs = bundle.load_bundle(spark, at)
+    return items.withColumn("key", key).join(thumbs, "key", "left").drop("key").withColumn("picture", F.col("picture").cast("string"))
+
+
 # --- undo ---------------------------------------------------------------------------------------------------
 
 

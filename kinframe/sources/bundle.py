@@ -19,17 +19,20 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.types import StringType
 
 #: The entries of a part, in the order in which they are written.
 ENTRIES = ("scan.json", "thumbs.pack", "thumbs.idx")
 ITEM, PICTURE, KEY = 0, 1, 2
-ROWS = "part int, kind int, key string, address string, body binary"
+ROWS = "kind int, key string, address string, body binary"
 MANIFEST = "bundle.json"
-#: Rows of a batch that a reader gives to Spark at once.
-BATCH = 64
+#: Rows of a batch that become Python objects at once.
+ROWS_AT_ONCE = 64
+#: Results and thumbnails of a part, where the caller doesn't say how many parts.
+PER_PART = 200_000
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _xxh64(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else xxhash.xxh64_hexdigest(t.encode("utf-16-le", "surrogatepass")))
 
@@ -50,6 +53,13 @@ def needs_thumbs(count: Column, placeholder: Column, width: Column, required: in
     return (F.coalesce(count, F.lit(0)) == 0) | ((count == 1) & F.coalesce(placeholder, F.lit(False))) | F.coalesce(narrow, F.lit(False))
 
 
+def _folder(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system and folder of a path, which must be one that pyarrow can open, from executors too."""
+    if path.startswith("file:"):
+        path = "/" + path[len("file:") :].lstrip("/")
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+
+
 class _Part(InputPartition):
     def __init__(self, name: str):
         self.name = name
@@ -66,17 +76,14 @@ class _Writer(DataSourceArrowWriter):
     def __init__(self, path: str):
         self.path = path
 
-    def _at(self) -> tuple[fs.FileSystem, str]:
-        return fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
-
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
-        files, root = self._at()
+        files, root = _folder(self.path)
         files.create_dir(root, recursive=True)
         name, rows, place, index, last = f"part-{uuid.uuid4().hex}.zip", 0, 0, {}, None
         entry = zipped = None
         try:
             for batch in iterator:
-                for r in batch.to_pylist():
+                for r in (r for i in range(0, batch.num_rows, ROWS_AT_ONCE) for r in batch.slice(i, ROWS_AT_ONCE).to_pylist()):
                     if zipped is None:
                         out = files.open_output_stream(f"{root}/{name}")
                         zipped = zipfile.ZipFile(out, "w", zipfile.ZIP_STORED)
@@ -113,19 +120,19 @@ class _Writer(DataSourceArrowWriter):
             entry.close()
 
     def commit(self, messages: list) -> None:
-        files, root = self._at()
+        files, root = _folder(self.path)
         files.create_dir(root, recursive=True)
         names = sorted(m.name for m in messages if m and m.name)
-        before = _names(files, root)
-        with files.open_output_stream(f"{root}/{MANIFEST}.{uuid.uuid4().hex}") as out:
+        pending = f"{root}/{MANIFEST}.{uuid.uuid4().hex}"
+        with files.open_output_stream(pending) as out:
             out.write(json.dumps({"parts": names, "rows": sum(m.rows for m in messages if m)}).encode())
-        pending = [i.path for i in files.get_file_info(fs.FileSelector(root)) if i.base_name.startswith(f"{MANIFEST}.")]
-        files.move(max(pending, key=lambda p: files.get_file_info(p).mtime_ns), f"{root}/{MANIFEST}")
-        for n in set(before) - set(names):
-            files.delete_file(f"{root}/{n}")
+        files.move(pending, f"{root}/{MANIFEST}")
+        for i in files.get_file_info(fs.FileSelector(root)):  # of the bundle before, and of tasks that were lost
+            if i.base_name.startswith("part-") and i.base_name not in names:
+                files.delete_file(i.path)
 
     def abort(self, messages: list) -> None:
-        files, root = self._at()
+        files, root = _folder(self.path)
         for m in messages:
             if m and m.name:
                 files.delete_file(f"{root}/{m.name}")
@@ -145,24 +152,23 @@ class _Reader(DataSourceReader):
     def __init__(self, path: str):
         self.path = path
 
-    def _at(self) -> tuple[fs.FileSystem, str]:
-        return fs.FileSystem.from_uri(self.path) if "://" in self.path else (fs.LocalFileSystem(), self.path)
-
     def partitions(self) -> list[_Part]:
-        files, root = self._at()
+        files, root = _folder(self.path)
         if files.get_file_info(f"{root}/{MANIFEST}").type == fs.FileType.NotFound:
             raise FileNotFoundError(f"no bundle in {self.path}")
         return [_Part(n) for n in _names(files, root)]
 
-    def read(self, partition: _Part) -> Iterator[tuple]:
-        files, root = self._at()
+    def read(self, partition: _Part | None) -> Iterator[tuple]:
+        if partition is None:  # a bundle of nothing
+            return
+        files, root = _folder(self.path)
         with files.open_input_file(f"{root}/{partition.name}") as f, zipfile.ZipFile(f) as z:
             has = set(z.namelist())
             if ENTRIES[ITEM] in has:
                 with z.open(ENTRIES[ITEM]) as e:
                     for line in e:  # an item a line
                         text = line.decode().strip().removeprefix('{"version":1,"items":[').removesuffix("]}").removesuffix(",")
-                        yield (0, ITEM, None, None, text.encode())
+                        yield (ITEM, None, None, text.encode())
             if ENTRIES[KEY] in has:
                 with z.open(ENTRIES[KEY]) as e:
                     pictures = z.open(ENTRIES[PICTURE]) if ENTRIES[PICTURE] in has else None
@@ -170,11 +176,11 @@ class _Reader(DataSourceReader):
                     for line in e:
                         key, address, *where = json.loads(line)
                         if key is not None:
-                            yield (0, KEY, key, address, None)
+                            yield (KEY, key, address, None)
                         if where and address not in told:
                             told.add(address)
                             pictures.seek(where[0])
-                            yield (0, PICTURE, None, address, pictures.read(where[1]))
+                            yield (PICTURE, None, address, pictures.read(where[1]))
 
 
 class Bundles(DataSource):
@@ -192,27 +198,27 @@ class Bundles(DataSource):
         return _Reader(self.options["path"])
 
 
-def save_bundle(items: DataFrame, thumbs: DataFrame, path: str, parts: int = 1) -> None:
-    """Writes items (group_id, path, size, similarity, is_image) and thumbs (key, picture) as a bundle of ``parts`` parts.
+def save_bundle(items: DataFrame, thumbs: DataFrame, path: str, parts: int | None = None) -> None:
+    """Writes items (group_id, path, size, similarity, is_image) and thumbs (key, picture) as a bundle of ``parts`` parts (one a 200,000 rows, if not said).
 
     A bundle that is there is replaced, once the new one is whole. Thumbs with a null key or picture, or an empty picture,
     are left out; of a repeated key the least address stays. Items are dealt by their path and pictures by their
-    address, so no group or picture that many share weighs on one part; a part is a task, so ``parts`` must grow with the results.
+    address, so no group or picture that many share weighs on one part; a part is a task.
     """
+    parts = (items.count() + thumbs.count()) // PER_PART + 1 if parts is None else parts
     if parts < 1:
         raise ValueError("a bundle has a part at least")
     spark = items.sparkSession
     spark.dataSource.register(Bundles)
-    deal = lambda c: F.pmod(F.xxhash64(c), F.lit(parts)).cast("int").alias("part")
     info = F.struct(F.col("group_id").alias("groupId"), "path", F.col("size").alias("sizeLong"), F.col("similarity").cast("double").alias("similarity"), F.col("is_image").alias("isImage"))
     none = F.lit(None).cast("string")
-    rows = items.select(deal("path"), F.lit(ITEM).alias("kind"), none.alias("key"), none.alias("address"), F.to_json(F.struct(info.alias("itemInfo"))).cast("binary").alias("body"))
+    rows = items.select(F.col("path").alias("by"), F.lit(ITEM).alias("kind"), none.alias("key"), none.alias("address"), F.to_json(F.struct(info.alias("itemInfo"))).cast("binary").alias("body"))
     good = thumbs.where("key is not null and length(picture) > 0").select("key", F.sha2("picture", 256).alias("address"), "picture")
     keys = good.groupBy("key").agg(F.min("address").alias("address"))
     pictures = good.join(keys, ["key", "address"], "left_semi").select("address", "picture").dropDuplicates(["address"])
-    rows = rows.unionByName(keys.select(deal("address"), F.lit(KEY).alias("kind"), "key", "address", F.lit(None).cast("binary").alias("body")))
-    rows = rows.unionByName(pictures.select(deal("address"), F.lit(PICTURE).alias("kind"), none.alias("key"), "address", F.col("picture").alias("body")))
-    rows = rows.repartition(parts, "part").sortWithinPartitions("kind", "address", "key")
+    rows = rows.unionByName(keys.select(F.col("address").alias("by"), F.lit(KEY).alias("kind"), "key", "address", F.lit(None).cast("binary").alias("body")))
+    rows = rows.unionByName(pictures.select(F.col("address").alias("by"), F.lit(PICTURE).alias("kind"), none.alias("key"), "address", F.col("picture").alias("body")))
+    rows = rows.repartition(parts, "by").drop("by").sortWithinPartitions("kind", "address", "key")
     rows.write.format("media_bundle").mode("overwrite").option("path", path).save()
 
 
