@@ -801,7 +801,8 @@ def arrivals_per_window(spark, d):
 
 @query()
 def synthetic_catalog(spark, d):
-    return files.generate_catalog(spark, 50_000, 10)
+    """A catalog with a row for each part, every tenth a copy of the one before it."""
+    return files.generate_catalog(spark, copies_every=10, ids=D.table(spark, d, "part").select(F.col("p_partkey").alias("id")))
 
 
 # --- small operators ---------------------------------------------------------------------------------------

@@ -23,10 +23,10 @@ def listing(spark: SparkSession, roots: list[str], recursive: bool = True, image
     return rows.where(K.is_media(F.col("path"), images)).withColumn("folder", K.folder_of(F.col("path")))
 
 
-def generate_catalog(spark: SparkSession, n: int = 50_000, copies_every: int = 0, seed: int = 42) -> DataFrame:
-    """A synthetic catalog of n rows; with copies_every, each such row repeats the features of the one before it."""
+def generate_catalog(spark: SparkSession, n: int = 50_000, copies_every: int = 0, seed: int = 42, ids: DataFrame | None = None) -> DataFrame:
+    """A synthetic catalog of n rows, or of one for each row of ``ids`` (column id); with copies_every, each such row repeats the features of the one before it."""
     src = F.when(F.lit(copies_every > 0) & (F.col("id") % max(1, copies_every) == 0) & (F.col("id") > 0), F.col("id") - 1).otherwise(F.col("id"))
-    rows = spark.range(n).withColumn("src", src)
+    rows = (spark.range(n) if ids is None else ids.select("id")).withColumn("src", src)
     h = lambda k, m: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), F.col("src")), F.lit(m))
     return rows.select(
         "id",

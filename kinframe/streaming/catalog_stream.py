@@ -17,15 +17,12 @@ from kinframe.operators import catalog as C
 def upsert_stream(changes: DataFrame, path: str, checkpoint: str, key: str = "path", version: str = "version", trigger: dict | None = None):
     """Starts a query that keeps appending arrivals to the catalog at ``path``; readers take the latest of each key.
 
-    A batch is written under its number, so a batch that is run again replaces itself.
+    A batch is written under its number, so a batch that is run again replaces itself. Of a key's rows of one version in a
+    batch the one that is greatest in all its columns stays, as in compact().
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        from pyspark.sql import Window
-
-        w = Window.partitionBy(key).orderBy(F.col(version).desc())
-        latest = batch.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
-        latest.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        C.compact(batch, batch.limit(0), key, version).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return changes.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
