@@ -75,6 +75,26 @@ def test_suffix_dedup_of_all_documents(spark):
     assert got == want and sum(n > 0 for n, _, _ in want.values()) > 20
 
 
+def test_suffix_dedup_gives_the_texts_left(spark, tmp_path):
+    """Passages of over 50 words are gone from the texts if they have 400 bytes; shorter ones and clean texts stay."""
+    rng = random.Random(6)
+    some = lambda n, least=7, most=9: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(least, most))) for _ in range(n))
+    long, short = some(60), some(55, 3, 5)
+    assert len(long) >= 400 > len(short)
+    # the cuts at the edges of the long passage leave half a character
+    texts = [some(20) + "é" + long + some(5), some(9) + "è" + long, some(30) + short + some(8), short, some(80), long[:399], "", None, "a" * 500, "a" * 500]
+    spark.createDataFrame([(i, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, n_removed int").write.parquet(str(tmp_path / "documents.parquet"))
+    out = Q.op8_suffix_dedup(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"]
+    got = {r.doc_id: r for r in out.collect()}
+    for i, (t, (n, _, sha)) in enumerate(zip(texts, repeated([(t or "").encode() for t in texts], 400))):
+        assert (got[i].n_removed, got[i].kept_sha256) == (n, sha)
+        if not n:
+            assert got[i].text == t
+    assert long[2:-2] not in got[0].text + got[1].text and short in got[2].text and short == got[3].text
+    assert got[0].text in (texts[0].replace("é" + long, ""), texts[0].replace(long, "")) and got[8].text == got[9].text == ""
+
+
 @pytest.mark.parametrize("group", [2, 100_000])
 def test_hot_passages(spark, group):
     """A passage that most texts hold, periodic texts, zero bytes, and repeats that differ by what stands round them."""
