@@ -217,3 +217,9 @@ def test_listing(spark, tmp_path):
         (tmp_path / n).write_bytes(b"x")
     got = files.listing(spark, [str(tmp_path)])
     assert sorted(r.path.rsplit("/", 1)[1] for r in got.collect()) == ["a.mp4", "c.JPG"]
+
+
+def test_human_bytes_to_the_largest_unit(spark):
+    """The reference's own cases, and the units that the query's SQL doesn't list."""
+    for n, text in ((512, "512.0 B"), (1 << 20, "1.0 MB"), ((1 << 40) - (1 << 27), "1023.9 GB"), (1 << 40, "1.0 TB"), (3 << 49, "1.5 PB"), (1 << 60, "1.0 EB")):
+        assert one(spark, K.human_bytes(F.lit(n))) == text
