@@ -39,3 +39,11 @@ def test_custom_selection_leaves_checked_groups_alone(spark):
     pick = lambda *a, **k: {r.path for r in ranking.select_custom(items, *a, **k).collect()}
     assert pick() == {"b", "c", "e"} and pick(1) == {"b"} and pick(2) == {"b", "c", "e"} and pick(3) == {"c", "e"}
     assert pick(checked=items.where("path = 'd'")) == {"b", "c"} and pick(checked=items.where("path IN ('a', 'e')")) == set()
+
+
+def test_destination_names_beyond_two_thousand(spark):
+    """Every path of a name gets one, however many there are."""
+    paths = spark.range(2500).select(F.format_string("/s/%05d/v.mp4", "id").alias("path"))
+    got = results.destination_names(paths, "/dest", spark.createDataFrame([("v_7.mp4",)], "name string"))
+    want = {"/dest/v.mp4"} | {f"/dest/v_{i}.mp4" for i in range(1, 2501) if i != 7}
+    assert {r.target for r in got.collect()} == want
