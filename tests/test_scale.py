@@ -51,3 +51,10 @@ def test_one_cell_is_many_tasks(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert sum(n.values()) == 400 * 399 // 2 and len(n) == 4 and max(n.values()) < sum(n.values()) / 2
+
+
+def test_rounding_of_mean_differences(spark):
+    """flipped_pairs rounds half up without decimals: the same for every sum that a frame of 64 pixels can have."""
+    d = F.col("id") / 64 / 256.0
+    x = spark.range(16385).select(F.round(d, 6).alias("a"), (F.floor(d * 1e6 + 0.5) / 1e6).alias("b"))
+    assert x.where("a <> b").count() == 0
