@@ -88,7 +88,7 @@ def seed_bits(n: Column, min_similarity: float) -> Column:
     return F.floor(bit_budget(n, min_similarity) / F.floor(n / 2)).cast("int")
 
 
-def seeded_offsets(clips: DataFrame, videos: DataFrame, min_ratio: float, min_similarity: float, index: pairs.Index, bits: int) -> DataFrame:
+def seeded_offsets(clips: DataFrame, videos: DataFrame, min_ratio: float, min_similarity: float, index: pairs.Index, bits: int, places: int | None = None) -> DataFrame:
     """(source_id, clip_id, offsets): the offsets at which two neighbouring values of a clip are near those of a source.
 
     A clip of n values is within its budget of bits somewhere only if one of its n div 2 pairs of values is within
@@ -101,7 +101,7 @@ def seeded_offsets(clips: DataFrame, videos: DataFrame, min_ratio: float, min_si
     ratio = F.col("a.duration_s") / F.col("b.duration_s")
     low, high = F.col("b.first") - F.col("a.last"), F.col("b.last") - F.col("a.first")
     fits = (F.col("a.id") != F.col("b.id")) & (ratio >= min_ratio) & (ratio < MAX_RATIO) & (F.col("a.n") < F.col("b.n")) & (high >= 0) & (low <= F.col("b.n") - F.col("a.n"))
-    met = pairs.near_codes(asked, stored, bits, index, fits).where(F.col("distance") <= F.col("a.share"))
+    met = pairs.near_codes(asked, stored, bits, index, fits, places).where(F.col("distance") <= F.col("a.share"))
     spans = met.select(F.col("b.id").alias("source_id"), F.col("a.id").alias("clip_id"), F.greatest(low, F.lit(0)).alias("lo"), F.least(high, F.col("b.n") - F.col("a.n")).alias("hi"))
     each = spans.distinct().select("source_id", "clip_id", F.explode(F.sequence("lo", "hi")).alias("o"))
     return each.groupBy("source_id", "clip_id").agg(F.array_sort(F.collect_set("o")).alias("offsets"))  # no more than the source has places
@@ -120,7 +120,7 @@ def clip_matches(videos: DataFrame, min_ratio: float = 0.1, min_similarity: floa
     stats = rows.agg(F.max(F.when(tight, share)).alias("bits"), F.sum(F.size("fp")).alias("places"), F.max(~tight).alias("loose")).first()
     out = []
     if stats["bits"] is not None:
-        seeds = seeded_offsets(rows.where(tight), rows, min_ratio, min_similarity, pairs.index_plan(stats["bits"], stats["places"]), stats["bits"])
+        seeds = seeded_offsets(rows.where(tight), rows, min_ratio, min_similarity, pairs.index_plan(stats["bits"], stats["places"]), stats["bits"], stats["places"])
         whole = lambda s: rows.select(F.col("id").alias("source_id" if s == "s" else "clip_id"), F.struct("id", "idx", "fp").alias(s))
         seen = seeds.join(whole("s"), "source_id").join(whole("c"), "clip_id")
         out.append(seen.select("s", "c", best_window(F.col("c.fp"), F.col("s.fp"), min_similarity, F.col("offsets")).alias("m")))

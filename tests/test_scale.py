@@ -58,3 +58,25 @@ def test_rounding_of_mean_differences(spark):
     d = F.col("id") / 64 / 256.0
     x = spark.range(16385).select(F.round(d, 6).alias("a"), (F.floor(d * 1e6 + 0.5) / 1e6).alias("b"))
     assert x.where("a <> b").count() == 0
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_codes_meet_without_a_broadcast(spark, monkeypatch, whole):
+    """Keys of codes are far more than Spark thinks, so neither way of bringing them together may go through the driver; both are exact."""
+    from kinframe.operators import pairs
+
+    monkeypatch.setattr(blocks, "CODES", (16, 16))
+    rng = np.random.default_rng(4)
+    h = rng.integers(-(2**63), 2**63, 60, dtype=np.int64)
+    h = np.concatenate([h, h ^ np.int64(5), h[:20] ^ np.int64(0x7001)]).tolist()
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(h)] + [(999, None)], "id long, h long")
+    want = {(i, j): (x ^ y).bit_count() if x ^ y >= 0 else ((x ^ y) + 2**64).bit_count() for (i, x), (j, y) in itertools.combinations(enumerate(h), 2)}
+    want = {k: v for k, v in want.items() if v <= 4}
+    monkeypatch.setattr(pairs, "WHOLE_COST", 0.0)
+    found = pairs.near_codes(df, df, 4, pairs.index_plan(4, 140), F.col("a.id") < F.col("b.id"), 140 if whole else None)
+    got = found.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), "distance").collect()
+    assert {(r.a, r.b): r.distance for r in got} == want and len(got) == len(want) > 60
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    other = df.where("id < 60")
+    both = pairs.near_codes(other, df, 4, pairs.index_plan(4, 140), F.col("a.id") != F.col("b.id"), 140 if whole else None)
+    assert {(r.a.id, r.b.id) for r in both.collect()} == {p for k in want for p in (k, k[::-1]) if p[0] < 60}
