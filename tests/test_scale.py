@@ -80,3 +80,17 @@ def test_codes_meet_without_a_broadcast(spark, monkeypatch, whole):
     other = df.where("id < 60")
     both = pairs.near_codes(other, df, 4, pairs.index_plan(4, 140), F.col("a.id") != F.col("b.id"), 140 if whole else None)
     assert {(r.a.id, r.b.id) for r in both.collect()} == {p for k in want for p in (k, k[::-1]) if p[0] < 60}
+
+
+def test_gates_are_counted_without_pairs(spark, monkeypatch):
+    """The same counts as of pairs that are made, with unknown sizes, hashes and links too; no join of rows with rows is planned."""
+    from kinframe.operators import diagnostics, pairs
+
+    monkeypatch.setattr(blocks, "BLOCK", 16)
+    rng = np.random.default_rng(8)
+    rows = [(i, int(rng.integers(0, 1 << 32)), int(rng.integers(0, 1 << 32)) if i % 9 else None, None if i % 31 == 0 else float(rng.integers(30, 90)), int(rng.integers(1, 99)) if i % 7 else None, int(rng.choice([0, 640, 1280, 3840])), 480, "/m", i // 2 if i % 5 else None, i % 11 == 0, "/m/x") for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, lo long, hi long, duration_s double, size long, width int, height int, folder string, file_id long, is_image boolean, path string").repartition(3)
+    for within, c in ((ScanConfig(duration_percent=30.0), ScanConfig(size_percent=40.0, resolution_gate=True, skip_hard_links=True)), (ScanConfig(duration_percent=0.0, duration_max_s=9.0), ScanConfig(duration_percent=5.0, duration_min_s=2.0))):
+        want = diagnostics.gate_counters(pairs.duration_pairs(df.where("NOT is_image"), within, pairs.PAIR_COLUMNS), c).first().asDict()
+        assert diagnostics.gate_counters_within(df, within, c).first().asDict() == want and want["pairs"] > want["after_hard_link"] > 0
+    assert set(diagnostics.gate_counters_within(df.limit(0), within, c).first().asDict().values()) == {0}
