@@ -94,3 +94,20 @@ def test_gates_are_counted_without_pairs(spark, monkeypatch):
         want = diagnostics.gate_counters(pairs.duration_pairs(df.where("NOT is_image"), within, pairs.PAIR_COLUMNS), c).first().asDict()
         assert diagnostics.gate_counters_within(df, within, c).first().asDict() == want and want["pairs"] > want["after_hard_link"] > 0
     assert set(diagnostics.gate_counters_within(df.limit(0), within, c).first().asDict().values()) == {0}
+
+
+def test_one_key_is_many_tasks(spark, monkeypatch):
+    """All pairs of a key, each once, by more than one task; rows without a key meet nothing."""
+    from kinframe.operators import pairs
+
+    monkeypatch.setattr(pairs, "KEY_BLOCK", 8)
+    df = spark.createDataFrame([((i * 37) % 1009, None if i > 140 else i % 10 // 9) for i in range(150)], "id long, label int")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = pairs.keyed_pairs(df, ["label"], []).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    label = {r.id: r.label for r in df.collect()}
+    want = {(a, b) for a, b in itertools.combinations(sorted(label), 2) if label[a] == label[b] is not None}
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
+    assert len({r.task for r in got if label[r.a] == 0}) == 4
