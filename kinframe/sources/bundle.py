@@ -1,7 +1,7 @@
 """Results and their thumbnails as bundles: ZIP parts in a folder, made whole by a manifest.
 
-A part has scan.json (results), thumbs.idx (a line a thumbnail: key, address, and place and length if the part holds the picture) and
-thumbs.pack (pictures, one after another). A picture is known by its SHA-256, so equal ones are stored once in a bundle,
+A part has scan.json (results, deflated), thumbs.idx (deflated; a line a thumbnail: key, address, and place and length if the part holds the picture) and
+thumbs.pack (pictures, one after another, as they come). A picture is known by its SHA-256, so equal ones are stored once in a bundle,
 in the part that its address decides. One part is a ZIP that other programs can open.
 """
 
@@ -86,12 +86,14 @@ class _Writer(DataSourceArrowWriter):
                 for r in (r for i in range(0, batch.num_rows, ROWS_AT_ONCE) for r in batch.slice(i, ROWS_AT_ONCE).to_pylist()):
                     if zipped is None:
                         out = files.open_output_stream(f"{root}/{name}")
-                        zipped = zipfile.ZipFile(out, "w", zipfile.ZIP_STORED)
+                        zipped = zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1)
                     if r["kind"] != last:
                         if last is not None and r["kind"] < last:
                             raise ValueError("a part's rows must come by kind")
                         self._end(entry, last)
-                        entry, last, first = zipped.open(ENTRIES[r["kind"]], "w", force_zip64=True), r["kind"], True
+                        last, first = r["kind"], True
+                        # results and keys are packed; pictures are as they come, so that each can be read from its place
+                        entry = zipped.open(zipfile.ZipInfo(ENTRIES[last]) if last == PICTURE else ENTRIES[last], "w", force_zip64=True)
                         entry.write(b'{"version":1,"items":[' if last == ITEM else b"")
                     if last == ITEM:
                         entry.write((b"" if first else b",\n") + r["body"])
@@ -212,12 +214,12 @@ def save_bundle(items: DataFrame, thumbs: DataFrame, path: str, parts: int | Non
     spark.dataSource.register(Bundles)
     info = F.struct(F.col("group_id").alias("groupId"), "path", F.col("size").alias("sizeLong"), F.col("similarity").cast("double").alias("similarity"), F.col("is_image").alias("isImage"))
     none = F.lit(None).cast("string")
-    rows = items.select(F.col("path").alias("by"), F.lit(ITEM).alias("kind"), none.alias("key"), none.alias("address"), F.to_json(F.struct(info.alias("itemInfo"))).cast("binary").alias("body"))
+    rows = items.select(F.xxhash64("path").alias("by"), F.lit(ITEM).alias("kind"), none.alias("key"), none.alias("address"), F.to_json(F.struct(info.alias("itemInfo"))).cast("binary").alias("body"))
     good = thumbs.where("key is not null and length(picture) > 0").select("key", F.sha2("picture", 256).alias("address"), "picture")
     keys = good.groupBy("key").agg(F.min("address").alias("address"))
-    pictures = good.join(keys, ["key", "address"], "left_semi").select("address", "picture").dropDuplicates(["address"])
-    rows = rows.unionByName(keys.select(F.col("address").alias("by"), F.lit(KEY).alias("kind"), "key", "address", F.lit(None).cast("binary").alias("body")))
-    rows = rows.unionByName(pictures.select(F.col("address").alias("by"), F.lit(PICTURE).alias("kind"), none.alias("key"), "address", F.col("picture").alias("body")))
+    pictures = good.select("address", "picture").dropDuplicates(["address"]).join(keys.select("address").distinct(), "address", "left_semi")
+    rows = rows.unionByName(keys.select(F.xxhash64("address").alias("by"), F.lit(KEY).alias("kind"), "key", "address", F.lit(None).cast("binary").alias("body")))
+    rows = rows.unionByName(pictures.select(F.xxhash64("address").alias("by"), F.lit(PICTURE).alias("kind"), none.alias("key"), "address", F.col("picture").alias("body")))
     rows = rows.repartition(parts, "by").drop("by").sortWithinPartitions("kind", "address", "key")
     rows.write.format("media_bundle").mode("overwrite").option("path", path).save()
 

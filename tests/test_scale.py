@@ -111,3 +111,22 @@ def test_one_key_is_many_tasks(spark, monkeypatch):
     want = {(a, b) for a, b in itertools.combinations(sorted(label), 2) if label[a] == label[b] is not None}
     assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
     assert len({r.task for r in got if label[r.a] == 0}) == 4
+
+
+def test_bundle_parts_are_packed(spark, tmp_path):
+    """Results and keys are deflated, pictures stay as they come and are found again."""
+    import zipfile
+
+    from kinframe.sources import bundle
+
+    x = spark.range(300).select((F.col("id") % 7).alias("group_id"), F.format_string("/media/some/folder/%04d.mp4", "id").alias("path"), F.col("id").alias("size"), F.lit(97.0).alias("similarity"), F.lit(False).alias("is_image"))
+    thumbs = x.select(F.col("path").alias("key"), F.concat(F.lit("picture "), (F.col("size") % 5).cast("string")).cast("binary").alias("picture"))
+    bundle.save_bundle(x, thumbs, str(tmp_path / "b"), 2)
+    kinds, plain, packed = set(), 0, 0
+    for part in (tmp_path / "b").glob("part-*.zip"):
+        for i in zipfile.ZipFile(part).infolist():
+            kinds.add((i.filename, i.compress_type))
+            plain, packed = plain + i.file_size, packed + i.compress_size
+    assert kinds == {("scan.json", zipfile.ZIP_DEFLATED), ("thumbs.idx", zipfile.ZIP_DEFLATED), ("thumbs.pack", zipfile.ZIP_STORED)} and packed < plain / 4
+    items, back = bundle.load_bundle(spark, str(tmp_path / "b"))
+    assert items.count() == 300 and {(r.key, bytes(r.picture)) for r in back.collect()} == {(r.key, bytes(r.picture)) for r in thumbs.collect()}
